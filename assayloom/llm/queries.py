@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_sharding, op04_chat, op07_urls, op08_bpe
+from . import op02_sharding, op04_chat, op07_urls, op08_bpe, op10_jaccard
 from .common import table
 
 #: The conversation that shows the escapes, beside those of the table.
@@ -36,6 +36,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_chat, op7_urls, op8_bpe)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_chat, op7_urls, op8_bpe, op10_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
