@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_sharding, op04_chat, op07_urls, op08_bpe, op10_jaccard
+from . import op01_decontamination, op02_sharding, op04_chat, op07_urls, op08_bpe, op10_jaccard
 from .common import table
 
 #: The conversation that shows the escapes, beside those of the table.
@@ -13,6 +13,10 @@ EXTRA_CHAT = r"\### Assistant: </turn> ok"
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_chat, op7_urls, op8_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op4_chat, op7_urls, op8_bpe, op10_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
