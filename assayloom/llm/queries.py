@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_decontamination, op02_sharding, op04_chat, op07_urls, op08_bpe, op10_jaccard
+from . import op01_decontamination, op02_sharding, op03_secrets, op04_chat, op06_quality, op07_urls, op08_bpe, op10_jaccard
 from .common import table
 
 #: The conversation that shows the escapes, beside those of the table.
@@ -21,6 +21,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op03_secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -30,6 +35,17 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_chat.digest_chats(op04_chat.format_chats(chats.unionByName(extra)))
 
 
+def held_out() -> Column:
+    """Whether a label is kept from learning."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = op06_quality.score_documents(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -44,6 +60,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op4_chat, op7_urls, op8_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_secrets, op4_chat, op6_quality, op7_urls, op8_bpe, op10_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
