@@ -153,3 +153,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is predicted good."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                yield part.filter(pa.array(model.scores(features(part.column(at).to_pylist())) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_decontamination, op02_sharding, op03_secrets, op04_chat, op05_topk, op06_quality, op07_urls, op08_bpe, op10_jaccard
+from . import op01_decontamination, op02_sharding, op03_secrets, op04_chat, op05_topk, op06_quality, op07_urls, op08_bpe, op09_html, op10_jaccard
 from .common import table
 
 #: The conversation that shows the escapes, beside those of the table.
@@ -54,17 +54,25 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encode_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return op08_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return op08_bpe.encode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_html.extract(table(spark, sf_dir, "pages"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_secrets, op4_chat, op5_topk, op6_quality, op7_urls, op8_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_secrets, op4_chat, op5_topk, op6_quality, op7_urls, op8_bpe, op9_html, op10_jaccard_join)}
 
 _CHAT_SQL = r"""
 WITH c AS (
