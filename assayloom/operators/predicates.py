@@ -202,3 +202,16 @@ def date_noise(t: Tables) -> DataFrame:
     line = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("Rev 3 2021-04-05 "), "content")).otherwise(F.col("content"))
     bare = F.regexp_replace(F.regexp_replace(line, "20[0-2][0-9][-./][0-9]{1,2}([-./][0-9]{1,2})?", " "), r"Rev\.?\s*[0-9]*", " ")
     return t.component.select("doc_id", "seq", F.trim(bare).alias("stripped"))
+
+
+@query("flt22_clear_table", """
+SELECT DISTINCT a.doc_id, a.page, a.id FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.page = b.page AND a.id <> b.id AND abs(2 * a.y0 + a.height - 2 * b.y0 - b.height) <= 2 * a.height AND greatest(a.x0, b.x0) - least(a.x0 + a.width, b.x0 + b.width) >= 18 WHERE a.text = 'w9'""")
+def clear_table(t: Tables) -> DataFrame:
+    """Lines with a number that have another line beside them. The heights of a page's lines bound the bands that can meet."""
+    w = t.word.select("doc_id", "page", "id", "x0", "y0", "width", "height", "text").withColumn("middle", 2 * F.col("y0") + F.col("height"))
+    bands = F.explode(F.expr("array(floor(middle / 24) - 1, floor(middle / 24), floor(middle / 24) + 1)"))
+    left = w.where("text = 'w9'").withColumn("band", bands)
+    right = w.select("doc_id", "page", F.floor(F.col("middle") / 24).alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("id", "x0", "width", "middle")))
+    gap = F.greatest("x0", "x0_b") - F.least(F.col("x0") + F.col("width"), F.col("x0_b") + F.col("width_b"))
+    beside = (F.abs(F.col("middle") - F.col("middle_b")) <= 2 * F.col("height")) & (gap >= 18) & (F.col("id") != F.col("id_b"))
+    return left.join(right, ["doc_id", "page", "band"]).where(beside).select("doc_id", "page", "id").distinct()
