@@ -14,9 +14,19 @@ a set of n shingles can miss at most n - a of them in a partner. Shingles are or
 Classes come from counts over all documents, kept as bit maps of fixed size; a false bit moves a shingle to a later class in
 every set alike and costs time, never a link.
 
-Key groups are not expanded into pairs. Each set is first verified against one pivot, the smallest set that shares the most keys
-with it, which links groups of near copies as stars. Then only pairs of one key whose sets are not yet in the same component
-are verified, if the sizes and the numbers of shared shingles allow a link. So no link that joins two components is missed.
+Key groups are not expanded into pairs. Of each key the pivot is the set with the smallest share of unshared shingles, of a group
+of near copies most likely the text that they were made from. Each set is verified against the pivot with which it shares the most keys,
+its family's, which links near copies as stars. A further link between sets x and y of one key then needs one of these:
+
+* they are of different families: verified if the sizes and the numbers of repeated shingles allow a link;
+* they are of one family with pivot p, one of them not linked with p, and share a shingle outside p: found by those shingles;
+* they share none outside p. Then their overlap is at most that of either with p, so y must be smaller than p by enough: found
+  by the bound 180 min(|x & p|, |y & p|) >= 80 (|x| + |y|).
+
+Pairs that are in one component already are left out. So no link that joins two components is missed.
+
+Only one document of each set is counted and indexed: a bit map of the representatives' ids, of fixed size, passes each of them, and
+of the other copies a few by chance, which are merged later.
 
 Edge cases: a null text or one without words has an empty set, links with nothing and is its own component; a text of 1 to 4
 words is one shingle; equal sets are one component whatever the rows; repeated rows get the same component; rows with a null
@@ -44,13 +54,17 @@ FREQUENT = (64, 512, 4096, 32768)
 MOST_FREQUENT = 1 << 21
 REPEATED_BITS, FREQUENT_BITS = 28, 24
 BUCKET = 1 << 21
-BLOCK_CHARS = 4_000_000
-FLUSH = 4_000_000
+BLOCK_CHARS = 1_000_000
+FLUSH = 1_500_000
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """doc_ids and shingle sets of a bounded number of characters at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], chosen: bytes | None = None) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """doc_ids and shingle sets of a bounded number of characters at a time; with a bit map, of the rows whose third column it holds."""
     for batch in batches:
+        if chosen is not None:
+            at = batch.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - int(math.log2(len(chosen) * 8)))
+            bits = np.frombuffer(chosen, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)
+            batch = batch.filter(pa.array((bits & 1).astype(bool)))
         texts, start = [t or "" for t in batch.column(1).to_pylist()], 0
         while start < len(texts):
             stop, chars = start, 0
@@ -60,6 +74,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
             start = stop
 
 
+def representatives(members: DataFrame) -> bytes:
+    """A bit map over the hash of doc_id in which one document of each set is set."""
+    chosen = members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    bits = max(14, min(REPEATED_BITS, math.ceil(math.log2(max(members.count(), 1))) + 5))
+    low = max(3, bits - 10)
+
+    def segment(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << low, np.uint8)
+        out[rows["slot"].to_numpy() & ((1 << low) - 1)] = 1
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "map": [np.packbits(out, bitorder="little").tobytes()]})
+
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
+    parts = chosen.select(slot.alias("slot"), F.shiftright(slot, low).alias("part")).distinct()
+    whole = bytearray(1 << (bits - 3))
+    for r in parts.groupBy("part").applyInPandas(segment, "part long, map binary").collect():
+        whole[r.part * len(r.map) : (r.part + 1) * len(r.map)] = r.map
+    return bytes(whole)
+
+
 def _digest(hashes: np.ndarray) -> bytes | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
@@ -88,8 +121,8 @@ class Classes:
         return bits[0] + (bits[0] & bits[1])
 
 
-def count_classes(docs: DataFrame, shingles: int) -> Classes:
-    """Counts over all documents (copies within a task once), dealt by the leading bits of the hash."""
+def count_classes(docs: DataFrame, shingles: int, chosen) -> Classes:
+    """Counts over all sets, dealt by the leading bits of the hash. chosen: the broadcast bit map of representatives."""
     bucket_bits = max(4, math.ceil(math.log2(max(shingles, 1) / BUCKET + 1)))
     wide = max(bucket_bits + 3, min(REPEATED_BITS, math.ceil(math.log2(max(shingles, 1))) + 3))
     narrow = max(bucket_bits + 3, min(FREQUENT_BITS, wide))
@@ -111,7 +144,7 @@ def count_classes(docs: DataFrame, shingles: int) -> Classes:
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         size = 0
-        for _, sets in _blocks(batches):
+        for _, sets in _blocks(batches, chosen.value):
             for s in sets:
                 key = _digest(s)
                 if key is None or key in seen:
@@ -144,7 +177,7 @@ def count_classes(docs: DataFrame, shingles: int) -> Classes:
             "kinds": [[int((sums >= d).sum()) for d in FREQUENT]], "frequent": [[bitmap(sums >= d, narrow) for d in FREQUENT]],
         })
 
-    chunks = docs.select("doc_id", "text").mapInArrow(gather, "bucket long, low binary, counts binary")
+    chunks = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(gather, "bucket long, low binary, counts binary")
     found = chunks.groupBy("bucket").applyInPandas(bit_maps, "bucket long, repeated binary, kinds array<long>, frequent array<binary>").collect()
     level = next((i for i in range(len(FREQUENT)) if sum(r.kinds[i] for r in found) <= MOST_FREQUENT), len(FREQUENT) - 1)
     repeated, frequent = bytearray(1 << (wide - 3)), bytearray(1 << (narrow - 3))
@@ -182,14 +215,14 @@ def index_keys(hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
-def index_sets(docs: DataFrame, classes: Classes) -> DataFrame:
+def index_sets(docs: DataFrame, classes: Classes, chosen) -> DataFrame:
     """sid, src, n, m, keys, hashes of each set that could have a partner, once a task; m counts its repeated shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = shared.value, set()
         src = TaskContext.get().partitionId() << 40
-        for _, sets in _blocks(batches):
+        for _, sets in _blocks(batches, chosen.value):
             rows: list[tuple] = []
             for s in sets:
                 key = _digest(s)
@@ -204,7 +237,7 @@ def index_sets(docs: DataFrame, classes: Classes) -> DataFrame:
                 kinds_of = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], ["sid", "src", "n", "m", "keys", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sid binary, src long, n long, m long, keys array<long>, hashes array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "sid binary, src long, n long, m long, keys array<long>, hashes array<long>")
 
 
 def _possible(n_a: str, m_a: str, n_b: str, m_b: str) -> Column:
@@ -213,18 +246,24 @@ def _possible(n_a: str, m_a: str, n_b: str, m_b: str) -> Column:
     return 100 * shared >= 80 * (F.col(n_a) + F.col(n_b) - shared)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, kept: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-    for side in "ab":
-        pairs = pairs.join(kept.select(F.col("sid").alias(side), F.col("src").alias(f"src_{side}")), side)
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("src").alias(f"src_{side}"), F.col("hashes").alias(f"set_{side}")), [side, f"src_{side}"])
-    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return pairs.withColumn("both", both).where(100 * F.col("both") >= 80 * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
+def overlaps(pairs: DataFrame, sets: DataFrame, kept: DataFrame) -> DataFrame:
+    """pairs (a, b and what they carry) with both, the size of the overlap, and outside, the shingles of a that b lacks."""
+    sides = [kept.select(F.col("sid").alias(x), F.col("src").alias(f"src_{x}")) for x in "ab"]
+    pairs = materialise(pairs.join(sides[0], "a").join(sides[1], "b"), "pairs")
+    wanted = materialise(pairs.select(F.col("src_a").alias("src")).union(pairs.select("src_b")).distinct(), "wanted")
+    used = sets.select("src", "hashes").join(wanted, "src", "left_semi")
+    for x in "ab":
+        pairs = pairs.join(used.select(F.col("src").alias(f"src_{x}"), F.col("hashes").alias(f"set_{x}")), f"src_{x}")
+    outside = F.array_except("set_a", "set_b")
+    return pairs.withColumn("outside", outside).withColumn("both", (F.size("set_a") - F.size("outside")).cast("long")).drop("set_a", "set_b", "src_a", "src_b")
+
+
+def _linked(n_a: str, n_b: str) -> Column:
+    return 100 * F.col("both") >= 80 * (F.col(n_a) + F.col(n_b) - F.col("both"))
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """node, root of a forest given as (node, parent) with parent < node, by pointer jumping."""
+    """node, root of a forest given as (node, parent) without cycles, by pointer jumping."""
     at = materialise(parents.select("node", F.col("parent").alias("root")), "roots")
     while True:
         up = at.select(F.col("node").alias("root"), F.col("root").alias("above"))
@@ -252,41 +291,87 @@ def connected(edges: DataFrame) -> DataFrame:
     return total if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def set_components(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """node (a sid), root: the component of each set that is linked with another."""
-    shingles = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    sets = materialise(index_sets(docs, count_classes(docs, shingles)), "sets")
-    kept = materialise(sets.groupBy("sid").agg(F.min("src").alias("src")), "kept")
-    keyed = materialise(sets.select("sid", "n", "m", F.explode("keys").alias("key")).distinct(), "keys")
+def attach(keyed: DataFrame, sets: DataFrame, kept: DataFrame) -> DataFrame:
+    """sid, n, m, family, both, linked, outside for each set that has a pivot to be verified against."""
+    rank = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("alone"), "sid", "n", "m")
     pivots = materialise(
-        keyed.groupBy("key").agg(F.count("*").alias("sets"), F.min(F.struct("sid", "n", "m")).alias("pivot")).where("sets > 1")
-        .select("key", F.col("pivot.sid").alias("b"), F.col("pivot.n").alias("n_b"), F.col("pivot.m").alias("m_b")),
+        keyed.groupBy("key").agg(F.min(rank).alias("pivot")).select("key", F.col("pivot.sid").alias("b"), F.col("pivot.n").alias("n_b"), F.col("pivot.m").alias("m_b")),
         "pivots",
     )
-    stars = materialise(
-        keyed.join(pivots, "key").where((F.col("sid") != F.col("b")) & _possible("n", "m", "n_b", "m_b"))
-        .groupBy(F.col("sid").alias("a"), "b").agg(F.count("*").alias("keys"))
-        .groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b")),
-        "stars",
-    )
-    stars = roots(verify(stars, sets, kept).select(F.col("a").alias("node"), F.col("b").alias("parent")))
+    met = keyed.join(pivots, "key").where((F.col("sid") != F.col("b")) & _possible("n", "m", "n_b", "m_b"))
+    shared = met.groupBy("sid", "n", "m", "b", "n_b").agg(F.count("*").alias("keys"))
+    best = shared.groupBy(F.col("sid").alias("a"), "n", "m").agg(F.max(F.struct("keys", "b", "n_b")).alias("x")).select("a", "n", "m", "x.b", "x.n_b")
+    found = overlaps(best, sets, kept)
+    return materialise(found.select(F.col("a").alias("sid"), "n", "m", F.col("b").alias("family"), "both", _linked("n", "n_b").alias("linked"), "outside"), "attached")
+
+
+def open_pairs(keyed: DataFrame, attached: DataFrame, stars: DataFrame) -> DataFrame:
+    """a, n_a, root_a, b, n_b, root_b: the pairs of different components that may still be linked."""
+    info = attached.select("sid", "family", "both", "linked").join(stars.withColumnRenamed("node", "sid"), "sid", "full")
     placed = materialise(
-        keyed.join(pivots.select("key"), "key", "left_semi")
-        .join(stars.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", "m", F.coalesce("root", "sid").alias("root")),
+        keyed.join(info, "sid", "left").select(
+            "key", "sid", "n", "m", F.coalesce("root", "sid").alias("root"), F.coalesce("family", "sid").alias("family"), "both", F.coalesce("linked", F.lit(True)).alias("linked"),
+        ),
         "placed",
     )
     mixed = materialise(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "mixed")
-    open_ = placed.join(mixed, "key", "left_semi")
-    groups = materialise(open_.groupBy("key", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("m").alias("m")), "groups")
-    other = groups.select("key", *(F.col(c).alias(f"{c}_b") for c in ("root", "least", "most", "m")))
-    near = (5 * F.col("most") >= 4 * F.col("least_b")) & (5 * F.col("most_b") >= 4 * F.col("least"))
-    crossing = materialise(groups.join(other, "key").where((F.col("root") < F.col("root_b")) & near).select("key", "root", "root_b"), "crossing")
-    one = crossing.join(placed.withColumnRenamed("sid", "a"), ["key", "root"])
-    two = placed.select("key", F.col("root").alias("root_b"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
-    pairs = one.join(two, ["key", "root_b"]).where(_possible("n", "m", "n_b", "m_b")).select("a", "b", "root", "root_b").distinct()
-    pairs = materialise(pairs, "pairs")
-    links = materialise(verify(pairs.select("a", "b"), sets, kept).join(pairs, ["a", "b"]).select(F.col("root").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
-    merged = connected(links)
+    placed = materialise(placed.join(mixed, "key", "left_semi"), "open")
+    members = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "m", "root", "both", "linked")]
+    apart = F.col("root_a") != F.col("root_b")
+    out = ["sid_a", "n_a", "root_a", "sid_b", "n_b", "root_b"]
+
+    # Different families: pairs of families first, from the smaller one's members to the larger one's.
+    families = materialise(
+        placed.groupBy("key", "family").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("m").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")),
+        "families",
+    )
+    other = families.select("key", *(F.col(c).alias(f"{c}_b") for c in ("family", "size", "least", "most", "m", "x", "y")))
+    before = F.struct("size", "family") < F.struct(F.col("size_b").alias("size"), F.col("family_b").alias("family"))
+    near = (5 * F.col("most") >= 4 * F.col("least_b")) & (5 * F.col("most_b") >= 4 * F.col("least")) & (180 * F.least("m", "m_b") >= 80 * (F.col("least") + F.col("least_b")))
+    differ = F.least("x", "x_b") != F.greatest("y", "y_b")
+    crossing = materialise(families.join(other, "key").where(before & near & differ).select("key", "family", "family_b", "least_b", F.col("m_b").alias("top_b"), F.col("x_b"), F.col("y_b")), "crossing")
+    fits = (180 * F.least("m_a", "top_b") >= 80 * (F.col("n_a") + F.greatest(F.col("least_b"), F.floor(F.col("n_a") * 4 / 5)))) & ((F.col("root_a") != F.col("x_b")) | (F.col("root_a") != F.col("y_b")))
+    one = crossing.join(placed.select("key", "family", *members("a")), ["key", "family"]).where(fits).select("key", "family_b", "sid_a", "n_a", "m_a", "root_a")
+    two = placed.select("key", F.col("family").alias("family_b"), *members("b"))
+    pairs = materialise(one, "smaller").join(two, ["key", "family_b"]).where(apart & _possible("n_a", "m_a", "n_b", "m_b")).select(out)
+
+    # One family, a shingle shared outside its pivot.
+    loose = materialise(attached.where("NOT linked").select("family").distinct(), "loose")
+    rooted = attached.join(loose, "family", "left_semi").join(stars.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    outer = materialise(rooted.select("family", "sid", "n", "m", "root", "both", "linked", F.explode("outside").alias("shingle")), "outer")
+    twice = materialise(outer.groupBy("family", "shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("family", "shingle"), "twice")
+    outer = materialise(outer.join(twice, ["family", "shingle"], "left_semi"), "outer")
+    left = outer.where("NOT linked").select("family", "shingle", *members("a"))
+    met = left.join(outer.select("family", "shingle", *members("b")), ["family", "shingle"]).where(apart & _possible("n_a", "m_a", "n_b", "m_b"))
+    pairs = pairs.unionByName(met.select(out))
+
+    # One family, nothing shared outside: the other set is smaller than the pivot by enough.
+    within = placed.where("both IS NOT NULL").withColumn("cap", F.floor(F.col("both") * 9 / 4) - F.col("n"))
+    small = within.groupBy("key", "family").agg(F.min("n").alias("least"))
+    askers = materialise(within.where("NOT linked").join(materialise(small, "small"), ["key", "family"]).where("cap >= least"), "askers").select("key", "family", *members("a"))
+    bound = 180 * F.least("both_a", "both_b") >= 80 * (F.col("n_a") + F.col("n_b"))
+    met = askers.join(within.select("key", "family", *members("b")), ["key", "family"]).where(apart & bound)
+    pairs = pairs.unionByName(met.select(out))
+    swap = F.col("sid_a") > F.col("sid_b")
+    named = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{'' if c == 'sid' else c + '_'}{x}") for x, y in ("ab", "ba") for c in ("sid", "n", "root")]
+    return pairs.select(named).distinct()
+
+
+def set_components(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node (a sid), root: the component of each set that is linked with another."""
+    spark = docs.sparkSession.sparkContext
+    chosen = spark.broadcast(representatives(members))
+    shingles = members.where("sid IS NOT NULL").groupBy("sid").agg(F.max("n_shingles").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sets = materialise(index_sets(docs, count_classes(docs, shingles, chosen), chosen), "sets")
+    kept = materialise(sets.groupBy("sid").agg(F.min("src").alias("src")), "kept")
+    single = sets.select("sid", "n", "m", F.explode("keys").alias("key"))
+    several = materialise(single.groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("key"), "several")
+    keyed = materialise(single.join(several, "key", "left_semi").distinct(), "keyed")
+    attached = attach(keyed, sets, kept)
+    stars = roots(attached.where("linked").select(F.col("sid").alias("node"), F.col("family").alias("parent")))
+    tried = overlaps(open_pairs(keyed, attached, stars), sets, kept)
+    links = tried.where(_linked("n_a", "n_b")).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    merged = connected(materialise(links, "links"))
     joined = stars.join(merged.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
     return joined.unionByName(merged.join(stars.select("node"), "node", "left_anti"))
 
