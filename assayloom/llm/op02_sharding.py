@@ -58,13 +58,13 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
     def part(lo: int, hi: int, k: int) -> list[int]:
         if k == 1 or hi - lo <= 1:
             return [hi] * k
-        giant = max(range(lo, hi), key=lambda i: sizes[i])
-        if sizes[giant] * k <= prefix[hi] - prefix[lo]:
-            ends = greedy_cuts(prefix, lo, hi, capacity(lo, hi, k))
-            return ends + [hi] * (k - len(ends))
+        giant, most = max(range(lo, hi), key=lambda i: sizes[i]), capacity(lo, hi, k)
         # The larger of the two sides falls and rises with the number of shards given to the left.
         left = min(range(k), key=lambda n: max(capacity(lo, giant, n), capacity(giant + 1, hi, k - 1 - n)))
         right = k - 1 - left
+        if sizes[giant] * k <= prefix[hi] - prefix[lo] or max(capacity(lo, giant, left), capacity(giant + 1, hi, right)) > most:
+            ends = greedy_cuts(prefix, lo, hi, most)
+            return ends + [hi] * (k - len(ends))
         return (part(lo, giant, left) if left else []) + [giant + 1] + (part(giant + 1, hi, right) if right else [])
 
     ends = part(0, len(sizes), shards)
