@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -33,13 +34,33 @@ def missing_columns(df: DataFrame, required: list[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(lost)}")
 
 
-def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("cp949", "UTF-8"), needed: str = "CAS") -> DataFrame:
-    """The first encoding whose header holds the needed word and whose text has no replacement characters."""
-    for encoding in encodings:
-        df = spark.read.option("header", True).option("encoding", encoding).csv(path)
-        if any(needed in c for c in df.columns) and not any("�" in c for c in df.columns):
-            return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
-    raise ValueError(f"no encoding of {encodings} fits {path}")
+def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("cp949", "utf-8-sig", "utf-8"), needed: str = "CAS") -> DataFrame:
+    """Rows with row_number, in the first encoding that decodes a file whole and whose header holds the needed word.
+
+    Spark's own reader knows few encodings, so files are decoded by Arrow batches and their lines parsed by from_csv. Each file is
+    one value: for dimensions, not for bulk data.
+    """
+
+    def decode(contents: pd.Series) -> pd.Series:
+        def first(raw: bytes) -> str | None:
+            for encoding in encodings:
+                try:
+                    text = raw.decode(encoding)
+                except UnicodeDecodeError:
+                    continue
+                if needed in text.split("\n", 1)[0]:
+                    return text.lstrip("\ufeff")
+            return None
+
+        return contents.map(first)
+
+    text = spark.read.format("binaryFile").load(path).select("path", F.pandas_udf(decode, "string")("content").alias("text"))
+    lines = text.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("row_number", "line")).where("trim(line) <> ''")
+    header = lines.where("row_number = 0").orderBy("path").limit(1).collect()
+    if not header:
+        raise ValueError(f"no encoding of {encodings} fits {path}")
+    schema = ", ".join(f"`{c.strip()}` string" for c in header[0].line.split(","))
+    return lines.where("row_number > 0").select("row_number", F.from_csv("line", schema).alias("x")).select("row_number", "x.*")
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
