@@ -34,6 +34,8 @@ BIGRAMS = 64 * 64
 LAGS = (1, 2, 3, 4)
 KINDS = BIGRAMS + len(LAGS) + 1
 REPEAT_WEIGHT = 60.0
+#: Added to the number of words, so that a chance repetition in a short text weighs little.
+FEW = 20
 BLOCK = 256
 
 
@@ -64,10 +66,10 @@ def features(texts: list[str | None]) -> np.ndarray:
         words = (text or "").split()
         for i, lag in enumerate(LAGS):
             if len(words) > lag:
-                row[BIGRAMS + i] = REPEAT_WEIGHT * sum(map(eq, words, words[lag:])) / (len(words) - lag)
+                row[BIGRAMS + i] = REPEAT_WEIGHT * sum(map(eq, words, words[lag:])) / (len(words) - lag + FEW)
         lines = [x for x in (text or "").split("\n") if x]
         if len(lines) > 1:
-            row[BIGRAMS + len(LAGS)] = REPEAT_WEIGHT * (len(lines) - len(set(lines))) / len(lines)
+            row[BIGRAMS + len(LAGS)] = REPEAT_WEIGHT * (len(lines) - len(set(lines))) / (len(lines) + FEW / 10)
     return out
 
 
