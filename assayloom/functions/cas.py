@@ -37,8 +37,8 @@ def checksum_holds(cas: Column) -> Column:
     """The digits before the last, weighted 1, 2, ... from the right, sum to the last modulo 10."""
     body = F.reverse(F.substring(digits(cas), 1, 100))
     n = F.length(body)
-    total = F.aggregate(F.sequence(F.lit(2), n), F.lit(0), lambda a, i: a + (i - 1) * F.substr(body, i, F.lit(1)).cast("int"))
-    return well_formed(cas) & (total % 10 == F.substr(body, F.lit(1), F.lit(1)).cast("int"))
+    total = F.aggregate(F.sequence(F.lit(2), n), F.lit(0), lambda a, i: a + (i - 1) * F.substr(body, i, F.lit(1)).try_cast("int"))
+    return well_formed(cas) & (total % 10 == F.substr(body, F.lit(1), F.lit(1)).try_cast("int"))
 
 
 def strip_zeros(cas: Column) -> Column:

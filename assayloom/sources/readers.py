@@ -274,3 +274,17 @@ def dataset_order(t: Tables) -> DataFrame:
 def run_summary(t: Tables) -> DataFrame:
     counts = F.struct(F.count("*").alias("total"), F.count_if(F.col("event") == "failure").alias("failures"))
     return t.journal.groupBy("run_id").agg(F.to_json(counts).alias("summary"))
+
+
+@query("src16_template_lookup", "WITH p(folder, rank) AS (VALUES (0, 0), (1, 1), (2, 2)) SELECT d.doc_id, min_by(p.folder, p.rank) AS folder FROM document d JOIN p ON (d.chars + p.folder) % 3 = 0 GROUP BY d.doc_id")
+def template_lookup(t: Tables) -> DataFrame:
+    """The first folder of an ordered search path that holds the template. (Carrier: each document's is in one of three.)"""
+    found = F.filter(F.array(*(F.lit(i) for i in range(3))), lambda i: (F.col("chars") + i) % 3 == 0)
+    return t.document.select("doc_id", F.get(found, F.lit(0)).alias("folder"))
+
+
+@query("snk08_last_good", "SELECT run_id, max_by(seq, seq) AS seq, max_by(candidate, seq) AS candidate FROM journal WHERE status = 'completed' AND event <> 'failure' GROUP BY run_id")
+def last_good(t: Tables) -> DataFrame:
+    """Of the versions of a state the last that was written whole; half-written ones are never chosen."""
+    whole = t.journal.where("status = 'completed' AND event <> 'failure'")
+    return whole.groupBy("run_id").agg(F.max(F.struct("seq", "candidate")).alias("x")).select("run_id", "x.seq", "x.candidate")
