@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 
 LONG = 256
-CACHE = 300_000
+CACHE = 120_000
 CELLS = 1_000_000
 NONE = np.int32(2**31 - 1)
 #: A space that no other white space and no end follows begins a piece; texts with other spaces, or a NUL, take the slow split.
@@ -207,7 +207,7 @@ class Bpe:
 _WORKER: dict[tuple[int, str], Bpe] = {}
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = False, block_chars: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = False, block_chars: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, little-endian unsigned 32-bit, if keep_ids) for each row (doc_id, text).
 
     The ranks (about a megabyte) are read on the driver and broadcast, so executors need no such file.
@@ -242,6 +242,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = Fals
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 start = stop
+        bpe.known.clear()  # workers live on, their next task may be of another stage
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
