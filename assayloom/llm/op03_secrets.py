@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Kind, pattern, least length, the group measured.
 PATTERNS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6, 2),
@@ -238,7 +240,7 @@ def scan(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = scan_texts([t or "" for t in batch.column(1).to_pylist()], shared.value)
             counts = [pa.array([sum(k == kind for _, k, _ in f) for f, _, _ in found], pa.int64()) for kind in range(len(PATTERNS))]
             yield pa.RecordBatch.from_arrays([
@@ -256,7 +258,7 @@ def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             found = scan_texts([t or "" for t in texts], shared.value)
             new = pa.array([t if t is None else mask(t, s) for t, (_, s, _) in zip(texts, found, strict=True)], batch.schema.field(at).type)

@@ -31,6 +31,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 LONG = 256
 CACHE = 120_000
 CELLS = 1_000_000
@@ -221,7 +223,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = Fals
             _WORKER.clear()
             _WORKER[name, pattern] = Bpe.from_lines(shared.value, pattern)
         bpe = _WORKER[name, pattern]
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             start = 0
             while start < len(texts):

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .shingles import mix, shingle_sets
 
 #: Candidates for the least number of sets in which a frequent shingle is found; the smallest that keeps MOST_FREQUENT is used.
@@ -65,13 +65,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], chosen: bytes | None = None) -> I
             at = batch.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - int(math.log2(len(chosen) * 8)))
             bits = np.frombuffer(chosen, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)
             batch = batch.filter(pa.array((bits & 1).astype(bool)))
-        texts, start = [t or "" for t in batch.column(1).to_pylist()], 0
-        while start < len(texts):
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= BLOCK_CHARS):
-                chars, stop = chars + len(texts[stop]), stop + 1
-            yield batch.column(0).slice(start, stop - start), shingle_sets(texts[start:stop])
-            start = stop
+        for part in slices(iter([batch])):
+            texts, start = [t or "" for t in part.column(1).to_pylist()], 0
+            while start < len(texts):
+                stop, chars = start, 0
+                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= BLOCK_CHARS):
+                    chars, stop = chars + len(texts[stop]), stop + 1
+                yield part.column(0).slice(start, stop - start), shingle_sets(texts[start:stop])
+                start = stop
 
 
 def representatives(members: DataFrame) -> bytes:
