@@ -1,17 +1,18 @@
-"""Main text of web pages by wrappers that are inferred for each host.
+"""Main text of web pages by wrappers that are inferred for each template of a host.
 
-A page is cut into a stream of tags, text and raw elements. For each host a wrapper, a union-free regular expression over the streams of
-its pages, is inferred: it starts as the first page's stream and is aligned with one page after the other. Where two texts differ,
-a text slot stands; where tags differ, a repeated group is tried first (the tokens before the mismatch form a square with those
-that follow) and then an optional group, found by the next tag on which both sides agree again. Slots and fixed texts carry the
-path of open elements. Paths of boilerplate (by element and by the words of id, class and role), and texts that stay the same on
-all of several pages outside the article, are left out; the path prefix under which the slots hold the most text is the main one.
+A page is cut into a stream of tags, text and raw elements, and the stream into blocks, each with the path of open elements. Blocks
+of boilerplate (by element and by the words of id, class and role) are left out. The containers of a page are its blocks' paths
+without the elements of running text (p, li, headings) at their end; pages of a host with the same set of containers are of one
+template, whatever the number and order of their paragraphs, lists and headings.
 
-A wrapper names the main prefix of its host; pages are then read in one pass with it: blocks below the prefix, less boilerplate.
-A page that lacks its host's prefix, or a host without a wrapper, is read by the same rules with the prefix found on the page alone.
+The wrapper of a template is counted over all its pages, whole: a text that stands on every page, where there are three different
+ones at least, is fixed; all else falls into slots. The container prefix under which the slots hold the most text is the main one.
+Each task counts its own pages and keeps only texts that all of them have; the counts of tasks are then added up, so what moves
+grows with the templates and tasks, and no key gathers pages. A page's text is what lies below the prefix of its own template. Where
+the prefix is no article or main element and holds under half of the page's own text, nothing but boilerplate is left out.
 
-Wrappers are inferred from at most PAGES pages of a host, those of the smallest hash, each with at most TOKENS tokens of its stream;
-this bounds the sample, not the extraction, which reads every page whole.
+Class Wrapper aligns the streams of pages one after the other into one union-free expression (slots, optional and repeated groups).
+It depends on the order of the pages, and the extraction uses the counts above in its place.
 
 Edge cases: a null or empty page gives an empty text; a page without markup is its own text; unclosed and crossing tags close
 at the end of what holds them; a null URL belongs to the host ''; repeated rows are extracted each; an empty table gives an
@@ -20,22 +21,21 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import op07_urls
-from .common import materialise
+from .common import materialise, slices
 
-PAGES = 8
-TOKENS = 1500
+#: A text is fixed only where so many different pages have it.
+LEAST = 3
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
@@ -43,6 +43,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
     " h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements of running text, which do not tell templates apart.
+CONTENT = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 hgroup pre blockquote figure figcaption hr address summary".split())
 BOILERPLATE = frozenset("head nav header footer aside form menu button select dialog label fieldset".split())
 _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|reply|replies|cookie|cookies|consent"
@@ -141,7 +143,7 @@ class Wrapper:
         self.pages = 1
 
     @staticmethod
-    def stream(page: str, limit: int = TOKENS) -> list[tuple]:
+    def stream(page: str) -> list[tuple]:
         """Tags of blocks and the texts between them, with their paths."""
         out: list[tuple] = []
         path: list[str] = []
@@ -155,8 +157,6 @@ class Wrapper:
             out += [(">", x) for x in reversed(path[same:])] + [("<", x) for x in parts[same:]]
             out.append(("t", text, where, odd))
             path = parts
-            if len(out) >= limit:
-                break
         return out
 
     def align(self, other: list[tuple]) -> None:
@@ -246,55 +246,158 @@ class Wrapper:
     def main_prefix(self) -> str | None:
         """The deepest path prefix with most of the text of the slots."""
         weight: Counter[str] = Counter()
-        total = 0
         for path, text, odd, fixed in self.texts():
-            if odd or (fixed and self.pages > 2 and not _MAIN.search(path)):
-                continue
-            total += len(text)
-            parts = path.split("/")
-            for k in range(1, len(parts) + 1):
-                weight["/".join(parts[:k])] += len(text)
-        marked = [p for p in weight if _MAIN.search(p.rsplit("/", 1)[-1])]
-        if marked:
-            return min(marked, key=lambda p: (-weight[p], len(p)))
-        heavy = [p for p in weight if weight[p] >= 0.6 * total and not p.rsplit("/", 1)[-1].split(".")[0] in ("p", "li", "pre", "blockquote", "td")]
-        return max(heavy, key=lambda p: p.count("/")) if heavy else None
+            if not odd and not (fixed and self.pages > 2 and not _MAIN.search(path)):
+                weight[path] += len(text)
+        return heaviest(weight)
+
+
+def heaviest(weight: dict[str, int]) -> str | None:
+    """The heaviest prefix named article or main; else the deepest that holds three fifths of the text. weight: length by path."""
+    below: Counter[str] = Counter()
+    for path, n in weight.items():
+        parts = path.split("/")
+        for k in range(1, len(parts) + 1):
+            below["/".join(parts[:k])] += n
+    marked = [p for p in below if _MAIN.search(p.rsplit("/", 1)[-1])]
+    if marked:
+        return min(marked, key=lambda p: (-below[p], len(p), p))
+    total = sum(weight.values())
+    heavy = [p for p in below if below[p] >= 0.6 * total and not p.rsplit("/", 1)[-1].split(".")[0] in ("p", "li", "pre", "blockquote", "td")]
+    return max(heavy, key=lambda p: p.count("/")) if heavy else None
+
+
+def within(path: str, prefix: str | None) -> bool:
+    return not prefix or path == prefix or path.startswith(prefix + "/")
+
+
+def select(paths: list[str], texts: list[str], prefix: str | None) -> str:
+    """The texts below the prefix, or all where it is not the main one of these."""
+    held = sum(len(t) for p, t in zip(paths, texts, strict=True) if within(p, prefix))
+    if not held or not (prefix and _MAIN.search(prefix)) and 2 * held < sum(map(len, texts)):
+        prefix = None
+    return "\n".join(t for p, t in zip(paths, texts, strict=True) if within(p, prefix))
 
 
 def main_text(page: str, prefix: str | None) -> str:
-    found = list(blocks(page))
-    within = lambda path, p: not p or path == p or path.startswith(p + "/")
-    if prefix is None or not any(within(path, prefix) for path, _, _ in found):
-        prefix = Wrapper(Wrapper.stream(page)).main_prefix() if found else None
-    return "\n".join(text for path, text, odd in found if not odd and within(path, prefix))
+    """The main text of one page by a prefix, or by the page's own where it lacks that."""
+    found = [(path, text) for path, text, odd in blocks(page) if not odd]
+    if prefix is None or not any(within(path, prefix) for path, _ in found):
+        weight: Counter[str] = Counter()
+        for path, text in found:
+            weight[path] += len(text)
+        prefix = heaviest(weight)
+    return select([p for p, _ in found], [t for _, t in found], prefix)
+
 
+def container(path: str) -> str:
+    parts = path.split("/")
+    while parts and parts[-1].split(".")[0] in CONTENT:
+        parts.pop()
+    return "/".join(parts)
 
-def infer_prefixes(pages: DataFrame) -> DataFrame:
-    """host, prefix for each host, from a bounded sample of its pages."""
 
-    def infer(rows: pd.DataFrame) -> pd.DataFrame:
-        streams = [s for p in rows.sort_values("n")["html"] if (s := Wrapper.stream(p))]
-        wrapper = Wrapper(streams[0]) if streams else None
-        for s in streams[1:]:
-            wrapper.align(s)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "prefix": [wrapper.main_prefix() if wrapper else None]})
+def number(*parts: str) -> int:
+    """64 bits of a hash, the same in every process."""
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    ids = pages.where("html IS NOT NULL").select("host", "page_id", F.xxhash64("page_id").alias("h"))
-    ranked = ids.withColumn("n", F.dense_rank().over(Window.partitionBy("host").orderBy("h", "page_id"))).where(F.col("n") <= PAGES)
-    sample = materialise(ranked.select("host", "page_id", "n").distinct(), "sample")
-    chosen = pages.where("html IS NOT NULL").join(sample, ["host", "page_id"]).dropDuplicates(["host", "page_id"])
-    return chosen.select("host", "n", "html").groupBy("host").applyInPandas(infer, "host string, prefix string")
+
+def parse(pages: DataFrame, kind: str) -> DataFrame:
+    """page_id, url, host, template, page (a hash), and the paths and texts of the blocks, less boilerplate."""
+    out = pa.list_(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            templates, hashes, paths, texts = [], [], [], []
+            for page in batch.column(3).to_pylist():
+                found = [(path, text) for path, text, odd in blocks(page or "") if not odd]
+                templates.append(number(*sorted({container(path) for path, _ in found})) if found else None)
+                hashes.append(number(page or ""))
+                paths.append([path for path, _ in found])
+                texts.append([text for _, text in found])
+            arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(templates, pa.int64()), pa.array(hashes, pa.int64()), pa.array(paths, out), pa.array(texts, out)]
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "template", "page", "paths", "texts"])
+
+    return pages.mapInArrow(run, f"page_id {kind}, url string, host string, template long, page long, paths array<string>, texts array<string>")
+
+
+class Tally:
+    """What a task knows of one template: pages, some of their hashes, text by container, and the texts that all of them have."""
+
+    def __init__(self) -> None:
+        self.pages = 0
+        self.hashes: Counter[int] = Counter()
+        self.weight: Counter[str] = Counter()
+        self.common: dict[int, tuple[str, int]] | None = None
+
+    def add(self, page: int, paths: list[str], texts: list[str]) -> None:
+        self.pages += 1
+        self.hashes[page if page in self.hashes or len(self.hashes) < LEAST else next(iter(self.hashes))] += 1
+        own: dict[int, tuple[str, int]] = {}
+        for path, text in zip(paths, texts, strict=True):
+            box, key = container(path), number(path, text)
+            self.weight[box] += len(text)
+            own[key] = (box, own.get(key, (box, 0))[1] + len(text))
+        self.common = own if self.common is None else {k: (box, n + own[k][1]) for k, (box, n) in self.common.items() if k in own}
+
+    def rows(self) -> Iterator[tuple[str, str | None, int | None, int, int]]:
+        yield from (("page", None, h, n, 0) for h, n in self.hashes.items())
+        yield from (("box", box, None, 0, n) for box, n in self.weight.items())
+        yield from (("text", box, key, self.pages, n) for key, (box, n) in (self.common or {}).items())
+
+
+_COUNTED = pa.schema([("host", pa.string()), ("template", pa.int64()), ("kind", pa.string()), ("box", pa.string()), ("key", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64())])
+
+
+def infer_wrappers(parsed: DataFrame) -> DataFrame:
+    """host, template, prefix for each template, from all of its pages."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[tuple[str, int], Tally] = {}
+        for batch in slices(batches):
+            for host, template, page, paths, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tallies.setdefault((host, template), Tally()).add(page, paths, texts)
+        rows: list[tuple] = []
+        for key, tally in tallies.items():
+            rows += [(*key, *r) for r in tally.rows()]
+            if len(rows) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTED, strict=True)], schema=_COUNTED)
+                rows.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTED, strict=True)], schema=_COUNTED)
+
+    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = []
+            for parts in batch.column(2).to_pylist():
+                slots: Counter[str] = Counter()
+                for x in parts:
+                    slots[x["box"]] += x["chars"] if x["key"] is None else -x["chars"]
+                if not any(slots.values()):  # every page is the same: all of it counts
+                    slots = Counter({x["box"]: x["chars"] for x in parts if x["key"] is None})
+                prefixes.append(heaviest(slots))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prefixes, pa.string())], ["host", "template", "prefix"])
+
+    seen = parsed.where("template IS NOT NULL").select("host", "template", "page", "paths", "texts")
+    counted = seen.mapInArrow(count, "host string, template long, kind string, box string, key long, pages long, chars long")
+    counted = materialise(counted.groupBy("host", "template", "kind", "box", "key").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars")), "counts")
+    whole = counted.where("kind = 'page'").groupBy("host", "template").agg(F.sum("pages").alias("all"), F.count("*").alias("different")).where(F.col("different") >= LEAST)
+    fixed = counted.where("kind = 'text'").join(whole, ["host", "template"]).where(F.col("pages") == F.col("all"))
+    part = ["host", "template", F.struct("box", "key", "chars").alias("x")]
+    parts = counted.where("kind = 'box'").select(*part).unionByName(fixed.select(*part))
+    return parts.groupBy("host", "template").agg(F.collect_list("x").alias("parts")).mapInArrow(infer, "host string, template long, prefix string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
-    hosted = pages.select("page_id", "url", "html", op07_urls.host(F.col("url")).alias("host"))
-    prefixes = materialise(infer_prefixes(hosted), "prefixes")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    parsed = materialise(parse(pages.select("page_id", "url", op07_urls.host(F.col("url")).alias("host"), "html"), kind), "parsed")
+    wrappers = materialise(infer_wrappers(parsed), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(h or "", p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        for batch in slices(batches):
+            texts = [select(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return hosted.join(prefixes, "host", "left").select("page_id", "url", "html", "prefix").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    read = parsed.join(wrappers, ["host", "template"], "left").select("page_id", "url", "paths", "texts", "prefix")
+    return read.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

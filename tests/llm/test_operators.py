@@ -209,3 +209,17 @@ def test_wrapper_finds_the_story():
 )
 def test_main_text(page, want):
     assert op09_html.main_text(page, None) == want
+
+
+def test_html_reads_each_template_by_its_own_wrapper(spark):
+    """Templates outside any small sample of the host, and articles beside a small box of another template's prefix, are kept."""
+    story = lambda i: " ".join(f"word{i}x{k}" for k in range(40))
+    rows = [(i, f"http://h.example/{i}", f"<body><div class=content><p>{story(i)}</p></div><div class=other><p>small {i}</p></div></body>") for i in range(40)]
+    rows += [(i, f"http://h.example/{i}", f"<body><div class=content><p>box {i}</p></div><div class=story><p>{story(i)}</p></div></body>") for i in range(100, 103)]
+    rows.append((200, "http://h.example/200", f"<body><div class=content><p>box</p></div><div class=other><p>{story(200)}</p></div></body>"))
+    long = "".join(f"<div class=a><p>x{k}</p></div>" for k in range(800)) + f"<div class=tail><p>{'tail ' * 4000}</p></div>"
+    rows.append((300, "http://one.example/", f"<body>{long}</body>"))
+    got = {r.page_id: r.text for r in op09_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == story(i) for i in (*range(40), *range(100, 103)))
+    assert got[200] == "box\n" + story(200)
+    assert got[300] == ("tail " * 4000).strip()
