@@ -8,8 +8,9 @@ template, whatever the number and order of their paragraphs, lists and headings.
 The wrapper of a template is counted over all its pages, whole: a text that stands on every page, where there are three different
 ones at least, is fixed; all else falls into slots. The container prefix under which the slots hold the most text is the main one.
 Each task counts its own pages and keeps only texts that all of them have; the counts of tasks are then added up, so what moves
-grows with the templates and tasks, and no key gathers pages. A page's text is what lies below the prefix of its own template. Where
-the prefix is no article or main element and holds under half of the page's own text, nothing but boilerplate is left out.
+grows with the templates and tasks, and no key gathers pages. A page's text is what falls into slots below the prefix of its own template:
+fixed texts are left out, unless the page has nothing else. Where the prefix is no article or main element and holds under half of
+the page's slots, all slots are kept.
 
 Class Wrapper aligns the streams of pages one after the other into one union-free expression (slots, optional and repeated groups).
 It depends on the order of the pages, and the extraction uses the counts above in its place.
@@ -271,8 +272,10 @@ def within(path: str, prefix: str | None) -> bool:
     return not prefix or path == prefix or path.startswith(prefix + "/")
 
 
-def select(paths: list[str], texts: list[str], prefix: str | None) -> str:
-    """The texts below the prefix, or all where it is not the main one of these."""
+def select(paths: list[str], texts: list[str], prefix: str | None, fixed: set[int] | None = None) -> str:
+    """The texts in slots below the prefix, or in all slots where it is not the main one of these. A page of fixed texts keeps them."""
+    if fixed and (slots := [(p, t) for p, t in zip(paths, texts, strict=True) if number(p, t) not in fixed]):
+        paths, texts = [p for p, _ in slots], [t for _, t in slots]
     held = sum(len(t) for p, t in zip(paths, texts, strict=True) if within(p, prefix))
     if not held or not (prefix and _MAIN.search(prefix)) and 2 * held < sum(map(len, texts)):
         prefix = None
@@ -350,7 +353,7 @@ _COUNTED = pa.schema([("host", pa.string()), ("template", pa.int64()), ("kind",
 
 
 def infer_wrappers(parsed: DataFrame) -> DataFrame:
-    """host, template, prefix for each template, from all of its pages."""
+    """host, template, prefix, fixed (hashes of path and text) for each template, from all of its pages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[tuple[str, int], Tally] = {}
@@ -368,7 +371,7 @@ def infer_wrappers(parsed: DataFrame) -> DataFrame:
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes = []
+            prefixes, fixed = [], []
             for parts in batch.column(2).to_pylist():
                 slots: Counter[str] = Counter()
                 for x in parts:
@@ -376,7 +379,9 @@ def infer_wrappers(parsed: DataFrame) -> DataFrame:
                 if not any(slots.values()):  # every page is the same: all of it counts
                     slots = Counter({x["box"]: x["chars"] for x in parts if x["key"] is None})
                 prefixes.append(heaviest(slots))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prefixes, pa.string())], ["host", "template", "prefix"])
+                fixed.append([x["key"] for x in parts if x["key"] is not None])
+            arrays = [batch.column(0), batch.column(1), pa.array(prefixes, pa.string()), pa.array(fixed, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "template", "prefix", "fixed"])
 
     seen = parsed.where("template IS NOT NULL").select("host", "template", "page", "paths", "texts")
     counted = seen.mapInArrow(count, "host string, template long, kind string, box string, key long, pages long, chars long")
@@ -385,7 +390,7 @@ def infer_wrappers(parsed: DataFrame) -> DataFrame:
     fixed = counted.where("kind = 'text'").join(whole, ["host", "template"]).where(F.col("pages") == F.col("all"))
     part = ["host", "template", F.struct("box", "key", "chars").alias("x")]
     parts = counted.where("kind = 'box'").select(*part).unionByName(fixed.select(*part))
-    return parts.groupBy("host", "template").agg(F.collect_list("x").alias("parts")).mapInArrow(infer, "host string, template long, prefix string")
+    return parts.groupBy("host", "template").agg(F.collect_list("x").alias("parts")).mapInArrow(infer, "host string, template long, prefix string, fixed array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -396,8 +401,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [select(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = [select(*x[:3], set(x[3] or ())) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    read = parsed.join(wrappers, ["host", "template"], "left").select("page_id", "url", "paths", "texts", "prefix")
+    read = parsed.join(wrappers, ["host", "template"], "left").select("page_id", "url", "paths", "texts", "prefix", "fixed")
     return read.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

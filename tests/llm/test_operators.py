@@ -223,3 +223,17 @@ def test_html_reads_each_template_by_its_own_wrapper(spark):
     assert all(got[i] == story(i) for i in (*range(40), *range(100, 103)))
     assert got[200] == "box\n" + story(200)
     assert got[300] == ("tail " * 4000).strip()
+
+
+def test_html_leaves_out_what_its_wrapper_marks_as_fixed(spark):
+    """A constant text without a telling class goes, in an article too; on two pages, or where all pages are copies, it stays."""
+    page = lambda box, i: f"<body><{box}><p>Read more every day.</p><p>story {i} of the day</p><p>Read more every day.</p></{box.split()[0]}></body>"
+    rows = [(i, "http://a.example/", page("div class=content", i)) for i in range(5)] + [(10 + i, "http://b.example/", page("article", i)) for i in range(5)]
+    rows += [(20 + i, "http://two.example/", page("article", i)) for i in range(2)] + [(30 + i, "http://copies.example/", page("article", 0)) for i in range(5)]
+    rows += [(40 + i, "http://bare.example/", f"<body id=n{i}><p>only this</p></body>".replace(f"n{i}", "n" + " x" * i)) for i in range(5)]
+    got = {r.page_id: r.text for r in op09_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Read more every day.\nstory {} of the day\nRead more every day."
+    assert all(got[i + k] == f"story {i} of the day" for i in range(5) for k in (0, 10))
+    assert [got[20], got[21]] == [whole.format(0), whole.format(1)]
+    assert {got[30 + i] for i in range(5)} == {whole.format(0)}
+    assert {got[40 + i] for i in range(5)} == {"only this"}
