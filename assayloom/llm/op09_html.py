@@ -15,6 +15,9 @@ the page's slots, all slots are kept.
 Class Wrapper aligns the streams of pages one after the other into one union-free expression (slots, optional and repeated groups).
 It depends on the order of the pages, and the extraction uses the counts above in its place.
 
+Scripts, styles, noscript, template, textarea, title, iframe, svg and canvas are left out with what they hold; a self-closing svg is
+empty, and one of them (but scripts and styles) that is never closed ends with its parent. The text of math and object is content.
+
 Edge cases: a null or empty page gives an empty text; a page without markup is its own text; unclosed and crossing tags close
 at the end of what holds them; a null URL belongs to the host ''; repeated rows are extracted each; an empty table gives an
 empty result; other columns are ignored.
@@ -39,7 +42,9 @@ from .common import materialise, slices
 LEAST = 3
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
+#: Left out with all they hold: RAW ends at the first end tag of its name, DROPPED nests.
+RAW = frozenset("script style noscript textarea title iframe".split())
+DROPPED = frozenset("template svg canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
     " h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -60,8 +65,37 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"
 Token = tuple[str, str, bool]
 
 
+def skipped(page: str, at: int, name: str, above: list[str]) -> int:
+    """Where a left-out element that begins before at ends: at its end tag, or before what ends its parent, or with the page."""
+    inside = [name]
+    while m := _TOKEN.search(page, at):
+        tag = (m.group(2) or "").lower()
+        at = m.end()
+        if not tag:
+            continue
+        if m.group(1):
+            if tag in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(tag) :]
+                if not inside:
+                    return at
+            elif tag in above:
+                return m.start()
+        elif name in RAW:
+            continue
+        elif name == "svg" and tag in BLOCKS and "foreignobject" not in inside or name == "canvas" and len(inside) == 1 and above and tag in _ENDS.get(above[-1], ()):
+            return m.start()
+        elif tag in ("script", "style") and not m.group(3).endswith("/"):
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = close.end() if close else at
+        elif tag not in VOID and not m.group(3).endswith("/"):
+            inside.append(tag)
+    return len(page)
+
+
 def tokens(page: str) -> Iterator[Token]:
     at = 0
+    above: list[str] = []
+    endless: set[str] = set()  # raw elements without a further end tag
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             yield "t", page[at : m.start()], False
@@ -70,16 +104,32 @@ def tokens(page: str) -> Iterator[Token]:
         if not name:
             continue
         if m.group(1):
+            if name in above:
+                del above[len(above) - 1 - above[::-1].index(name) :]
             yield ">", name, False
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            close = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:
+                endless.add(name)
+                at = skipped(page, at, name, above)
+            continue
+        if name in DROPPED:
+            if name != "svg" or not m.group(3).endswith("/"):
+                at = skipped(page, at, name, above)
             continue
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m.group(3))) if m.group(3) else ""
         yield "<", name if not named else f"{name}.{named.split()[0].lower()}" if named.split() else name, name in BOILERPLATE or bool(named and _WORDS.search(named))
         if m.group(3).endswith("/") or name in VOID:
             yield ">", name, False
+        else:
+            if above and name in _ENDS.get(above[-1], ()):
+                above.pop()
+            above.append(name)
     if at < len(page):
         yield "t", page[at:], False
 

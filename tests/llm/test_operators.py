@@ -237,3 +237,24 @@ def test_html_leaves_out_what_its_wrapper_marks_as_fixed(spark):
     assert [got[20], got[21]] == [whole.format(0), whole.format(1)]
     assert {got[30 + i] for i in range(5)} == {whole.format(0)}
     assert {got[40 + i] for i in range(5)} == {"only this"}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>a <svg class='icon'/> b</p><p>c</p></article>", "a b\nc"),
+        ("<article><p>a <svg/> b</p><p>c</p><p>d <svg><text>x</text></svg> e</p></article>", "a b\nc\nd e"),
+        ("<article><p>a <math/> b <math><mi>x</mi><mo>=</mo><mn>2</mn></math> c</p></article>", "a b x=2 c"),
+        ("<article><p>a <object data=f>see f</object> b</p></article>", "a see f b"),
+        ("<article><div>a<object data=f></div><p>b</p></article>", "a\nb"),
+        ("<article><div>a<canvas>no</div><p>b</p><canvas>no</canvas></article>", "a\nb"),
+        ("<article><p>a<canvas>no<p>b</article>", "a\nb"),
+        ("<article><p>a <svg><svg><text>x</text></svg><text>y</text></svg> b</p></article>", "a b"),
+        ("<article><p>a <svg><path d=x><p>b</p></article>", "a\nb"),
+        ("<article><div>a<iframe src=x></div><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><template><div><p>no</p></div></template><noscript><p>no</p></noscript><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><script>x = '</p>'", "a"),
+    ],
+)
+def test_left_out_elements_end_where_they_should(page, want):
+    assert op09_html.main_text(page, None) == want
