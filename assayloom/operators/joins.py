@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables, query
 from ..functions import cas as C
+from .predicates import _CHECK
 
 _FIRST = "first AS (SELECT cas, name, twa, special, permit, exam, measured FROM master QUALIFY row_number() OVER (PARTITION BY cas ORDER BY ord) = 1)"
 
@@ -224,6 +225,24 @@ def cas_repair(t: Tables) -> DataFrame:
     return near.groupBy("doc_id", "seq", "cas").agg(F.min_by("other", "at").alias("repaired"))
 
 
+def repair_invalid(component: DataFrame) -> DataFrame:
+    """Each number whose check digit fails, with the document's first genuine number of its length within Hamming distance 1."""
+    numbers = component.select("doc_id", "seq", "cas", F.length("cas").alias("n"), C.checksum_holds(F.col("cas")).alias("holds"))
+    bad = numbers.where("NOT holds").drop("holds")
+    good = numbers.where("holds").select("doc_id", F.col("seq").alias("at"), F.col("cas").alias("other"), "n")
+    near = bad.join(good, ["doc_id", "n"]).where(C.hamming_one(F.col("cas"), F.col("other")))
+    return near.groupBy("doc_id", "seq", "cas").agg(F.min_by("other", "at").alias("repaired"))
+
+
+@query("jon17_invalid_repair", f"""
+WITH checked AS (SELECT doc_id, seq, cas, {_CHECK} AS holds FROM component)
+SELECT bad.doc_id, bad.seq, bad.cas, min_by(good.cas, good.seq) AS repaired FROM checked bad JOIN checked good ON good.doc_id = bad.doc_id AND length(good.cas) = length(bad.cas) AND hamming(good.cas, bad.cas) <= 1
+WHERE NOT bad.holds AND good.holds GROUP BY ALL""")
+def invalid_repair(t: Tables) -> DataFrame:
+    """All components, by the check digit; jon17_cas_repair takes every seventh as bad in its place."""
+    return repair_invalid(t.component)
+
+
 @query("jon18_name_typos", """
 WITH names AS (SELECT DISTINCT p_name AS name FROM part), typed AS (SELECT DISTINCT p_name AS typed, substr(p_name, 1, 2) || substr(p_name, 4) AS asked FROM part)
 SELECT asked, name, CAST(levenshtein(asked, name) AS INTEGER) AS distance FROM (SELECT DISTINCT asked FROM typed) JOIN names ON abs(length(asked) - length(name)) <= 2 AND levenshtein(asked, name) * 10 <= 2 * greatest(length(asked), length(name))
