@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,6 +261,43 @@ def name_typos(t: Tables) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("asked", "name", "distance")
 
 
+def similar_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """Names like each asked one, as difflib.get_close_matches finds them (ratio of 0.8, the best three, equal ones by name downwards),
+    then those that hold it or that it holds, of a length at most two apart. A ratio of 0.8 needs lengths within a factor of 1.5, so
+    blocks of length lose none."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = difflib.SequenceMatcher()
+        for batch in batches:
+            kept: list[tuple[str, str, float, bool]] = []
+            for word, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if word != matcher.b:
+                    matcher.set_seq2(word)
+                matcher.set_seq1(name)
+                contained = abs(len(word) - len(name)) <= 2 and (word in name or name in word)
+                ratio = matcher.ratio() if matcher.real_quick_ratio() >= 0.8 and matcher.quick_ratio() >= 0.8 else 0.0
+                if contained or ratio >= 0.8:
+                    kept.append((word, name, ratio, contained))
+            columns = list(zip(*kept, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.bool_()), strict=True)], ["asked", "name", "ratio", "contained"])
+
+    blocks = F.expr("explode(sequence(greatest(0, least(length(asked) - 2, (2 * length(asked) + 2) div 3)), greatest(length(asked) + 2, 3 * length(asked) div 2)))")
+    pairs = asked.where("asked IS NOT NULL").select("asked").distinct().select("asked", blocks.alias("n")).join(names.select("name").distinct().withColumn("n", F.length("name").cast("long")), "n")
+    near = pairs.select("asked", "name").mapInArrow(compare, "asked string, name string, ratio double, contained boolean")
+    close = F.when(F.col("ratio") >= 0.8, F.col("ratio"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(close.desc_nulls_last(), F.desc("name"))))
+    best = (F.col("rank") <= 3) & (F.col("ratio") >= 0.8)
+    order = Window.partitionBy("asked").orderBy(F.when(best, F.col("rank")).asc_nulls_last(), "name")
+    return ranked.where(best | F.col("contained")).select("asked", "name", F.row_number().over(order).alias("place"))
+
+
+@query("jon18_similar_names")
+def similar_part_names(t: Tables) -> DataFrame:
+    """The names of jon18_name_typos by the ratio and by containment, which SQL lacks; that query has the Levenshtein distance instead."""
+    asked = t.part.select(F.concat(F.substring("p_name", 1, 2), F.expr("substr(p_name, 4)")).alias("asked"))
+    return similar_names(asked, t.part.select(F.col("p_name").alias("name")))
+
+
 @query("jon19_siblings", "SELECT ord, cas, count(*) OVER (PARTITION BY cas) AS siblings, array_to_string(list_sort(list(name) OVER (PARTITION BY cas)), ' | ') AS names FROM master")
 def siblings(t: Tables) -> DataFrame:
     groups = t.master.groupBy("cas").agg(F.count("*").alias("siblings"), F.array_join(F.sort_array(F.collect_list("name")), " | ").alias("names"))

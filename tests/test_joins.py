@@ -1,5 +1,8 @@
 """Joins against what their operators say, on rows of their own."""
 
+import difflib
+import random
+
 from assayloom import catalog
 from assayloom.operators import joins
 
@@ -13,3 +16,20 @@ def test_numbers_are_repaired_by_their_check_digit(spark):
     got = joins.repair_invalid(spark.createDataFrame(rows, "doc_id long, seq long, cas string")).collect()
     assert sorted(tuple(r) for r in got) == [(1, 1, "7732-18-4", "7732-18-5"), (1, 8, "7732-18-6", "7732-18-5"), (1, 14, "7732-19-5", "7732-18-5")]
     assert "jon17_invalid_repair" in catalog.QUERIES
+
+
+def test_similar_names_are_those_of_difflib(spark):
+    """Against the loop of the reference, names in order."""
+    dice = random.Random(5)
+    names = {"sodium hydroxide solution", "abcd", "abc", "a", "톨루엔", "톨루엔 용액", *("".join(dice.choice("abc") for _ in range(dice.randint(1, 9))) for _ in range(150))}
+    asked = ["sodium hydroxide sol", "abc", "abcabc", "톨루", "", "zzzz", *("".join(dice.choice("abc") for _ in range(dice.randint(1, 9))) for _ in range(40))]
+    want = {}
+    for word in asked:
+        found = difflib.get_close_matches(word, list(names), n=3, cutoff=0.8)
+        found += [n for n in sorted(names) if n not in found and (word in n or n in word) and abs(len(n) - len(word)) <= 2]
+        want |= {(word, n): i for i, n in enumerate(found, 1)}
+    frame = lambda values, name: spark.createDataFrame([(v,) for v in [*values, *values, None]], f"{name} string")
+    got = {(r.asked, r["name"]): r.place for r in joins.similar_names(frame(asked, "asked"), frame(names, "name")).collect()}
+    assert got == want
+    assert ("sodium hydroxide sol", "sodium hydroxide solution") in got
+    assert "jon18_similar_names" in catalog.QUERIES
