@@ -219,6 +219,55 @@ def tiered_match(t: Tables) -> DataFrame:
     return hits.groupBy("j").agg(F.min(F.struct("tier", "i")).alias("x")).select("j", "x.i", "x.tier")
 
 
+#: Categories that stand before a name.
+CATEGORIES = ("측정 비대상", "단시간 및 임시작업", "보관", "허용소비량 미만")
+
+
+def pure_name(name: F.Column) -> F.Column:
+    """Without what is in parentheses, categories, brackets and space; in lower case."""
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    text = strip(F.regexp_replace(name, r"\(.*?\)", ""))
+    for word in CATEGORIES:
+        text = F.when(text.startswith(word), strip(F.substring(text, len(word) + 1, 1_000_000))).otherwise(text)
+    return F.lower(F.regexp_replace(F.regexp_replace(text, r"\[특별\]|\[특검\]|\[허가\]", ""), r"(?U)[\[\]\s]+", ""))
+
+
+def tiers(j: DataFrame, i: DataFrame, mapped: DataFrame) -> DataFrame:
+    """The first hit of each item of j (j, cas, name) in i (i, cas, name): by a mapped factor (j, f_ord, i), by number, or where one
+    name contains the other anywhere. Names are met by equality with all substrings of the longer, so that nothing is lost and no pair
+    is made twice; of what is alike, the first i is kept, and items with a hit by factor or number need no names."""
+    first = lambda c: F.min("i").alias(c)
+    by_factor = mapped.groupBy("j").agg(F.min(F.struct("f_ord", "i")).alias("x")).select("j", "x.i", F.lit(0).alias("tier"))
+    by_number = j.select("j", "cas").join(i.groupBy("cas").agg(first("i")), "cas").select("j", "i", F.lit(1).alias("tier"))
+    hits = by_factor.unionByName(by_number)
+    left = j.join(hits.select("j"), "j", "left_anti").select("j", pure_name(F.col("name")).alias("name")).where("name <> ''")
+    names = i.select("i", pure_name(F.col("name")).alias("name")).where("name <> ''").groupBy("name").agg(first("i"))
+    parts = F.expr("explode(array_distinct(flatten(transform(sequence(1, length(name)), a -> transform(sequence(1, length(name) - a + 1), n -> substring(name, a, n))))))").alias("name")
+    holds = left.select("j", parts).join(names, "name").select("j", "i")
+    asked = left.select("name").distinct()
+    held = names.select("i", parts).join(asked, "name", "left_semi").groupBy("name").agg(first("i"))
+    held = left.join(held, "name").select("j", "i")
+    hits = hits.unionByName(holds.unionByName(held).withColumn("tier", F.lit(2)))
+    return hits.groupBy("j").agg(F.min(F.struct("tier", "i")).alias("x")).select("j", "x.i", "x.tier")
+
+
+_PURE = r"lower(regexp_replace(regexp_replace({}, '\(.*?\)', '', 'g'), '[\[\]\s]+', '', 'g'))"
+
+
+@query("jon16_whole_match", f"""
+WITH m AS (SELECT ord, cas, {_PURE.format("name")} AS name FROM master),
+hits AS (SELECT j.ord AS j, i.ord AS i, 0 AS tier FROM m j JOIN m i ON i.ord % 97 = j.ord % 97 AND i.cas <> j.cas WHERE j.ord % 20 = 0 UNION ALL SELECT j.ord, i.ord, 1 FROM m j JOIN m i USING (cas) UNION ALL SELECT j.ord, i.ord, 2 FROM m j JOIN m i ON contains(j.name, i.name) OR contains(i.name, j.name) WHERE j.name <> '' AND i.name <> '')
+SELECT j, i, CAST(tier AS INTEGER) AS tier FROM hits QUALIFY row_number() OVER (PARTITION BY j ORDER BY tier, i) = 1""")
+def whole_match(t: Tables) -> DataFrame:
+    """All of master on both sides. The factors are data made up here: every twentieth item has one. A factor's first two numbers do."""
+    j = t.master.select(F.col("ord").alias("j"), "cas", "name")
+    i = t.master.select(F.col("ord").alias("i"), "cas", "name")
+    heads = i.groupBy(F.expr("i % 97").alias("factor"), F.col("cas").alias("cas_i")).agg(F.min("i").alias("i"))
+    heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("factor").orderBy("i"))).where("n <= 2")
+    mapped = j.where("j % 20 = 0").withColumn("factor", F.expr("j % 97")).join(heads, "factor").where("cas <> cas_i").select("j", F.lit(0).alias("f_ord"), "i")
+    return tiers(j, i, mapped)
+
+
 @query("jon17_cas_repair", """
 WITH bad AS (SELECT doc_id, seq, cas FROM component WHERE seq % 7 = 0), good AS (SELECT doc_id, seq, cas FROM component WHERE seq % 7 <> 0)
 SELECT bad.doc_id, bad.seq, bad.cas, min_by(good.cas, good.seq) AS repaired FROM bad JOIN good ON good.doc_id = bad.doc_id AND length(good.cas) = length(bad.cas) AND hamming(good.cas, bad.cas) <= 1 GROUP BY ALL""")

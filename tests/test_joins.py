@@ -33,3 +33,27 @@ def test_similar_names_are_those_of_difflib(spark):
     assert got == want
     assert ("sodium hydroxide sol", "sodium hydroxide solution") in got
     assert "jon18_similar_names" in catalog.QUERIES
+
+
+def test_items_match_by_contained_names_anywhere(spark):
+    j = [(1, "9-99-9", "x Toluene (5%)"), (2, None, "ring"), (3, None, "[특별]Acetone"), (4, "1-11-1", "b"), (5, "1-11-1", "b"), (6, None, "nothing"), (7, None, "()"), (8, None, "보관 톨루엔")]
+    i = [(10, "1-11-1", "toluene"), (11, "2-22-2", "a b c ring d"), (12, None, "pure acetone"), (13, "3-33-3", "lu"), (14, None, "( )"), (15, None, "톨루엔 용액")]
+    items = lambda rows, key: spark.createDataFrame(rows, f"{key} long, cas string, name string")
+    mapped = spark.createDataFrame([(5, 1, 10), (5, 0, 13), (5, 0, 14)], "j long, f_ord int, i long")
+    got = sorted(tuple(r) for r in joins.tiers(items(j, "j"), items(i, "i"), mapped).collect())
+    assert got == [(1, 10, 2), (2, 11, 2), (3, 12, 2), (4, 10, 1), (5, 13, 0), (8, 15, 2)]
+    assert "jon16_whole_match" in catalog.QUERIES
+
+
+def test_containment_loses_nothing(spark):
+    dice = random.Random(6)
+    word = lambda: "".join(dice.choice("ab ") for _ in range(dice.randint(0, 7)))
+    j, i = [(k, None, word()) for k in range(80)], [(k, None, word() + "b") for k in range(60)]
+    bare = lambda x: x.replace(" ", "")
+    want = {}
+    for k, _, a in j:
+        hit = next((n for n, _, b in i if bare(a) and (bare(a) in bare(b) or bare(b) in bare(a))), None)
+        want |= {k: hit} if hit is not None else {}
+    items = lambda rows, key: spark.createDataFrame(rows, f"{key} long, cas string, name string")
+    got = joins.tiers(items(j, "j"), items(i, "i"), spark.createDataFrame([], "j long, f_ord int, i long")).collect()
+    assert {r.j: r.i for r in got} == want
