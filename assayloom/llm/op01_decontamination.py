@@ -9,13 +9,18 @@ Windows of documents first pass a bit map of the benchmark's seeds (a Bloom filt
 stage; only what passes is joined. While the benchmark has at most BROADCAST_SEEDS seeds they are broadcast, and the document's
 tokens never leave the stage that made them; a larger benchmark is joined by shuffling the windows that passed.
 
-Edge cases: tokens are runs of letters and digits, lower-cased; null and empty texts have none; an item shorter than the
-shortest mask cannot be found; repeated rows of a document or equal items are one match each id; rows with a null doc_id or
+The masks miss items shorter than themselves, and some overlaps of items shorter than WINDOW. Where the benchmark has such items,
+they are also joined whole, by a seed for each set of positions that may differ (a fifth of the item at most), so none is missed.
+
+Edge cases: tokens are runs of letters and digits, lower-cased; null and empty texts have none; an item of one token is not
+looked for; repeated rows of a document or equal items are one match each id; rows with a null doc_id or
 item_id are matched under null; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +64,32 @@ def seed_map(found: DataFrame, bits: int = MAP_BITS) -> DataFrame:
     return every.agg(F.transform(ordered, lambda x: x["set"]).alias("map"))
 
 
+def short_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """doc_id, item_id, overlap, item_tokens, doc_at where an item of 2 to WINDOW - 1 tokens agrees in all but a fifth of its tokens; it may
+    hang over an end of the document by as many. None if there is no such item."""
+    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).where(F.size("item").between(2, WINDOW - 1))
+    lengths = sorted(r[0] for r in items.select(F.size("item")).distinct().collect())  # WINDOW - 1 at most
+    if not lengths:
+        return None
+    kept = [(n, [o for o in range(n) if o not in free]) for n in lengths for free in combinations(range(n), n // 5)]
+    masks = ", ".join(f"named_struct('m', {m}, 'n', {n}, 'o', array({', '.join(map(str, o))}))" for m, (n, o) in enumerate(kept))
+
+    def seeded(tokens: str, fits: str) -> Column:
+        return F.expr(
+            f"inline(transform(filter(array({masks}), x -> {fits} AND get({tokens}, x.o[0]) IS NOT NULL AND get({tokens}, array_max(x.o)) IS NOT NULL),"
+            f" x -> named_struct('mask', x.m, 'seed', xxhash64(x.m, transform(x.o, o -> get({tokens}, o))))))"
+        )
+
+    # Of a document only the window goes on, with nulls beyond its ends.
+    window = f"named_struct('at', at, 'w', transform(sequence(0, {lengths[-1] - 1}), k -> get(doc, at + k)))"
+    windows = docs.select("doc_id", token_hashes(F.col("text")).alias("doc")).where(F.size("doc") > 0)
+    windows = windows.select("doc_id", F.expr(f"inline(transform(sequence(-{lengths[-1] // 5}, size(doc) - 1), at -> {window}))"))
+    hits = windows.select("doc_id", "at", "w", seeded("w", "true")).join(items.select("item_id", "item", seeded("item", "x.n = size(item)")), ["mask", "seed"])
+    size = F.size("item")
+    same = F.expr("size(filter(sequence(0, size(item) - 1), k -> get(w, k) = get(item, k)))")
+    return hits.where(same >= F.ceil(size * 0.8)).select("doc_id", "item_id", same.alias("overlap"), size.alias("item_tokens"), F.col("at").alias("doc_at"))
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, overlap (aligned tokens that agree), item_tokens, doc_at: the best verified overlap of each pair."""
     probes = benchmark_seeds(benchmark)
@@ -84,9 +115,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     whole = F.expr("size(filter(sequence(0, size(item) - 1), j -> at - item_at + j >= 0 AND get(doc, at - item_at + j) = get(item, j)))")
     best = F.expr("array_max(transform(sequence(0, greatest(size(agree) - width, 0)), k -> aggregate(slice(agree, k + 1, width), 0, (n, x) -> n + x)))")
     needed = F.when(size >= WINDOW, LEAST).otherwise(F.ceil(size * 0.8))
-    return (
+    found = (
         hits.withColumn("agree", agree).withColumn("width", width).where(best >= needed)
         .select("doc_id", "item_id", whole.alias("overlap"), size.alias("item_tokens"), (at - F.col("item_at")).alias("doc_at"))
-        .groupBy("doc_id", "item_id")
+    )
+    short = short_overlaps(docs, benchmark)
+    return (
+        (found if short is None else found.unionByName(short)).groupBy("doc_id", "item_id")
         .agg(F.max("overlap").alias("overlap"), F.max("item_tokens").alias("item_tokens"), F.max_by("doc_at", F.struct("overlap", F.negative("doc_at"))).alias("doc_at"))
     )

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out rows."""
 
 import base64
+import itertools
 import random
 import zlib
 
@@ -258,3 +259,20 @@ def test_html_leaves_out_what_its_wrapper_marks_as_fixed(spark):
 )
 def test_left_out_elements_end_where_they_should(page, want):
     assert op09_html.main_text(page, None) == want
+
+
+def test_short_items_are_found_whenever_four_fifths_agree(spark):
+    """Items of 2 to 12 tokens with every set of two or fewer substitutions, and cut at either end, against the rule itself."""
+    items = [(n, " ".join(f"t{n}x{k}" for k in range(n))) for n in range(2, 13)]
+    docs, want = [], set()
+    for n, text in items:
+        words = text.split()
+        forms = [[f"z{k}" if k in free else w for k, w in enumerate(words)] for r in range(3) for free in itertools.combinations(range(n), r)]
+        for form in forms + [words[c:] for c in (1, 2)] + [words[:-c] for c in (1, 2)]:
+            agree = len(set(form) & set(words))
+            for around in ("{}", "a b {} c d"):
+                docs.append((len(docs), around.format(" ".join(form))))
+                if agree >= -(-4 * n // 5):
+                    want.add((len(docs) - 1, n, agree))
+    got = op01_decontamination.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.overlap) for r in got.collect()} == want
