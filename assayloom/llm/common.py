@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors share no folder for intermediate tables")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="assayloom-"))
     return _FALLBACK[0]

@@ -1,19 +1,24 @@
-"""Main text of web pages by wrappers that are inferred for each template of a host.
+"""Main text of web pages by wrappers: union-free expressions that are inferred for each template of a host.
 
-A page is cut into a stream of tags, text and raw elements, and the stream into blocks, each with the path of open elements. Blocks
-of boilerplate (by element and by the words of id, class and role) are left out. The containers of a page are its blocks' paths
-without the elements of running text (p, li, headings) at their end; pages of a host with the same set of containers are of one
-template, whatever the number and order of their paragraphs, lists and headings.
+A page is cut into a stream of tags, text and raw elements, and the stream into blocks, each with the path of open elements. The
+containers of a page are its blocks' paths without the elements of running text (p, li, headings) at their end; pages of a host
+with the same set of containers are of one template, whatever the number and order of their paragraphs, lists and headings.
 
-The wrapper of a template is counted over all its pages, whole: a text that stands on every page, where there are three different
-ones at least, is fixed; all else falls into slots. The container prefix under which the slots hold the most text is the main one.
-Each task counts its own pages and keeps only texts that all of them have; the counts of tasks are then added up, so what moves
-grows with the templates and tasks, and no key gathers pages. A page's text is what falls into slots below the prefix of its own template:
-fixed texts are left out, unless the page has nothing else. Where the prefix is no article or main element and holds under half of
-the page's slots, all slots are kept.
+Class Wrapper aligns the streams of a template's pages one after the other. Tokens meet by the path of their element: an element
+that a page lacks makes its group optional (?), one that comes again makes it repeated (+), and a text that differs from those
+that all pages so far have at that place becomes a slot (#text). Two wrappers align in the same way, and as aligning is
+associative and commutative, each task aligns its own pages and the wrappers of tasks are added up: all pages are read whole, the
+result depends on no order, what moves grows with the templates and tasks, and no key gathers pages.
 
-Class Wrapper aligns the streams of pages one after the other into one union-free expression (slots, optional and repeated groups).
-It depends on the order of the pages, and the extraction uses the counts above in its place.
+A page is then read by the wrapper of its template. Its fixed texts are left out, in optional groups too, unless the page has
+nothing else; the texts in slots below the main prefix (the group whose slots hold the most text) are the page's text. Where that
+prefix is no article or main element and holds under half of the page's slots, all slots are kept. A text is fixed if all pages
+that have its group have it: LEAST different ones at least, for an optional group LEAST_OPTIONAL. Where fixed texts would be four fifths of
+a template, its pages are near copies of one another, and nothing is fixed.
+
+A wrapper cannot tell a varying sidebar from a varying article. So blocks of boilerplate elements (nav, aside, footer, ...) and
+of elements whose id, class or role says so are never aligned. A name that only tells of another element (has-sidebar,
+no-comments) does not count, nor does any on html, body and main; on an article only those of comments, adverts and teasers do.
 
 Scripts, styles, noscript, template, textarea, title, iframe, svg and canvas are left out with what they hold; a self-closing svg is
 empty, and one of them (but scripts and styles) that is never closed ends with its parent. The text of math and object is content.
@@ -38,8 +43,8 @@ from pyspark.sql import functions as F
 from . import op07_urls
 from .common import materialise, slices
 
-#: A text is fixed only where so many different pages have it.
-LEAST = 3
+#: A text is fixed only where so many different pages have it, in a group that all pages have or in an optional one.
+LEAST, LEAST_OPTIONAL = 3, 8
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Left out with all they hold: RAW ends at the first end tag of its name, DROPPED nests.
@@ -57,6 +62,9 @@ _WORDS = re.compile(
     r"|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|promoted|related|share|sharing|sidebar|social"
     r"|sponsor|sponsored|subscribe|subscription|toolbar|widget|disqus|alert|modal)(?:$|[\s_-])", re.I,
 )
+#: Of a name, what tells of another element; of an article's names, those that count.
+_OTHERS = re.compile(r"(?:^|(?<=\s))(?:has|have|with|without|no|not|is|show|hide|hides|hidden)[_-]\S*", re.I)
+_ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|comment|comments|reply|replies|related|promo|promoted|sponsor|sponsored|teaser)(?:$|[\s_-])", re.I)
 _MAIN = re.compile(r"(?:^|/)(?:article|main)(?:$|[/.])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -65,6 +73,13 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"
 Token = tuple[str, str, bool]
 
 
+def telling(element: str, named: str) -> bool:
+    """Whether the id, class and role of an element mark it as boilerplate."""
+    if element in ("html", "body", "main") or not named:
+        return False
+    return bool((_ARTICLE_WORDS if element == "article" else _WORDS).search(_OTHERS.sub(" ", named)))
+
+
 def skipped(page: str, at: int, name: str, above: list[str]) -> int:
     """Where a left-out element that begins before at ends: at its end tag, or before what ends its parent, or with the page."""
     inside = [name]
@@ -123,7 +138,7 @@ def tokens(page: str) -> Iterator[Token]:
                 at = skipped(page, at, name, above)
             continue
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m.group(3))) if m.group(3) else ""
-        yield "<", name if not named else f"{name}.{named.split()[0].lower()}" if named.split() else name, name in BOILERPLATE or bool(named and _WORDS.search(named))
+        yield "<", name if not named else f"{name}.{named.split()[0].lower()}" if named.split() else name, name in BOILERPLATE or telling(name, named)
         if m.group(3).endswith("/") or name in VOID:
             yield ">", name, False
         else:
@@ -182,127 +197,6 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool]]:
         yield out
 
 
-class Wrapper:
-    """A union-free expression over the token streams of one host.
-
-    Items: ("<"|">", label) a tag, ("t", text, path) a fixed text, ("s", texts, path) a text slot, ("?", items) an optional and
-    ("+", items) a repeated group.
-    """
-
-    def __init__(self, stream: list[tuple]) -> None:
-        self.items = stream
-        self.pages = 1
-
-    @staticmethod
-    def stream(page: str) -> list[tuple]:
-        """Tags of blocks and the texts between them, with their paths."""
-        out: list[tuple] = []
-        path: list[str] = []
-        for where, text, odd in blocks(page):
-            parts = where.split("/") if where else []
-            same = 0
-            while same < min(len(parts), len(path)) and parts[same] == path[same]:
-                same += 1
-            # Two blocks in a row of the same path are siblings: the last element closes and opens again.
-            same = min(same, len(parts) - 1) if parts == path and parts else same
-            out += [(">", x) for x in reversed(path[same:])] + [("<", x) for x in parts[same:]]
-            out.append(("t", text, where, odd))
-            path = parts
-        return out
-
-    def align(self, other: list[tuple]) -> None:
-        self.items = self._align(self.items, other)
-        self.pages += 1
-
-    @classmethod
-    def _align(cls, left: list[tuple], right: list[tuple]) -> list[tuple]:
-        out: list[tuple] = []
-        i = j = 0
-        while i < len(left) or j < len(right):
-            a, b = left[i] if i < len(left) else None, right[j] if j < len(right) else None
-            if a and a[0] in "?+":
-                used = cls._match(a[1], right, j)
-                while a[0] == "+" and used and (more := cls._match(a[1], right, used)):
-                    used = more
-                out.append(a)
-                i, j = i + 1, used or j
-            elif a and b and a[0] in "ts" and b[0] == "t":
-                if a[0] == "s" or a[1] != b[1] or a[2] != b[2]:
-                    out.append(("s", [*(a[1] if a[0] == "s" else [a[1]]), b[1]], a[2], a[3]))
-                else:
-                    out.append(a)
-                i, j = i + 1, j + 1
-            elif a and b and a[:2] == b[:2]:
-                out.append(a)
-                i, j = i + 1, j + 1
-            elif (n := cls._square(out, right, j)):
-                out[-n:] = [("+", cls._slots(out[-n:], right[j : j + n]))]
-                j += n
-            elif (n := cls._square(out, left, i)):
-                out[-n:] = [("+", cls._slots(out[-n:], left[i : i + n]))]
-                i += n
-            else:
-                skip_left, skip_right = cls._meet(left, i, b), cls._meet(right, j, a)
-                if b is None or (skip_left is not None and (skip_right is None or skip_left <= skip_right)):
-                    n = skip_left if b is not None else len(left) - i
-                    out.append(("?", left[i : i + n]))
-                    i += n
-                else:
-                    n = skip_right if a is not None and skip_right is not None else (len(right) - j if a is None else 1)
-                    out.append(("?", right[j : j + n]))
-                    j += n
-        return out
-
-    @staticmethod
-    def _match(items: list[tuple], stream: list[tuple], at: int) -> int | None:
-        """The end of items in stream from at on, if they fit."""
-        if at + len(items) > len(stream):
-            return None
-        for x, y in zip(items, stream[at:], strict=False):
-            if not (x[0] in "ts" and y[0] == "t" or x[:2] == y[:2]):
-                return None
-        return at + len(items)
-
-    @classmethod
-    def _square(cls, out: list[tuple], stream: list[tuple], at: int, most: int = 12) -> int:
-        """The length of a repetition: the last items of out fit the stream from at on again."""
-        for n in range(2, min(most, len(out)) + 1):
-            if out[-n][0] in "<>" and not any(x[0] in "?+" for x in out[-n:]) and cls._match(out[-n:], stream, at):
-                return n
-        return 0
-
-    @staticmethod
-    def _slots(items: list[tuple], again: list[tuple]) -> list[tuple]:
-        text = lambda x: x[1] if x[0] == "s" else [x[1]]
-        return [("s", text(x) + text(y), x[2], x[3]) if x[0] in "ts" else x for x, y in zip(items, again, strict=True)]
-
-    @staticmethod
-    def _meet(stream: list[tuple], at: int, wanted: tuple | None, most: int = 200) -> int | None:
-        if wanted is None or wanted[0] in "?+":
-            return None
-        return next((k for k in range(1, min(most, len(stream) - at)) if stream[at + k][0] == wanted[0] and (wanted[0] in "ts" or stream[at + k][1] == wanted[1])), None)
-
-    def texts(self) -> Iterator[tuple[str, str, bool, bool]]:
-        """(path, text, boilerplate, whether fixed) of all slots and fixed texts."""
-        todo = [self.items]
-        while todo:
-            for x in todo.pop():
-                if x[0] in "?+":
-                    todo.append(x[1])
-                elif x[0] == "t":
-                    yield x[2], x[1], x[3], True
-                elif x[0] == "s":
-                    yield from ((x[2], t, x[3], False) for t in x[1])
-
-    def main_prefix(self) -> str | None:
-        """The deepest path prefix with most of the text of the slots."""
-        weight: Counter[str] = Counter()
-        for path, text, odd, fixed in self.texts():
-            if not odd and not (fixed and self.pages > 2 and not _MAIN.search(path)):
-                weight[path] += len(text)
-        return heaviest(weight)
-
-
 def heaviest(weight: dict[str, int]) -> str | None:
     """The heaviest prefix named article or main; else the deepest that holds three fifths of the text. weight: length by path."""
     below: Counter[str] = Counter()
@@ -374,45 +268,112 @@ def parse(pages: DataFrame, kind: str) -> DataFrame:
     return pages.mapInArrow(run, f"page_id {kind}, url string, host string, template long, page long, paths array<string>, texts array<string>")
 
 
-class Tally:
-    """What a task knows of one template: pages, some of their hashes, text by container, and the texts that all of them have."""
+class Wrapper:
+    """The union-free expression of one template, as far as its pages are aligned.
+
+    groups: by path of elements, [pages that have it, most times on a page]. places: by path of a text, hashes of some pages that
+    have it, and the texts that all of them have, {hash: characters on all pages}. weight: characters by container.
+    """
 
     def __init__(self) -> None:
-        self.pages = 0
-        self.hashes: Counter[int] = Counter()
+        self.groups: dict[str, list[int]] = {"": [0, 1]}
+        self.places: dict[str, tuple[set[int], dict[int, int]]] = {}
         self.weight: Counter[str] = Counter()
-        self.common: dict[int, tuple[str, int]] | None = None
 
-    def add(self, page: int, paths: list[str], texts: list[str]) -> None:
-        self.pages += 1
-        self.hashes[page if page in self.hashes or len(self.hashes) < LEAST else next(iter(self.hashes))] += 1
-        own: dict[int, tuple[str, int]] = {}
+    def align(self, page: int, paths: list[str], texts: list[str]) -> None:
+        """page: its hash."""
+        times: Counter[str] = Counter({"": 1})
+        held: dict[str, dict[int, int]] = {}
+        before = ""
         for path, text in zip(paths, texts, strict=True):
-            box, key = container(path), number(path, text)
-            self.weight[box] += len(text)
-            own[key] = (box, own.get(key, (box, 0))[1] + len(text))
-        self.common = own if self.common is None else {k: (box, n + own[k][1]) for k, (box, n) in self.common.items() if k in own}
-
-    def rows(self) -> Iterator[tuple[str, str | None, int | None, int, int]]:
-        yield from (("page", None, h, n, 0) for h, n in self.hashes.items())
-        yield from (("box", box, None, 0, n) for box, n in self.weight.items())
-        yield from (("text", box, key, self.pages, n) for key, (box, n) in (self.common or {}).items())
-
-
-_COUNTED = pa.schema([("host", pa.string()), ("template", pa.int64()), ("kind", pa.string()), ("box", pa.string()), ("key", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64())])
+            parts = path.split("/")
+            for k in range(1, len(parts) + 1):
+                group = "/".join(parts[:k])
+                # A block of the same path as the one before repeats the innermost group; the groups around both go on.
+                times[group] += path == before and k == len(parts) or not within(before, group)
+            own = held.setdefault(path, {})
+            key = number(path, text)
+            own[key] = own.get(key, 0) + len(text)
+            self.weight[container(path)] += len(text)
+            before = path
+        for group, n in times.items():
+            known = self.groups.setdefault(group, [0, 0])
+            known[0], known[1] = known[0] + 1, max(known[1], n)
+        for path, own in held.items():
+            if path not in self.places:
+                self.places[path] = ({page}, own)
+                continue
+            seen, common = self.places[path]
+            if len(seen) < LEAST_OPTIONAL:
+                seen.add(page)
+            self.places[path] = (seen, {k: n + own[k] for k, n in common.items() if k in own})
+
+    def rows(self) -> Iterator[tuple[str, str, int | None, int, int, int]]:
+        """kind, path, key, pages, most, chars: what adds up with the rows of other wrappers of the template."""
+        for group, (pages, most) in self.groups.items():
+            yield "group", group, None, pages, most, 0
+        for path, (seen, common) in self.places.items():
+            yield from (("page", path, h, 0, 0, 0) for h in seen)
+            yield from (("text", path, key, self.groups[path][0], 0, n) for key, n in common.items())
+        yield from (("box", box, None, 0, 0, n) for box, n in self.weight.items())
+
+
+class Expression:
+    """What the added rows of a template's wrappers say. parts: dicts of kind, path, key, pages, most, chars."""
+
+    def __init__(self, parts: list[dict]) -> None:
+        of = lambda kind: [x for x in parts if x["kind"] == kind]
+        self.groups = {x["path"]: (x["pages"], x["most"]) for x in of("group")}
+        all_pages = self.groups[""][0]
+        different = {x["path"]: x["pages"] for x in of("different")}
+        weight = Counter({x["path"]: x["chars"] for x in of("box")})
+        fixed = [
+            x for x in of("text")
+            if x["pages"] == self.groups[x["path"]][0] and different[x["path"]] >= (LEAST if x["pages"] == all_pages else LEAST_OPTIONAL)
+        ]
+        if 5 * sum(x["chars"] for x in fixed) >= 4 * sum(weight.values()):  # near copies
+            fixed = []
+        self.fixed = {x["key"]: x["path"] for x in fixed}
+        slots = Counter(weight)
+        for x in fixed:
+            slots[container(x["path"])] -= x["chars"]
+        self.prefix = heaviest(slots)
+        self.texts = set(different)
+
+    def __str__(self) -> str:
+        """The expression: element(inside), ? optional, + repeated, #text a slot, "" a fixed text."""
+        inside: dict[str, list[str]] = {}
+        for path in sorted(self.groups):
+            if path:
+                inside.setdefault(path.rpartition("/")[0], []).append(path)
+        held = Counter(self.fixed.values())
+
+        def show(path: str) -> str:
+            pages, most = self.groups[path]
+            above = self.groups[path.rpartition("/")[0]][0]
+            within_it = '""' * held[path] + "#text" * (path in self.texts) + "".join(map(show, inside.get(path, ())))
+            return f"{path.rpartition('/')[2]}({within_it})" + "+" * (most > 1) + "?" * (pages < above)
+
+        return "".join(map(show, inside.get("", ())))
+
+
+_COUNTED = pa.schema([
+    ("host", pa.string()), ("template", pa.int64()), ("kind", pa.string()), ("path", pa.string()), ("key", pa.int64()), ("pages", pa.int64()), ("most", pa.int64()),
+    ("chars", pa.int64()),
+])
 
 
 def infer_wrappers(parsed: DataFrame) -> DataFrame:
-    """host, template, prefix, fixed (hashes of path and text) for each template, from all of its pages."""
+    """host, template, prefix, fixed (hashes of path and text), expression for each template, from all of its pages."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: dict[tuple[str, int], Tally] = {}
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrappers: dict[tuple[str, int], Wrapper] = {}
         for batch in slices(batches):
             for host, template, page, paths, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tallies.setdefault((host, template), Tally()).add(page, paths, texts)
+                wrappers.setdefault((host, template), Wrapper()).align(page, paths, texts)
         rows: list[tuple] = []
-        for key, tally in tallies.items():
-            rows += [(*key, *r) for r in tally.rows()]
+        for key, wrapper in wrappers.items():
+            rows += [(*key, *r) for r in wrapper.rows()]
             if len(rows) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTED, strict=True)], schema=_COUNTED)
                 rows.clear()
@@ -421,33 +382,29 @@ def infer_wrappers(parsed: DataFrame) -> DataFrame:
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes, fixed = [], []
-            for parts in batch.column(2).to_pylist():
-                slots: Counter[str] = Counter()
-                for x in parts:
-                    slots[x["box"]] += x["chars"] if x["key"] is None else -x["chars"]
-                if not any(slots.values()):  # every page is the same: all of it counts
-                    slots = Counter({x["box"]: x["chars"] for x in parts if x["key"] is None})
-                prefixes.append(heaviest(slots))
-                fixed.append([x["key"] for x in parts if x["key"] is not None])
-            arrays = [batch.column(0), batch.column(1), pa.array(prefixes, pa.string()), pa.array(fixed, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["host", "template", "prefix", "fixed"])
+            found = [Expression(parts) for parts in batch.column(2).to_pylist()]
+            arrays = [pa.array([e.prefix for e in found], pa.string()), pa.array([list(e.fixed) for e in found], pa.list_(pa.int64())), pa.array([str(e) for e in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["host", "template", "prefix", "fixed", "expression"])
 
     seen = parsed.where("template IS NOT NULL").select("host", "template", "page", "paths", "texts")
-    counted = seen.mapInArrow(count, "host string, template long, kind string, box string, key long, pages long, chars long")
-    counted = materialise(counted.groupBy("host", "template", "kind", "box", "key").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars")), "counts")
-    whole = counted.where("kind = 'page'").groupBy("host", "template").agg(F.sum("pages").alias("all"), F.count("*").alias("different")).where(F.col("different") >= LEAST)
-    fixed = counted.where("kind = 'text'").join(whole, ["host", "template"]).where(F.col("pages") == F.col("all"))
-    part = ["host", "template", F.struct("box", "key", "chars").alias("x")]
-    parts = counted.where("kind = 'box'").select(*part).unionByName(fixed.select(*part))
-    return parts.groupBy("host", "template").agg(F.collect_list("x").alias("parts")).mapInArrow(infer, "host string, template long, prefix string, fixed array<long>")
+    counted = seen.mapInArrow(align, "host string, template long, kind string, path string, key long, pages long, most long, chars long")
+    of = ["host", "template", "kind", "path", "key"]
+    counted = materialise(counted.groupBy(of).agg(F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("chars").alias("chars")), "counts")
+    different = counted.where("kind = 'page'").groupBy("host", "template", "path").agg(F.count("*").alias("pages"))
+    # A text of fewer pages is not fixed anywhere.
+    parts = counted.where(f"kind IN ('group', 'box') OR kind = 'text' AND pages >= {LEAST}").unionByName(
+        different.select("host", "template", F.lit("different").alias("kind"), "path", F.lit(None).cast("long").alias("key"), "pages", F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("chars"))
+    )
+    part = F.struct("kind", "path", "key", "pages", "most", "chars").alias("x")
+    gathered = parts.select("host", "template", part).groupBy("host", "template").agg(F.collect_list("x").alias("parts"))
+    return gathered.mapInArrow(infer, "host string, template long, prefix string, fixed array<long>, expression string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     kind = pages.schema["page_id"].dataType.simpleString()
     parsed = materialise(parse(pages.select("page_id", "url", op07_urls.host(F.col("url")).alias("host"), "html"), kind), "parsed")
-    wrappers = materialise(infer_wrappers(parsed), "wrappers")
+    wrappers = materialise(infer_wrappers(parsed), "wrappers").drop("expression")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

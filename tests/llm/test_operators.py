@@ -193,15 +193,113 @@ def test_url_model():
 PAGE = "<html><head><title>t</title><script>var a='<p>';</script></head><body><nav><ul><li>m1</li><li>m2</li></ul></nav><div class='sidebar'><p>side</p></div><div id=story>{}</div><div class='comments'><p>c {}</p></div><footer>f</footer></body></html>"
 
 
+def wrapped(pages):
+    """The expression of pages of one template, each aligned on its own and the wrappers added up."""
+    added = {}
+    for page in pages:
+        found = [(path, text) for path, text, odd in op09_html.blocks(page) if not odd]
+        wrapper = op09_html.Wrapper()
+        wrapper.align(op09_html.number(page), [p for p, _ in found], [t for _, t in found])
+        for kind, path, key, n, most, chars in wrapper.rows():
+            x = added.setdefault((kind, path, key), [0, 0, 0])
+            x[:] = x[0] + n, max(x[1], most), x[2] + chars
+    different = {}
+    for kind, path, _ in added:
+        if kind == "page":
+            different[path] = different.get(path, 0) + 1
+    rows = [{"kind": k, "path": p, "key": key, "pages": x[0], "most": x[1], "chars": x[2]} for (k, p, key), x in added.items()]
+    return op09_html.Expression(rows + [{"kind": "different", "path": p, "key": None, "pages": n, "most": 0, "chars": 0} for p, n in different.items()])
+
+
 def test_wrapper_finds_the_story():
     pages = [PAGE.format("".join(f"<p>{w} long enough text number {i} of the story</p>" for i in range(n)), w) for n, w in ((3, "red"), (5, "blue"), (2, "green"), (4, "grey"))]
-    wrapper = op09_html.Wrapper(op09_html.Wrapper.stream(pages[0]))
-    for p in pages[1:]:
-        wrapper.align(op09_html.Wrapper.stream(p))
-    assert any(x[0] == "+" for x in wrapper.items)
-    prefix = wrapper.main_prefix()
-    assert prefix == "html/body/div.story"
-    assert op09_html.main_text(pages[2], prefix) == "green long enough text number 0 of the story\ngreen long enough text number 1 of the story"
+    found = wrapped(pages)
+    assert str(found) == "html(body(div.story(p(#text)+)))" and found.prefix == "html/body/div.story"
+    assert op09_html.main_text(pages[2], found.prefix) == "green long enough text number 0 of the story\ngreen long enough text number 1 of the story"
+
+
+def test_expression_shows_optional_repeated_and_fixed():
+    pages = [f"<div class=x><p>Always here</p><span>own {i} text of some length, {'and more ' * 9}</span></div>" + (f"<div class=y><em>now {i}</em></div>" if i % 2 else "") + f"<ul>{'<li>%d</li>' % i * i}</ul>" for i in range(1, 9)]
+    assert str(wrapped(pages)) == 'div.x(#textp(""#text))div.y(#text)?ul(li(#text)+)'
+
+
+def plain_extract(rows):
+    """The rule itself, over all pages at once: {page_id: text}."""
+    host = lambda url: url.split("://")[1].split("/")[0]
+    cut = {i: [(p, t) for p, t, odd in op09_html.blocks(page) if not odd] for i, _, page in rows}
+    groups, out = {}, {}
+    for i, url, page in rows:
+        groups.setdefault((host(url), frozenset(op09_html.container(p) for p, _ in cut[i])), []).append((i, page))
+    for members in groups.values():
+        fixed = set()
+        for place in {x for i, _ in members for x in cut[i]}:
+            having = [(i, page) for i, page in members if any(p == place[0] for p, _ in cut[i])]
+            least = op09_html.LEAST if len(having) == len(members) else op09_html.LEAST_OPTIONAL
+            if all(place in cut[i] for i, _ in having) and len({page for _, page in having}) >= least:
+                fixed.add(place)
+        chars = lambda which: sum(len(t) for i, _ in members for p, t in cut[i] if which((p, t)))
+        if 5 * chars(fixed.__contains__) >= 4 * chars(lambda x: True):
+            fixed = set()
+        weight = {}
+        for i, _ in members:
+            for p, t in cut[i]:
+                if (p, t) not in fixed:
+                    weight[op09_html.container(p)] = weight.get(op09_html.container(p), 0) + len(t)
+        prefix = op09_html.heaviest(weight)
+        for i, _ in members:
+            kept = [x for x in cut[i] if x not in fixed] or cut[i]
+            inner = [x for x in kept if op09_html.within(x[0], prefix)]
+            inside, whole = sum(len(t) for _, t in inner), sum(len(t) for _, t in kept)
+            named = prefix and prefix.rsplit("/", 1)[-1].split(".")[0] in ("article", "main")
+            out[i] = "\n".join(t for _, t in (inner if inside and (named or 2 * inside >= whole) else kept))
+    return out
+
+
+def test_html_brute_force(spark):
+    """Hosts of many shapes, whose class names tell nothing, dealt over many tasks."""
+    r = random.Random(12)
+    text = lambda n: " ".join(r.choice("abcdefgh") + str(r.randint(0, 9999)) for _ in range(n))
+    rows = []
+    for h in range(6):
+        notice, promo = text(6), text(5)
+        for _ in range(r.choice((1, 4, 40))):
+            parts = [f"<div class=q1><p>{notice}</p><p>{text(3)}</p></div>", f"<div class=q2>{''.join(f'<p>{text(r.randint(5, 30))}</p>' for _ in range(r.randint(1, 6)))}<h6>{notice}</h6></div>"]
+            if r.random() < 0.6:
+                parts.insert(r.choice((0, 2)), f"<div class=q3><h4>{promo}</h4></div>")
+            rows.append((len(rows), f"http://h{h}.example/{len(rows)}", f"<body><div class=q0>{''.join(parts)}</div></body>"))
+    rows += [(len(rows) + k, *rows[k][1:]) for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {x.page_id: x.text for x in op09_html.extract(pages).collect()}
+    assert got == plain_extract(rows)
+    alone = {i: op09_html.main_text(page, None) for i, _, page in rows}
+    assert sum(got[i] != alone[i] for i in got) > len(rows) / 3
+
+
+def test_html_keeps_near_copies_and_drops_optional_notices(spark):
+    story = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    same = "".join(f"<p>{story(k)}</p>" for k in range(10))
+    rows = [(i, "http://copies.example/", f"<body><article>{same}<p>last {i}</p></article></body>") for i in range(6)]
+    rows += [(100 + i, "http://some.example/", f"<body><div class=k1>{'<h5>Join the club now</h5>' * (i % 2)}<p>{story(i)}</p></div></body>") for i in range(20)]
+    rows += [(200 + i, "http://few.example/", f"<body><div class=k1>{'<h5>Join the club now</h5>' * (i < 3)}<p>{story(i)}</p></div></body>") for i in range(20)]
+    got = {x.page_id: x.text for x in op09_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join([*map(story, range(10)), f"last {i}"]) for i in range(6))
+    assert all(got[100 + i] == story(i) for i in range(20))
+    assert all(got[200 + i] == "Join the club now\n" * (i < 3) + story(i) for i in range(20))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class='has-sidebar'><article><p>a</p></article><div class='sidebar'>no</div></body>", "a"),
+        ("<article class='post share'><p>a</p><div class='share'>no</div></article>", "a"),
+        ("<body class='home sidebar widget'><main class='banner'><p>a</p></main></body>", "a"),
+        ("<article><p>a</p><article class='comment'>no</article></article>", "a"),
+        ("<div class='no-comments'><p>a</p></div>", "a"),
+        ("<div class='post-comments'><p>no</p></div><p>a</p>", "a"),
+    ],
+)
+def test_names_that_tell_of_other_elements_do_not_count(page, want):
+    assert op09_html.main_text(page, None) == want
 
 
 @pytest.mark.parametrize(
