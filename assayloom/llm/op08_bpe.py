@@ -7,8 +7,10 @@ row merges its leftmost pair of smallest rank. Pair ranks come from an open-addr
 removes one column entry from each row that is still active, so the matrix is compacted by one boolean selection; rows
 without a pair left are retired. Only the pairs beside a merge are looked up again.
 
-A piece of more than LONG bytes (nearly all in one word) would need as many rounds as bytes over a wide matrix; it is encoded
-by the same rule with a heap. Decoding concatenates the bytes of each id.
+A piece of more than LONG bytes (nearly all in one word) has a matrix of one row for itself. As one merge a round would take as many
+rounds as bytes, a round merges all pairs of that row's smallest rank, from the left up to the first whose merge makes a pair of
+a smaller rank, which would come next: just the merges that single rounds would make one after the other. Decoding concatenates
+the bytes of each id.
 
 Bounds: at most 2 * CACHE parts are remembered by a worker, and a matrix holds at most CELLS entries.
 
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections import ChainMap
 from collections.abc import Iterator
@@ -139,30 +140,35 @@ class Bpe:
         return out
 
     def merge_long(self, piece: bytes) -> bytes:
-        """The same rule for one long piece: a heap of (rank, position) over a linked list."""
-        ids, n = self.bytes_to_id[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pairs.get(np.array(ids[:-1]), np.array(ids[1:]))
-        heap = [(int(first[i]), i, ids[i], ids[i + 1]) for i in np.flatnonzero(first != NONE)]
-        heapq.heapify(heap)
-
-        def push(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j < n and (r := self.ranks.get(self.vocabulary[ids[i]] + self.vocabulary[ids[j]])) is not None:
-                heapq.heappush(heap, (r, i, ids[i], ids[j]))
-
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
+        """The ids of one long piece; each round makes as many merges of the smallest rank as single rounds would make in a row."""
+        ids = self.bytes_to_id[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.get(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            if len(at) > 1 and (np.diff(at) == 1).any():  # of pairs that overlap every second one, from the left
+                first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+                at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            beside = np.zeros(len(at), bool)
+            beside[1:] = at[1:] == at[:-1] + 2
+            before, after = at > 0, at + 2 < len(ids)
+            left, right = np.full(len(at), NONE, np.int32), np.full(len(at), NONE, np.int32)
+            left[before] = self.pairs.get(np.where(beside, best, ids[at - 1])[before], np.full(int(before.sum()), best))
+            right[after] = self.pairs.get(np.full(int(after.sum()), best), ids[np.minimum(at + 2, len(ids) - 1)][after])
+            sooner = np.flatnonzero((left < best) | (right < best))
+            if len(sooner):
+                at = at[: sooner[0] + 1]
+            ids[at] = best
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            keep = np.ones(len(ranks), bool)
+            keep[at] = False
+            ranks = ranks[keep]
+            at = at - np.arange(len(at))
+            for side in (at - 1, at):
+                ok = side[(side >= 0) & (side + 1 < len(ids))]
+                ranks[ok] = self.pairs.get(ids[ok], ids[ok + 1])
+        return ids.astype("<i4").tobytes()
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of distinct pieces."""

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out rows."""
 
 import base64
+import hashlib
 import itertools
 import random
 import zlib
@@ -30,6 +31,30 @@ def test_bpe_is_tiktoken(bpe):
         assert bpe.decode(ids) == text.encode()
 
 
+def test_long_pieces_are_tiktoken(bpe):
+    """Runs, repeats and random words on both sides of LONG, where a round makes several merges."""
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    r = random.Random(6)
+    pieces = ["".join(r.choice(letters) for _ in range(r.randint(2, 700))) for letters in ("a", "ab", "abc", "aeionrst", "abcdefghijklmnopqrstuvwxyz", "aß日") for _ in range(60)]
+    pieces += ["".join(r.choice(("the", "tion", "er", "and", "ing")) for _ in range(2000)), "x" * 50_000, "ab" * 20_001]
+    for piece in pieces:
+        want = other.encode_ordinary(piece)
+        assert np.frombuffer(bpe.merge_long(piece.encode()), "<u4").tolist() == want
+        assert np.frombuffer(bpe.encode_batch([piece])[0], "<u4").tolist() == want
+
+
+def test_query_ids_are_tiktoken(spark, bpe, small):
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    got = {x.doc_id: x for x in queries.op8_bpe(spark, small).collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        ids = other.encode_ordinary(text or "")
+        assert got[doc_id].n_tokens == len(ids)
+        assert got[doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[doc_id].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
 def test_pair_table_holds_all(bpe):
     left, right, merged = [], [], []
     for token, rank in list(bpe.ranks.items())[300:3000]:
