@@ -14,7 +14,7 @@ Pivots are a bounded sample, PIVOTS rows of the smallest hash of their id for ea
 
 Edge cases: vectors that are null or empty, hold a null or non-finite component, have no id, or a squared norm of 2**62 or more
 (no long score) take no part; vectors of different length are not compared; rows of one id are no candidates for each
-other, and count once where their scores are equal; an empty table gives an empty result; other columns are ignored.
+other, and each of them is a candidate for the rest; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,10 +142,10 @@ _NONE = -(2**63)
 
 
 def _search(pairs: DataFrame, asked: DataFrame, index: DataFrame, spaces, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each query in each of the pairs (block of queries, block of the index)."""
+    """query_id, vec_id, score, block, place: the k best of each query in each of the pairs (block of queries, block of the index)."""
     left = asked.select(F.col("block").alias("asked"), "dim", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), "least")
     right = index.select("block", "cell", "ids", "dists", "vs")
-    joined = pairs.join(left, "asked").join(right, "block").select("dim", "cell", "q_ids", "q_vs", "least", "ids", "dists", "vs")
+    joined = pairs.join(left, "asked").join(right, "block").select("block", "dim", "cell", "q_ids", "q_vs", "least", "ids", "dists", "vs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +164,7 @@ def _search(pairs: DataFrame, asked: DataFrame, index: DataFrame, spaces, k: int
                 lo, hi = int(first[use].min()), int(last[use].max())
                 scores = (q[use] @ x[lo:hi].T).astype(np.int64)
                 near = ids[lo:hi]
-                query, found, score = [], [], []
+                query, found, score, place = [], [], [], []
                 for row, own in zip(scores, q_ids[use], strict=True):
                     at = np.flatnonzero(near != own)
                     if len(at) > k:
@@ -174,13 +174,16 @@ def _search(pairs: DataFrame, asked: DataFrame, index: DataFrame, spaces, k: int
                     query.append(np.full(len(at), own))
                     found.append(near[at])
                     score.append(row[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (query, found, score)], ["query_id", "vec_id", "score"])
+                    place.append(lo + at)
+                columns = [np.concatenate(c) for c in (query, found, score)]
+                columns += [np.full(len(columns[0]), r["block"]), np.concatenate(place)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score", "block", "place"])
 
-    return joined.mapInArrow(run, "query_id long, vec_id long, score long")
+    return joined.mapInArrow(run, "query_id long, vec_id long, score long, block long, place long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "block", "place")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -205,8 +208,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     again = asking.join(kth, "vec_id", "left").withColumn("least", F.coalesce("kth", F.lit(_NONE))).drop("kth")
     asked = materialise(_packed(_keyed(again, spaces, True), QUERIES), "asked")
     second = _search(materialise(_pairs(asked, outline, spaces, nearest=False), "within"), asked, index, spaces, k)
-    both = first.select("query_id", "vec_id", "score").unionByName(second).withColumn("nth", F.lit(1))
-    return _best(both.groupBy("query_id", "vec_id", "score").agg(F.max("nth").alias("nth")), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    both = first.select(second.columns).unionByName(second).distinct()  # a row found twice has one place
+    return _best(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _pairs(asked: DataFrame, outline: DataFrame, spaces, nearest: bool) -> DataFrame:

@@ -88,7 +88,7 @@ def test_topk(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [None, 1.0]), (6, [nan, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (50, [1e30, 0.0]), (100, [0.25, 0.0]), (100, [0.25, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS dim", "2 AS cell", "3 AS block")
     got = sorted(tuple(r) for r in op05_topk.top_k(v).collect())
-    assert got == [(0, 1, 1, 32768), (0, 2, 2, 32768), (0, 3, 100, 16384), (100, 1, 0, 16384), (100, 2, 1, 8192), (100, 3, 2, 8192)]
+    assert got == [(0, 1, 1, 32768), (0, 2, 2, 32768), (0, 3, 100, 16384), (0, 4, 100, 16384), (100, 1, 0, 16384), (100, 2, 1, 8192), (100, 3, 2, 8192)]
     assert op05_topk.top_k(v.where("false")).count() == 0
 
 
