@@ -286,11 +286,11 @@ def test_masking_takes_spans_out():
     assert op03_secrets.mask(text, spans) == "key: [SECRET] end"
 
 
-@pytest.mark.parametrize("kind", ("spread", "same"))
+@pytest.mark.parametrize("kind", ("spread", "same", "long"))
 def test_topk_brute_force(spark, kind, monkeypatch):
     monkeypatch.setattr(op05_topk, "ROWS", 40)
     monkeypatch.setattr(op05_topk, "QUERIES", 3)
-    x = np.random.default_rng(2).standard_normal((700, 8))
+    x = np.random.default_rng(2).standard_normal((700, 2000 if kind == "long" else 8))
     if kind == "same":
         x[100:500] = x[100]
     v = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
@@ -320,6 +320,64 @@ def test_url_model():
     assert abs(sum(2.718281828459045 ** p.log_probability("\x02ab"[:2] + chr(c)) for c in range(256)) - 1) < 1e-6
 
 
+def plain_ratio(m, url):
+    """Witten-Bell interpolation as its recurrence says, one character after the other."""
+    text, total = "\x02" * op07_urls.ORDER + url + "\x03", 0.0
+
+    def whole(model, context, c):  # the empty context interpolates with the uniform one
+        n, p = model.counts.get("", {}), 1 / op07_urls.ALPHABET
+        p = (n.get(c, 0) + len(n) * p) / (sum(n.values()) + len(n))
+        for k in range(1, len(context) + 1):
+            n = model.counts.get(context[-k:], {})
+            if not n:
+                break
+            p = (n.get(c, 0) + len(n) * p) / (sum(n.values()) + len(n))
+        return p
+
+    for i in range(op07_urls.ORDER, len(text)):
+        context, c = text[i - op07_urls.ORDER : i], text[i]
+        total += np.log(whole(m.good, context, c)) - np.log(whole(m.bad, context, c))
+    return total / (len(text) - op07_urls.ORDER)
+
+
+def test_urls_query_brute_force(spark, small):
+    """Rules by plain string handling; the rest by the recurrence of the models over the same examples."""
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    got = {r.page_id: r for r in queries.op7_urls(spark, small).collect()}
+    assert len(got) == len(pages)
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        path = rest[end:]
+        cut = min([path.find(c) for c in "?#" if c in path] or [len(path)])
+        return "".join(c.lower() if c.isascii() else c for c in rest[:end]), path[:cut]
+
+    def rule(host, path):
+        fits = [(len(h + p), h + p, v) for h, p, v in op07_urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else None
+
+    judged = {i: rule(*parts(url)) for i, url in pages}
+    model = op07_urls.fit(spark.createDataFrame([(url.lower(), judged[i][1]) for i, url in pages if judged[i]], "url string, verdict string"))
+    for i, url in pages:
+        assert (got[i].host, got[i].path) == parts(url)
+        assert got[i].rule == (judged[i] and judged[i][0])
+        if judged[i]:
+            assert got[i].verdict == judged[i][1]
+        else:
+            ratio = plain_ratio(model, (url or "").lower()) if url else 0.0
+            assert abs(ratio - model.ratio((url or "").lower())) < 1e-9
+            assert got[i].verdict == ("allow" if ratio >= model.threshold else "block")
+
+
+def test_url_model_of_few_examples():
+    m = op07_urls.RatioModel(["http://good.org/en"], ["http://bad.biz/aff"])
+    assert m.ratio("http://good.org/en") >= m.threshold > m.ratio("http://bad.biz/aff")
+    assert op07_urls.RatioModel(["http://good.org/en"], []).ratio("http://x.y/") == 0.0
+
+
 PAGE = "<html><head><title>t</title><script>var a='<p>';</script></head><body><nav><ul><li>m1</li><li>m2</li></ul></nav><div class='sidebar'><p>side</p></div><div id=story>{}</div><div class='comments'><p>c {}</p></div><footer>f</footer></body></html>"
 
 
