@@ -120,6 +120,43 @@ def test_spaced_seeds_bear_substitutions(spark):
     assert got == {1: 40, 2: 36, 3: 16, 5: 14}
 
 
+@pytest.mark.parametrize("limit", (0, op01_decontamination.BROADCAST_BYTES))
+def test_overlaps_brute_force(spark, limit):
+    """Repeated lines, shared passages, ends of texts and substitutions; broadcast and shuffled benchmarks give the same."""
+    r = random.Random(21)
+    words = lambda n, k=400: [f"w{r.randint(0, k)}" for _ in range(n)]
+    line = words(9)
+    items = [(i, words(r.choice((7, 8, 10, 12, 13, 20, 45)))) for i in range(12)] + [(20, line * 3), (21, words(5) + line + words(6)), (22, line * 3), (22, words(15))]
+    docs = []
+    for i in range(60):
+        text = words(r.randint(0, 60))
+        for _ in range(r.randint(0, 2)):
+            part = list(r.choice(items)[1])
+            for k in range(len(part)):
+                if r.random() < 0.08:
+                    part[k] = "zz"
+            lo = r.choice((0, 0, r.randint(0, len(part) // 2)))
+            at = r.randint(0, len(text))
+            text[at:at] = part[lo : r.choice((len(part), r.randint(lo, len(part))))]
+        docs.append((i, text))
+    docs += [(100, line * 8), (101, words(4) + line * 2), (100, line * 8), (102, [])]
+    want = {}
+    for d, text in docs:
+        for item_id, item in items:
+            for shift in range(-len(item), len(text) + 1):
+                agree = [0 <= shift + j < len(text) and text[shift + j] == w for j, w in enumerate(item)]
+                hit = any(
+                    0 <= shift + j and shift + j + len(mask) <= len(text) and j + len(mask) <= len(item) and all(agree[j + o] for o, bit in enumerate(mask) if bit == "1")
+                    and max(sum(agree[k : k + 13]) for k in range(max(j - 12, 0), max(min(j + 12, len(item) - 1) - 12, max(j - 12, 0)) + 1)) >= 11
+                    for mask in op01_decontamination.MASKS for j in range(len(item))
+                ) if len(item) >= 13 else sum(agree) >= -(-4 * len(item) // 5)
+                if hit:
+                    want[d, item_id] = max(want.get((d, item_id), (0, 0)), (sum(agree), -shift))
+    frames = [spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(x.doc_id, x.item_id): (x.overlap, -x.doc_at) for x in op01_decontamination.find_overlaps(*frames, broadcast_bytes=limit).collect()}
+    assert got == want
+
+
 def test_minimax_is_optimal():
     r = random.Random(5)
     for _ in range(60):
