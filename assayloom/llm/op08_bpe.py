@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices
 
@@ -215,8 +216,8 @@ class Bpe:
 _WORKER: dict[tuple[int, str], Bpe] = {}
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = False, block_chars: int = 1_000_000) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, little-endian unsigned 32-bit, if keep_ids) for each row (doc_id, text).
+def encode(docs: DataFrame, ranks_file: str, pattern: str, carry: tuple[str, ...] = ("doc_id",), keep_ids: bool = False, block_chars: int = 1_000_000) -> DataFrame:
+    """carry, n_tokens, ids_sha256, decoded_sha256 (and ids, an array, if keep_ids) for each row of docs (text and what is carried).
 
     The ranks (about a megabyte) are read on the driver and broadcast, so executors need no such file.
     """
@@ -230,7 +231,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = Fals
             _WORKER[name, pattern] = Bpe.from_lines(shared.value, pattern)
         bpe = _WORKER[name, pattern]
         for batch in slices(batches):
-            doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             start = 0
             while start < len(texts):
                 stop, chars = start, 0
@@ -239,19 +240,20 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = Fals
                     stop += 1
                 ids = bpe.encode_batch(texts[start:stop])
                 columns = [
-                    doc_ids.slice(start, stop - start),
+                    *batch.slice(start, stop - start).columns[1:],
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
                 ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                names = [*carry, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns.append(pa.array(ids, pa.binary()))
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 start = stop
         bpe.known.clear()  # workers live on, their next task may be of another stage
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    schema = f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(run, schema)

@@ -45,6 +45,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import materialise, slices
 from .shingles import mix, shingle_sets
@@ -377,13 +378,52 @@ def set_components(docs: DataFrame, members: DataFrame) -> DataFrame:
     return joined.unionByName(merged.join(stars.select("node"), "node", "left_anti"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (doc_id, n_shingles, sid of each row) and placed (sid, least doc_id, root: the component of each set)."""
     members = materialise(set_members(docs), "members")
     linked = set_components(docs, members)
-    # A row for each set: its smallest document, then that of its component.
     smallest = members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    placed = materialise(smallest.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root")), "placed")
+    return members, materialise(smallest.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root")), "placed")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    members, placed = component_roots(docs)
     component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = materialise(placed.join(materialise(component, "component"), "root").select("sid", "component_id"), "of_set")
     return members.join(of_set, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of the smallest doc_id; rows without words stay.
+
+    Rows are told apart by doc_id where it is unique. Rows without an id or with a repeated one are also judged by their own sets: of those
+    that may stand for their component, one stays (an id before none, then the smallest hash of the row).
+    """
+    members, placed = component_roots(docs)
+    component = materialise(placed.groupBy("root").agg(F.min("least").alias("keep")), "component")
+    of_set = materialise(placed.join(component, "root").select("sid", "root", "keep"), "of_set")
+    repeated = materialise(members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    dropped = members.join(of_set, "sid").where("doc_id <> keep").select("doc_id")
+    out = docs.where("doc_id IS NOT NULL").join(materialise(dropped.unionByName(repeated).distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty() and members.where("doc_id IS NULL").isEmpty():
+        return out
+    odd = docs.where("doc_id IS NULL").unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns))
+    held = with_sets(odd).join(of_set.toDF("__sid", "__root", "__keep"), "__sid", "left").where("__sid IS NULL OR __keep <=> doc_id")
+    row = F.struct(*docs.columns)
+    wordless = held.where("__sid IS NULL").select(docs.columns)
+    chosen = held.where("__sid IS NOT NULL").groupBy("__root").agg(F.min_by(row, F.xxhash64(row)).alias("__row")).select("__row.*")
+    return out.unionByName(wordless).unionByName(chosen)
+
+
+def with_sets(docs: DataFrame) -> DataFrame:
+    """docs with the digest of each row's set as __sid."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["n", "text"])
+            sids = [_digest(s) for _, sets in _blocks(iter([numbered])) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids, pa.binary())], [*batch.schema.names, "__sid"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__sid", BinaryType())]))

@@ -54,10 +54,10 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def encode_documents(docs: DataFrame) -> DataFrame:
+def encode_documents(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep_ids: bool = False) -> DataFrame:
     import public_tokenizers
 
-    return op08_bpe.encode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return op08_bpe.encode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, carry, keep_ids)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
