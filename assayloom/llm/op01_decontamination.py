@@ -120,7 +120,7 @@ def _verified(hits: DataFrame, doc: str, at: str) -> DataFrame:
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, overlap (aligned tokens that agree), item_tokens, doc_at: the best verified overlap of each pair."""
-    items = numbered_items(benchmark)
+    items = materialise(numbered_items(benchmark), "items")
     probes = benchmark_seeds(items)
     at = F.col("at")
     windows = docs.select("doc_id", token_hashes(F.col("text")).alias("doc")).select("doc_id", "doc", F.posexplode("doc").alias("at", "_"))
