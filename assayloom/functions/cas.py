@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import fold
+
 #: Dash code points that stand for a hyphen.
 DASHES = "‐‑‒–—―−－"
 SHAPE = r"^[0-9]{2,7}-[0-9]{2}-[0-9]$"
@@ -15,14 +17,14 @@ SECRECY = ("영업비밀", "해당없음", "비공개", "secret", "proprietary",
 
 
 def normalise(text: Column) -> Column:
-    """Dashes folded, spaces around a hyphen between digits removed, ends trimmed."""
-    folded = F.translate(text, DASHES, "-" * len(DASHES))
+    """Compatibility forms and dashes folded, spaces around a hyphen between digits removed, ends trimmed."""
+    folded = F.translate(fold(text), DASHES, "-" * len(DASHES))
     return F.trim(F.regexp_replace(folded, r"(?<=[0-9])\s*-\s*(?=[0-9])", "-"))
 
 
 def normalise_in_text(text: Column) -> Column:
     """Separators changed only inside tokens of the number's shape; dates and ranges stay."""
-    return F.regexp_replace(F.translate(text, DASHES, "-" * len(DASHES)), r"(?<![0-9-])([0-9]{2,7})\s*-\s*([0-9]{2})\s*-\s*([0-9])(?![0-9-])", "$1-$2-$3")
+    return F.regexp_replace(F.translate(fold(text), DASHES, "-" * len(DASHES)), r"(?<![0-9-])([0-9]{2,7})\s*-\s*([0-9]{2})\s*-\s*([0-9])(?![0-9-])", "$1-$2-$3")
 
 
 def digits(cas: Column) -> Column:
@@ -34,11 +36,12 @@ def well_formed(cas: Column) -> Column:
 
 
 def checksum_holds(cas: Column) -> Column:
-    """The digits before the last, weighted 1, 2, ... from the right, sum to the last modulo 10."""
-    body = F.reverse(F.substring(digits(cas), 1, 100))
-    n = F.length(body)
-    total = F.aggregate(F.sequence(F.lit(2), n), F.lit(0), lambda a, i: a + (i - 1) * F.substr(body, i, F.lit(1)).try_cast("int"))
-    return well_formed(cas) & (total % 10 == F.substr(body, F.lit(1), F.lit(1)).try_cast("int"))
+    """The digits before the last, weighted 1, 2, ... from the right, sum to the last modulo 10: arithmetic on the number itself."""
+    n = F.replace(cas, F.lit("-"), F.lit("")).try_cast("bigint")
+    total = F.lit(0)
+    for i in range(1, 10):
+        total = total + F.pmod(F.floor(n / F.lit(10**i)), F.lit(10)) * i
+    return well_formed(cas) & F.coalesce(total % 10 == n % 10, F.lit(False))
 
 
 def strip_zeros(cas: Column) -> Column:

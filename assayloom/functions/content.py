@@ -35,6 +35,10 @@ class Spark:
     def all(self, s: str, pattern: str) -> str:
         return f"regexp_extract_all({s}, {self.lit(pattern)}, 0)"
 
+    def each(self, s: str, pattern: str, to) -> str:
+        """s with every match m of pattern replaced by to(m)."""
+        return f"array_join(zip_with(split({s}, {self.lit(pattern)}, -1), transform({self.all(s, pattern)}, m -> {to('m')}), (g, m) -> concat(g, coalesce(m, ''))), '')"
+
     @staticmethod
     def size(a: str) -> str:
         return f"size({a})"
@@ -49,6 +53,10 @@ class DuckDB(Spark):
     def lit(text: str) -> str:
         return f"'{text}'"
 
+    def each(self, s: str, pattern: str, to) -> str:
+        matches = f"list_transform({self.all(s, pattern)}, lambda m: {to('m')})"
+        return f"array_to_string(list_transform(list_zip(regexp_split_to_array({s}, {self.lit(pattern)}), {matches}), lambda z: concat(z[1], coalesce(z[2], ''))), '')"
+
     def sub(self, s: str, pattern: str, to: str) -> str:
         return f"regexp_replace({s}, {self.lit(pattern)}, {self.lit(to)}, 'g')"
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables, query
 from ..functions import cas as C
+from ..functions import amounts as A
 from ..functions import content as N
+from ..functions.text import fold, fold_sql
+from ..sources import domain as D
 from .predicates import _CHECK
 from .windows import natural_key
 
@@ -18,8 +21,10 @@ def strip_runs(text: Column) -> Column:
 
 @query("scl01_cas_normalise", "SELECT doc_id, seq, cas AS normal FROM component")
 def cas_normalise(t: Tables) -> DataFrame:
-    """Whatever dash and spaces a number was written with, its normal form comes back."""
-    odd = F.concat(F.lit(" "), F.replace("cas", F.lit("-"), F.when(F.col("seq") % 2 == 0, F.lit(" – ")).otherwise(F.lit("‑"))), F.lit(" "))
+    """Whatever dash, spaces and full-width digits a number was written with, its normal form comes back."""
+    wide = F.translate("cas", "0123456789", "０１２３４５６７８９")
+    written = F.when(F.col("seq") % 3 == 0, wide).otherwise(F.col("cas"))
+    odd = F.concat(F.lit(" "), F.replace(written, F.lit("-"), F.when(F.col("seq") % 2 == 0, F.lit(" – ")).otherwise(F.lit("‑"))), F.lit(" "))
     return t.component.select("doc_id", "seq", C.normalise(odd).alias("normal"))
 
 
@@ -35,42 +40,28 @@ def decimal_comma(t: Tables) -> DataFrame:
     return t.component.select("doc_id", "seq", F.regexp_replace(line, r"([0-9]),([0-9]+\s*%)", "$1.$2").alias("line"))
 
 
-def clean_content(text: Column) -> Column:
-    """Ordered rewrites: signs folded, letters that stand for digits, spaces around range signs, an upper bound in words."""
-    s = F.translate(text, "～∼−–", "~~--")
-    s = F.regexp_replace(s, r"(?<=[0-9])[oO](?=[0-9%]|$)", "0")
-    s = F.regexp_replace(s, r"(?<=[0-9])[lI](?=[0-9%]|$)", "1")
-    s = F.regexp_replace(s, r"\s*([-~])\s*", "$1")
-    s = F.regexp_replace(s, r"([0-9.]+)\s*이상\s*[~-]\s*([0-9.]+)\s*미만", "$1~<$2")
-    lo, hi = (F.regexp_extract(s, r"^([0-9]+(?:\.[0-9]+)?)[-~]([0-9]+(?:\.[0-9]+)?)(.*)$", i) for i in (1, 2))
-    rest = F.regexp_extract(s, r"^([0-9]+(?:\.[0-9]+)?)[-~]([0-9]+(?:\.[0-9]+)?)(.*)$", 3)
-    return F.when((lo != "") & (lo.cast("decimal(20,6)") > hi.cast("decimal(20,6)")), F.concat(hi, F.lit("~"), lo, rest)).otherwise(s)
+#: Contents as sheets write and scanners misread them, put around the carrier's.
+_ODD_CONTENT = "CASE seq % 9 WHEN 0 THEN replace(content, '미만', '미 맊') WHEN 1 THEN concat('>= ', CAST(quantity AS STRING), ' - < ', CAST(quantity + 5 AS STRING), ' %') WHEN 2 THEN concat(CAST(quantity + 9 AS STRING), '-0% and 5 ~ 1') WHEN 3 THEN concat(CAST(quantity AS STRING), ' 이상 ~ 90 % 미만') WHEN 4 THEN concat(CAST(quantity AS STRING), ',50% 이핚') WHEN 5 THEN concat('>=1 - <= ', CAST(quantity AS STRING), ' %') ELSE content END"
+_ODD = f"SELECT doc_id, seq, {_ODD_CONTENT} AS written FROM component"
 
 
-@query("scl04_clean_content", r"""
-WITH c AS (SELECT doc_id, seq, regexp_replace(content, '\s*([-~])\s*', '\1', 'g') AS s FROM component), p AS (SELECT *, regexp_extract(s, '^([0-9]+(?:\.[0-9]+)?)[-~]([0-9]+(?:\.[0-9]+)?)(.*)$', 1) AS lo, regexp_extract(s, '^([0-9]+(?:\.[0-9]+)?)[-~]([0-9]+(?:\.[0-9]+)?)(.*)$', 2) AS hi, regexp_extract(s, '^([0-9]+(?:\.[0-9]+)?)[-~]([0-9]+(?:\.[0-9]+)?)(.*)$', 3) AS rest FROM c)
-SELECT doc_id, seq, CASE WHEN lo <> '' AND CAST(lo AS DECIMAL(20, 6)) > CAST(hi AS DECIMAL(20, 6)) THEN hi || '~' || lo || rest ELSE s END AS clean FROM p""")
+def odd_contents(t: Tables) -> DataFrame:
+    return t.component.select("doc_id", "seq", F.expr(_ODD_CONTENT).alias("written"))
+
+
+@query("scl04_clean_content", f"SELECT doc_id, seq, clean FROM ({A.apply_sql(_ODD, A.clean_steps('written', A.DuckDB()), 'clean')})")
 def clean_contents(t: Tables) -> DataFrame:
-    return t.component.select("doc_id", "seq", clean_content(F.col("content")).alias("clean"))
+    return A.apply(odd_contents(t), A.clean_steps("written", A.Spark()), "clean").drop("written")
 
 
-@query("scl05_clean_percentage", r"""
-WITH n AS (SELECT doc_id, seq, regexp_extract_all(content, '[0-9]+(?:\.[0-9]+)?', 0) AS n FROM component) SELECT doc_id, seq, CASE WHEN len(n) >= 2 THEN n[1] || '~' || n[2] || '%' WHEN len(n) = 1 THEN n[1] || '%' ELSE '미기재%' END AS shown FROM n""")
+@query("scl05_clean_percentage", f"SELECT doc_id, seq, shown FROM ({A.apply_sql(_ODD, A.percentage_steps('written', A.DuckDB()), 'shown')})")
 def clean_percentage(t: Tables) -> DataFrame:
-    n = F.regexp_extract_all("content", F.lit(N.NUMBER), 0)
-    shown = F.when(F.size(n) >= 2, F.concat(F.get(n, F.lit(0)), F.lit("~"), F.get(n, F.lit(1)), F.lit("%"))).when(F.size(n) == 1, F.concat(F.get(n, F.lit(0)), F.lit("%"))).otherwise(N.MISSING)
-    return t.component.select("doc_id", "seq", shown.alias("shown"))
+    return A.apply(odd_contents(t), A.percentage_steps("written", A.Spark()), "shown").drop("written")
 
 
-@query("scl06_single_value", r"""
-WITH x AS (SELECT doc_id, seq, replace(content, ' ', '') AS s, TRY_CAST(regexp_extract(content, '[0-9]+(?:\.[0-9]+)?', 0) AS DECIMAL(20, 6)) AS n, regexp_extract(content, '[0-9]+(?:\.[0-9]+)?', 0) AS d FROM component)
-SELECT doc_id, seq, CASE WHEN regexp_matches(s, '[0-9]%?[-~]') THEN s WHEN n IS NULL OR n > 110 THEN '미기재%' WHEN contains(s, '이상') THEN '≥' || d || '%' WHEN contains(s, '미만') THEN '<' || d || '%' WHEN starts_with(s, '<') THEN '<' || d || '%' WHEN starts_with(s, '>=') THEN '≥' || d || '%' ELSE d || '%' END AS shown FROM x""")
+@query("scl06_single_value", f"SELECT doc_id, seq, shown FROM ({A.apply_sql(_ODD, A.single_steps('written', A.DuckDB()), 'shown')})")
 def single_value(t: Tables) -> DataFrame:
-    s, d = F.replace("content", F.lit(" "), F.lit("")), F.regexp_extract("content", N.NUMBER, 0)
-    n = d.try_cast("decimal(20,6)")
-    sign = F.when(F.contains(s, F.lit("이상")) | F.startswith(s, F.lit(">=")), "≥").when(F.contains(s, F.lit("미만")) | F.startswith(s, F.lit("<")), "<").otherwise("")
-    shown = F.when(s.rlike("[0-9]%?[-~]"), s).when(n.isNull() | (n > N.LIMIT), N.MISSING).otherwise(F.concat(sign, d, F.lit("%")))
-    return t.component.select("doc_id", "seq", shown.alias("shown"))
+    return A.apply(odd_contents(t), A.single_steps("written", A.Spark()), "shown").drop("written")
 
 
 @query("scl07_content_normalise", N.normalise_sql("SELECT doc_id, seq, content FROM component", "content"))
@@ -107,17 +98,16 @@ def chain(t: Tables) -> DataFrame:
 
 
 def parse_chain(text: Column) -> Column:
-    """Items of "number(content); ...": the number and the last parenthesis of each."""
-    items = F.filter(F.transform(F.split(text, ";"), lambda s: F.trim(s)), lambda s: s.rlike(r"[0-9]{2,7}-[0-9]{2}-[0-9]"))
-    return F.transform(items, lambda s: F.struct(F.regexp_extract(s, r"([0-9]{2,7}-[0-9]{2}-[0-9])", 1).alias("cas"), F.regexp_extract(s, r"\(([^()]*)\)[^()]*$", 1).alias("content")))
+    """Items of "number(content); ...": the number, and what its parenthesis holds, further ones inside it included."""
+    items = F.filter(F.transform(F.split(text, r";\s*(?=[0-9]{2,7}-[0-9]{2}-[0-9]\(|$)"), lambda s: F.trim(s)), lambda s: s.rlike(r"^[0-9]{2,7}-[0-9]{2}-[0-9]"))
+    return F.transform(items, lambda s: F.struct(F.regexp_extract(s, r"^([0-9]{2,7}-[0-9]{2}-[0-9])", 1).alias("cas"), F.regexp_extract(s, r"(?s)^[0-9-]+\((.*)\)[^()]*$", 1).alias("content")))
 
 
-@query("scl11_chain_parse", "SELECT doc_id, seq, cas, content FROM component WHERE NOT contains(content, '(')")
+@query("scl11_chain_parse", "SELECT doc_id, seq, cas, content FROM component")
 def chain_parse(t: Tables) -> DataFrame:
-    """Chains are written and read back: every component returns."""
-    rows = t.component.where(~F.contains("content", F.lit("(")))
+    """Chains are written and read back: every component returns, contents with parentheses too."""
     item = F.struct("seq", F.concat("cas", F.lit("("), "content", F.lit(")")).alias("item"))
-    chains = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    chains = t.component.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
     back = chains.select("doc_id", F.posexplode(F.arrays_zip(F.transform("x", lambda x: x["seq"]).alias("seq"), parse_chain(F.array_join(F.transform("x", lambda x: x["item"]), "; ")).alias("c"))).alias("i", "y"))
     return back.select("doc_id", "y.seq", "y.c.cas", "y.c.content")
 
@@ -151,40 +141,105 @@ def labels(t: Tables) -> DataFrame:
     )
 
 
-@query("scl15_factor_override", """
-WITH o(pattern, factor, rank) AS (VALUES ('ring', 'ring dust', 0), ('red', 'red oxide', 1), ('bolt', 'bolt metal', 2))
-SELECT m.ord, coalesce((SELECT min_by(factor, rank) FROM o WHERE contains(m.name, o.pattern)), m.name) AS factor FROM master m""")
+_FACTORS = D.values_sql("f", "n, cas, word, factor", tuple((i, c, w, one) for i, (c, w, one, _) in enumerate(D.FACTORS)))
+
+
+@query("scl15_factor_override", f"""
+WITH {_FACTORS}, h AS (SELECT c.doc_id, c.seq, min_by(f.factor, f.n) AS factor FROM chemical c JOIN f ON c.cas = f.cas OR (contains(lower(c.name), f.word) AND f.n < 3) GROUP BY ALL)
+SELECT c.doc_id, c.seq, CASE WHEN contains(c.flags, '광물성분진') THEN '기타광물성분진' ELSE coalesce(h.factor, c.name) END AS factor FROM chemical c LEFT JOIN h USING (doc_id, seq)""")
 def factor_override(t: Tables) -> DataFrame:
-    """An ordered table of overrides: the first whose word the name holds."""
-    factor = F.when(F.contains("name", F.lit("ring")), "ring dust").when(F.contains("name", F.lit("red")), "red oxide").when(F.contains("name", F.lit("bolt")), "bolt metal").otherwise(F.col("name"))
-    return t.master.select("ord", factor.alias("factor"))
+    """Mineral dust in the regulation's text first, then the table of overrides in order: by number, or by a word of the name."""
+    low = F.lower("name")
+    found = F.coalesce(
+        F.when(F.contains("flags", F.lit(D.MINERAL_DUST)), D.MINERAL_DUST_FACTOR),
+        *(F.when((F.col("cas") == cas) | (F.contains(low, F.lit(word)) if n < 3 else F.lit(False)), one) for n, (cas, word, one, _) in enumerate(D.FACTORS)), "name",
+    )
+    return t.chemical.select("doc_id", "seq", found.alias("factor"))
 
 
-@query("scl16_welding", """
-SELECT doc_id, CASE WHEN regexp_matches(lower(product), '용접|welding|t-1') AND doc_id % 3 = 0 THEN '용접흄; 산화철(분진, 흄); ' ELSE '' END || product AS list_1, CASE WHEN regexp_matches(lower(product), '용접|welding|t-1') AND doc_id % 3 = 0 THEN '철(' || CAST(chars AS STRING) || ')' ELSE '' END AS list_2 FROM document""")
-def welding(t: Tables) -> DataFrame:
-    """A welding product that holds iron gains fume and oxide. (Carrier: products numbered 1..., iron in every third document.)"""
-    hit = F.lower("product").rlike("용접|welding|t-1") & (F.col("doc_id") % 3 == 0)
-    return t.document.select("doc_id", F.concat(F.when(hit, "용접흄; 산화철(분진, 흄); ").otherwise(""), "product").alias("list_1"), F.when(hit, F.concat(F.lit("철("), F.col("chars").cast("string"), F.lit(")"))).otherwise("").alias("list_2"))
+@query("scl15_factor_list", f"""
+WITH {D.values_sql("f", "n, cas, word", tuple((i, c, w) for i, (c, w, _, _) in enumerate(D.FACTORS)))}, {D.values_sql("l", "n, i, factor", tuple((n, i, x) for n, f in enumerate(D.FACTORS) for i, x in enumerate(f[3])))},
+h AS (SELECT c.doc_id, c.seq, min(f.n) AS n FROM chemical c JOIN f ON c.cas = f.cas OR contains(lower(regexp_replace(c.name, '\\s', '', 'g')), f.word) GROUP BY ALL)
+SELECT c.doc_id, c.seq, coalesce(l.i, 0) AS i, coalesce(l.factor, c.name) AS factor FROM chemical c LEFT JOIN h USING (doc_id, seq) LEFT JOIN l ON l.n = h.n""")
+def factor_list(t: Tables) -> DataFrame:
+    """The list form of the overrides, a row for each factor; without one the name itself."""
+    bare = F.lower(F.regexp_replace("name", r"\s", ""))
+    found = F.coalesce(*(F.when((F.col("cas") == cas) | F.contains(bare, F.lit(word)), F.array(*map(F.lit, many))) for cas, word, _, many in D.FACTORS), F.array("name"))
+    return t.chemical.select("doc_id", "seq", F.posexplode(found).alias("i", "factor"))
 
 
-@query("scl17_welding_rows", """
-WITH w AS (SELECT doc_id, bool_or(quantity = 50) AS iron, bool_or(quantity = 49) AS oxide FROM component GROUP BY doc_id)
-SELECT c.doc_id, CASE WHEN c.quantity = 50 THEN '1309-37-1' ELSE c.cas END AS cas FROM component c WHERE c.quantity <> 48 UNION ALL SELECT doc_id, 'fume' FROM w WHERE iron UNION ALL SELECT doc_id, '1309-37-1' FROM w WHERE iron AND NOT oxide""")
-def welding_rows(t: Tables) -> DataFrame:
-    """Iron becomes its oxide, mineral dust goes, fume and oxide come where they lack."""
-    kept = t.component.where("quantity <> 48").select("doc_id", F.when(F.col("quantity") == 50, "1309-37-1").otherwise(F.col("cas")).alias("cas"))
-    w = t.component.groupBy("doc_id").agg(F.bool_or(F.col("quantity") == 50).alias("iron"), F.bool_or(F.col("quantity") == 49).alias("oxide")).where("iron")
-    more = w.select("doc_id", F.explode(F.when(F.col("oxide"), F.array(F.lit("fume"))).otherwise(F.array(F.lit("fume"), F.lit("1309-37-1")))).alias("cas"))
-    return kept.unionByName(more)
+_WELDS = "(contains({0}, '용접') OR contains(lower({0}), 'welding'))"
+
+
+def welds(product: Column) -> Column:
+    return F.contains(product, F.lit(D.WELDING_WORDS[0])) | F.contains(F.lower(product), F.lit(D.WELDING_WORDS[1]))
 
 
-@query("scl18_product_exception", "SELECT doc_id, CASE WHEN contains(upper(regexp_replace(product, '[ -]', '', 'g')), 'PRODUCT') AND contains(upper(product), '11') THEN 'fixed eleven' END AS fixed FROM document")
+@query("scl16_welding", f"""
+WITH n AS (SELECT doc_id, max(content) FILTER (WHERE cas = '7439-89-6') AS iron, coalesce(string_agg(name, '; ' ORDER BY seq) FILTER (WHERE cas NOT IN ('7439-89-6', '')), '') AS subjects FROM chemical GROUP BY doc_id)
+SELECT g.doc_id, CASE WHEN {_WELDS.format("product")} AND iron IS NOT NULL THEN CASE WHEN subjects = '' THEN '용접흄; 산화철(분진, 흄)' ELSE '용접흄; 산화철(분진, 흄); ' || subjects END ELSE subjects END AS work_subjects,
+    CASE WHEN {_WELDS.format("product")} AND iron IS NOT NULL THEN '철(' || iron || ')' ELSE '' END AS second FROM goods g JOIN n USING (doc_id)""")
+def welding(t: Tables) -> DataFrame:
+    """A welding product that holds iron: fume and oxide come before the measured subjects, iron with its content into the second list."""
+    own = F.array_sort(F.collect_list(F.when(~F.col("cas").isin(D.IRON, ""), F.struct("seq", "name"))))
+    n = t.chemical.groupBy("doc_id").agg(F.max(F.when(F.col("cas") == D.IRON, F.col("content"))).alias("iron"), F.array_join(F.transform(own, lambda x: x["name"]), "; ").alias("subjects"))
+    hit = welds(F.col("product")) & F.col("iron").isNotNull()
+    subjects = F.when(hit, F.concat_ws("; ", F.lit(D.WELDING_SUBJECTS), F.nullif("subjects", F.lit("")))).otherwise(F.col("subjects"))
+    second = F.when(hit, F.concat(F.lit(D.IRON_NAME + "("), "iron", F.lit(")"))).otherwise("")
+    return t.goods.join(n, "doc_id").select("doc_id", subjects.alias("work_subjects"), second.alias("second"))
+
+
+@query("scl17_welding_rows", f"""
+WITH w AS (SELECT g.doc_id, {_WELDS.format("product")} AS welds, contains(upper(regexp_replace(product, '[\\s\\-_()]', '', 'g')), 'CR13') AND {_WELDS.format("product")} AS fixed FROM goods g),
+{D.values_sql("d", "word", tuple((x,) for x in D.DUST_WORDS))}, {D.values_sql("fixed_rows", "cas, name, content", D.FIXED_PRODUCT)},
+c AS (SELECT w.doc_id, w.welds, CASE WHEN welds AND (cas = '7439-89-6' OR name = '철') THEN '1309-37-1' ELSE cas END AS cas, CASE WHEN welds AND (cas = '7439-89-6' OR name = '철') THEN '산화철(분진, 흄)' ELSE name END AS name, content,
+    NOT (cas = '7439-89-6' OR name = '철') AND (cas IN ('1317-65-3', '471-34-1', '14807-96-6', '68476-25-5') OR EXISTS (SELECT 1 FROM d WHERE contains(lower(c.name), d.word))) AS dust FROM chemical c JOIN w USING (doc_id) WHERE NOT fixed),
+k AS (SELECT doc_id, cas, name, content, welds FROM c WHERE NOT (welds AND dust)),
+docs AS (SELECT DISTINCT doc_id FROM c WHERE welds), have AS (SELECT doc_id, bool_or(cas = '용접흄' OR name = '용접흄') AS fume, bool_or(cas = '1309-37-1' OR contains(name, '산화철')) AS oxide FROM k GROUP BY doc_id)
+SELECT doc_id, cas, name, content FROM k
+UNION ALL SELECT doc_id, '용접흄', '용접흄', 'Rem.%' FROM docs LEFT JOIN have USING (doc_id) WHERE fume IS NOT TRUE
+UNION ALL SELECT doc_id, '1309-37-1', '산화철(분진, 흄)', 'Rem.%' FROM docs LEFT JOIN have USING (doc_id) WHERE oxide IS NOT TRUE
+UNION ALL SELECT doc_id, cas, name, content FROM (SELECT DISTINCT doc_id FROM chemical JOIN w USING (doc_id) WHERE fixed), fixed_rows""")
+def welding_rows(t: Tables) -> DataFrame:
+    """In welding, iron becomes its oxide, mineral dust goes, fume and oxide come where they lack; one product has fixed components."""
+    bare = F.upper(F.regexp_replace("product", r"[\s\-_()]", ""))
+    sheet = t.goods.select("doc_id", welds(F.col("product")).alias("welds"), (F.contains(bare, F.lit("CR13")) & welds(F.col("product"))).alias("fixed"))
+    rows = t.chemical.join(sheet, "doc_id")
+    iron = (F.col("cas") == D.IRON) | (F.col("name") == D.IRON_NAME)
+    dust = ~iron & (F.col("cas").isin(*D.DUST_NUMBERS) | F.exists(F.array(*map(F.lit, D.DUST_WORDS)), lambda w: F.contains(F.lower("name"), w)))
+    turned = F.col("welds") & iron
+    free = rows.where(~F.col("fixed"))
+    kept = free.where(~(F.col("welds") & dust)).select("doc_id", "welds", F.when(turned, D.IRON_OXIDE).otherwise(F.col("cas")).alias("cas"), F.when(turned, D.IRON_OXIDE_NAME).otherwise(F.col("name")).alias("name"), "content")
+    # What a welding document lacks, counted over all of its rows, dropped ones too.
+    oxide = (turned | (~dust & ((F.col("cas") == D.IRON_OXIDE) | F.contains("name", F.lit("산화철"))))).alias("oxide")
+    fume = (~dust & ((F.col("cas") == D.FUME) | (F.col("name") == D.FUME))).alias("fume")
+    lacks = free.where("welds").select("doc_id", oxide, fume).groupBy("doc_id").agg(F.bool_or("oxide").alias("oxide"), F.bool_or("fume").alias("fume"))
+    row = lambda cas, name: F.struct(F.lit(cas).alias("cas"), F.lit(name).alias("name"), F.lit("Rem.%").alias("content"))
+    added = lacks.select("doc_id", F.explode(F.array_compact(F.array(F.when(~F.col("fume"), row(D.FUME, D.FUME)), F.when(~F.col("oxide"), row(D.IRON_OXIDE, D.IRON_OXIDE_NAME))))).alias("x")).select("doc_id", "x.*")
+    fixed = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(x, ("cas", "name", "content"), strict=True))) for x in D.FIXED_PRODUCT))
+    given = rows.where("fixed").select("doc_id").distinct().select("doc_id", F.explode(fixed).alias("x")).select("doc_id", "x.*")
+    return kept.drop("welds").unionByName(added).unionByName(given)
+
+
+@query("scl18_product_exception", f"""
+WITH {D.values_sql("e", "n, product, targets, components", tuple((n, x[1], x[2], x[3]) for n, x in enumerate(D.EXCEPTIONS)))}, {D.values_sql("w", "n, word", tuple((n, w) for n, x in enumerate(D.EXCEPTIONS) for w in x[0]))},
+p AS (SELECT doc_id, upper(regexp_replace(product, '[ -]', '', 'g')) AS pool FROM goods),
+h AS (SELECT doc_id, n FROM p, w GROUP BY doc_id, pool, n HAVING bool_and(contains(pool, upper(regexp_replace(word, '[ -]', '', 'g')))))
+SELECT g.doc_id, coalesce(e.product, g.product) AS product, e.targets, e.components FROM goods g LEFT JOIN h USING (doc_id) LEFT JOIN e ON e.n = h.n""")
 def product_exception(t: Tables) -> DataFrame:
-    """All triggers of an entry must occur in the product, spaces and hyphens aside."""
+    """A product that holds all words of an entry, spaces and hyphens aside, has the entry's name, targets and components."""
     pool = F.upper(F.regexp_replace("product", "[ -]", ""))
-    triggers = F.array(F.lit("PRODUCT"), F.lit("11"))
-    return t.document.select("doc_id", F.when(F.forall(triggers, lambda x: F.contains(pool, x)), "fixed eleven").alias("fixed"))
+    bare = [w.upper().replace(" ", "").replace("-", "") for words, *_ in D.EXCEPTIONS for w in words]
+    whole, at = [], 0
+    for words, *entry in D.EXCEPTIONS:
+        hit = F.lit(True)
+        for w in bare[at : at + len(words)]:
+            hit = hit & F.contains(pool, F.lit(w))
+        at += len(words)
+        whole.append((hit, entry))
+    pick = lambda i, last: F.coalesce(*(F.when(hit, entry[i]) for hit, entry in whole), last)
+    none = F.lit(None).cast("string")
+    return t.goods.select("doc_id", pick(0, F.col("product")).alias("product"), pick(1, none).alias("targets"), pick(2, none).alias("components"))
 
 
 _INTEGRITY = f"SELECT d.doc_id, d.product_seen, any_value(c.x) IS NOT NULL AND bool_or(NOT c.x) AS bad FROM document d LEFT JOIN (SELECT doc_id, {_CHECK} AS x FROM component) c USING (doc_id) GROUP BY ALL"
@@ -209,36 +264,60 @@ def traffic_light(t: Tables) -> DataFrame:
     return integrity_of(t).select("doc_id", light.alias("light"))
 
 
-_BARE = r"regexp_replace(lower({}), '[\s\-_.,()]', '', 'g')"
+_PUNCTUATION = r"""[\s\-‐‑‒–—―()\[\]{}<>〈〉《》【】'"`·•_,.:;/\\]+"""
+
+
+def _bare_sql(expression: str) -> str:
+    return f"regexp_replace(lower({expression}), '" + _PUNCTUATION.replace("'", "''") + "', '', 'g')"
 
 
 @query("scl21_product_match", f"""
-WITH x AS (SELECT doc_id, {_BARE.format("product")} AS a, {_BARE.format("product_seen")} AS b FROM document)
-SELECT doc_id, CASE WHEN b = '' THEN 'missing' WHEN a = b THEN 'verified' WHEN (contains(a, b) OR contains(b, a)) AND least(length(a), length(b)) * 100 >= 75 * greatest(length(a), length(b)) THEN 'verified' WHEN contains(a, b) OR contains(b, a) THEN 'unverified' ELSE 'review' END AS verdict FROM x""")
+WITH x AS (SELECT doc_id, {_bare_sql(fold_sql("seen"))} AS a, {_bare_sql(fold_sql("product"))} AS b FROM goods)
+SELECT doc_id, CASE WHEN a = '' THEN 'missing' WHEN b = '' THEN 'unverified' WHEN a = b OR ((contains(a, b) OR contains(b, a)) AND least(length(a), length(b)) * 100 >= 75 * greatest(length(a), length(b))) THEN 'match' ELSE 'mismatch' END AS status,
+    CASE WHEN a <> '' AND b <> '' AND (a = b OR ((contains(a, b) OR contains(b, a)) AND least(length(a), length(b)) * 100 >= 75 * greatest(length(a), length(b)))) THEN 'verified' ELSE 'review' END AS verdict FROM x""")
 def product_match(t: Tables) -> DataFrame:
-    a, b = (F.regexp_replace(F.lower(c), r"[\s\-_.,()]", "") for c in ("product", "product_seen"))
-    within = F.contains(a, b) | F.contains(b, a)
+    """The name found against the local candidate: equal, or one within the other at three quarters of its length."""
+    a, b = (F.regexp_replace(F.lower(fold(F.col(c))), _PUNCTUATION, "") for c in ("seen", "product"))
     close = F.least(F.length(a), F.length(b)) * 100 >= 75 * F.greatest(F.length(a), F.length(b))
-    verdict = F.when(b == "", "missing").when((a == b) | (within & close), "verified").when(within, "unverified").otherwise("review")
-    return t.document.select("doc_id", verdict.alias("verdict"))
+    same = (a == b) | ((F.contains(a, b) | F.contains(b, a)) & close)
+    status = F.when(a == "", "missing").when(b == "", "unverified").when(same, "match").otherwise("mismatch")
+    return t.goods.select("doc_id", status.alias("status"), F.when(status == "match", "verified").otherwise("review").alias("verdict"))
 
 
-@query("scl22_labelled_product", """
-WITH d AS (SELECT doc_id, 'Section 1' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Product name: ' ELSE '제품명 : ' END || product || ' 1.1 use' AS sheet FROM document)
-SELECT doc_id, trim(regexp_replace(regexp_extract(sheet, '(?:Product name|제품명)\\s*:\\s*([^\\n]*)', 1), ' 1\\.1 .*$', '')) AS found FROM d""")
+#: Labels of a product's name, and words that show that another field was met.
+PRODUCT_LABELS = r"(?:Name\s+of\s+product|Product\s+(?:name|identity)|제품명|상품명|품명)"
+NO_PRODUCT = r"\b(?:Company|Manufacturer|Supplier|Intended\s+Use|용도|제조자|공급자)\b"
+_LABELLED = r"(?i)^\s*(?:(?:[0-9]+(?:\.[0-9]+)*\.?|[a-z]\.)\s*)?" + PRODUCT_LABELS + r"\s*(?:[:：\-]\s*)?(.+?)\s*$"
+
+
+@query("scl22_labelled_product", f"""
+WITH s AS (SELECT doc_id, ord, CASE ord % 4 WHEN 0 THEN '1.1 Product name : ' WHEN 1 THEN 'a. 제품명 ' WHEN 2 THEN 'Name of product - Supplier x' || chr(10) || '상품명: ' ELSE '1. Intended Use of product ' END || product || ' 1.2.1 use' AS sheet FROM goods),
+l AS (SELECT doc_id, i, {fold_sql("line")} AS line FROM (SELECT doc_id, unnest(string_split('Section 1' || chr(10) || sheet, chr(10))) AS line, unnest(range(100)[1:len(string_split(sheet, chr(10))) + 1]) AS i FROM s)),
+c AS (SELECT doc_id, i, trim(regexp_replace(trim(regexp_extract(trim(line), '{_LABELLED}', 1), ' :：-' || chr(9)), '\\s+[0-9]+(?:\\.[0-9]+)+\\.?\\s.*$', '')) AS name FROM l)
+SELECT s.doc_id, coalesce(min_by(c.name, c.i), '') AS found FROM s LEFT JOIN c ON c.doc_id = s.doc_id AND length(c.name) BETWEEN 2 AND 99 AND NOT regexp_matches(c.name, '(?i)Company|Manufacturer|Supplier|Intended\\s+Use|용도|제조자|공급자') GROUP BY s.doc_id""")
 def labelled_product(t: Tables) -> DataFrame:
-    sheet = F.concat(F.lit("Section 1\n"), F.when(F.col("doc_id") % 2 == 0, "Product name: ").otherwise("제품명 : "), "product", F.lit(" 1.1 use"))
-    lines = F.transform(F.split(sheet, "\n"), lambda s: F.regexp_extract(s, r"(?:Product name|제품명)\s*:\s*(.*)$", 1))
-    first = F.get(F.filter(lines, lambda s: s != ""), F.lit(0))
-    return t.document.select("doc_id", F.trim(F.regexp_replace(first, r" 1\.1 .*$", "")).alias("found"))
+    """The value of the first line with a label, cut before the next numbered heading; a line of another field does not count."""
+    lead = F.when(F.col("ord") % 4 == 0, "1.1 Product name : ").when(F.col("ord") % 4 == 1, "a. 제품명 ").when(F.col("ord") % 4 == 2, "Name of product - Supplier x\n상품명: ").otherwise("1. Intended Use of product ")
+    sheet = F.concat(F.lit("Section 1\n"), lead, "product", F.lit(" 1.2.1 use"))
+    cut = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.trim(s), _LABELLED, 1), r"^[ \t:：-]+|[ \t:：-]+$", ""), r"\s+[0-9]+(?:\.[0-9]+)+\.?\s.*$", ""))
+    names = F.filter(F.transform(F.split(fold(sheet), "\n"), cut), lambda n: F.length(n).between(2, 99) & ~n.rlike("(?iU)" + NO_PRODUCT))
+    return t.goods.select("doc_id", F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("found"))
+
+
+#: Labels that are cut off before a candidate.
+CANDIDATE_LABELS = ("제품\\s*명", "물질\\s*명", "상호명", "품명", "용도", "사용")
 
 
-@query("scl23_clean_candidate", "SELECT doc_id, product AS clean FROM document")
+@query("scl23_clean_candidate", f"SELECT doc_id, CASE WHEN ord % 6 = 4 THEN '용도:' ELSE '' END || {fold_sql('product')} AS clean FROM goods")
 def clean_candidate(t: Tables) -> DataFrame:
-    """Numbering and labels before a name go, in whatever order they were put."""
-    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "1. 제품명: ").otherwise("가) Product name : "), "product")
-    bare = F.regexp_replace(raw, r"(?i)^\s*(?:[0-9]+\.|[가-하]\))?\s*(?:제품명|product name)\s*[:：]\s*", "")
-    return t.document.select("doc_id", F.trim(bare).alias("clean"))
+    """Labels before a name go, then signs and spaces before it; a label behind signs stays."""
+    labels = ("제품 명 : ", "물질명：", "상호명:", "품명: 용도 : ", "·- 용도:", "【(>. ")
+    raw = F.concat(F.get(F.array(*map(F.lit, labels)), (F.col("ord") % len(labels)).cast("int")), "product")
+    bare = fold(raw)
+    for label in CANDIDATE_LABELS:
+        bare = F.regexp_replace(bare, rf"(?i)^{label}\s*[:：]\s*", "")
+    bare = F.regexp_replace(bare, r"^[ \t:：·\-\.\s()>【】\[\]]+", "")
+    return t.goods.select("doc_id", F.trim(bare).alias("clean"))
 
 
 @query("scl24_formula_mask", "SELECT doc_id, seq, 'mix * at ' || content AS masked FROM component")

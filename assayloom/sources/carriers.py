@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import domain
+
 
 def cas_sql(number: str, wrong: str = "0") -> str:
     """A registry number from a non-negative integer: 1000 + number, two digits, and the check digit (plus wrong)."""
@@ -80,6 +82,27 @@ CARRIERS: dict[str, tuple[str, dict[str, str]]] = {
         "stage": "concat('stage-', CAST(event_id % 6 AS STRING))",
         "size": "event_id % 9000",
     }),
+    "chemical": ("lineitem", {
+        "doc_id": "l_orderkey",
+        "seq": "CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000",
+        "cas": domain.choose_sql("l_partkey", tuple(c for c, _ in domain.SUBSTANCES)),
+        "name": domain.choose_sql("l_partkey", tuple(n for _, n in domain.SUBSTANCES)),
+        "content": _CONTENT,
+        "quantity": _Q,
+        "flags": domain.choose_sql("l_suppkey + l_linenumber", (
+            "작업환경측정대상물질, 특수건강진단대상물질", "관리대상유해물질; 특별관리물질", "허가대상물질", "금지물질, 유독물질", "광물성분진 제한물질", "관찰물질 / 사고대비물질", "해당없음", "")),
+    }),
+    "goods": ("orders", {
+        "doc_id": "o_orderkey",
+        "product": domain.choose_sql("o_orderkey", (
+            "용접봉 K-308", "Welding wire CR 13", "welding rod", "연강용 피복아크 용접봉 CS-200 / CR-13", "limestone putty", "Cleaner 5", "ＷＥＬＤＩＮＧ　wire", "Product-7", "석고보드", "paint (red)", "Primer 2.0")),
+        "seen": domain.choose_sql("o_custkey", ("Welding Wire CR-13", "welding rod", "", "limestone putty X", "CLEANER·5", "Welding wire", "Ｐｒｏｄｕｃｔ７", "석고 보드", "paint red", "other")),
+        "status": "CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'timeout' END",
+        "doc_type": "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'text' WHEN o_orderpriority = '3-MEDIUM' THEN 'mixed' ELSE 'image' END",
+        "env": "CASE o_custkey % 6 WHEN 0 THEN '30' WHEN 1 THEN '-5' WHEN 2 THEN 'soon' WHEN 3 THEN '0' WHEN 4 THEN '12.5' END",
+        "old_env": "CASE o_orderkey % 5 WHEN 0 THEN '90' WHEN 1 THEN 'x' WHEN 2 THEN '-1' END",
+        "ord": "o_custkey",
+    }),
     "word": ("lineitem", {
         "doc_id": "l_orderkey % 500", "page": "1 + l_linenumber % 2",
         "x0": "CAST(l_suppkey % 100 * 6 AS BIGINT)", "y0": "CAST(l_partkey % 60 * 4 AS BIGINT)",
