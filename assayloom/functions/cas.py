@@ -36,12 +36,20 @@ def well_formed(cas: Column) -> Column:
 
 
 def checksum_holds(cas: Column) -> Column:
-    """The digits before the last, weighted 1, 2, ... from the right, sum to the last modulo 10: arithmetic on the number itself."""
-    n = F.replace(cas, F.lit("-"), F.lit("")).try_cast("bigint")
-    total = F.lit(0)
-    for i in range(1, 10):
-        total = total + F.pmod(F.floor(n / F.lit(10**i)), F.lit(10)) * i
-    return well_formed(cas) & F.coalesce(total % 10 == n % 10, F.lit(False))
+    """The digits before the last, weighted 1, 2, ... from the right, sum to the last modulo 10.
+
+    Arithmetic on the number itself. The functions of one-element arrays bind it to a name: cas may be a long expression, which a
+    filter would evaluate anew at each mention.
+    """
+
+    def holds(n: Column) -> Column:
+        total = F.lit(0)
+        for i in range(1, 10):
+            total = total + F.pmod(F.floor(n / F.lit(10**i)), F.lit(10)) * i
+        return total % 10 == n % 10
+
+    digits_hold = lambda c: F.exists(F.array(F.replace(c, F.lit("-"), F.lit("")).try_cast("bigint")), holds)
+    return F.exists(F.array(cas), lambda c: well_formed(c) & digits_hold(c))
 
 
 def strip_zeros(cas: Column) -> Column:

@@ -133,6 +133,16 @@ def normalise(df: DataFrame, source: str, out: str = "content_norm") -> DataFram
     return df.select(*before, F.col("_out").alias(out))
 
 
+def normalise_distinct(df: DataFrame, source: str, out: str = "content_norm") -> DataFrame:
+    """The same, each different text once: sheets repeat a few texts, which are few enough for Spark to broadcast, or else are shuffled.
+
+    df is read twice, so it should be no more than a scan.
+    """
+    keyed = df.withColumn("_source", F.coalesce(source, F.lit("")))
+    forms = normalise(keyed.select("_source").distinct(), "_source", out)
+    return keyed.join(forms, "_source").select(*df.columns, out)
+
+
 def normalise_sql(source_sql: str, source: str, out: str = "content_norm") -> str:
     """A subquery with the same column for another engine."""
     inner = f"({source_sql})"

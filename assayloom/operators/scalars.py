@@ -66,13 +66,13 @@ def single_value(t: Tables) -> DataFrame:
 
 @query("scl07_content_normalise", N.normalise_sql("SELECT doc_id, seq, content FROM component", "content"))
 def content_normalise(t: Tables) -> DataFrame:
-    return N.normalise(t.component.select("doc_id", "seq", "content"), "content")
+    return N.normalise_distinct(t.component.select("doc_id", "seq", "content"), "content")
 
 
 @query("scl08_refine_strict", f"SELECT doc_id, seq, cas, content_norm FROM ({N.normalise_sql('SELECT doc_id, seq, cas, content FROM component', 'content')}) WHERE {_CHECK}")
 def refine_strict(t: Tables) -> DataFrame:
     valid = t.component.where(C.checksum_holds(F.col("cas"))).select("doc_id", "seq", "cas", "content")
-    return N.normalise(valid, "content").drop("content")
+    return N.normalise_distinct(valid, "content").drop("content")
 
 
 @query("scl09_min_max", r"""
