@@ -90,9 +90,10 @@ def duplicate_ids(t: Tables) -> DataFrame:
     return t.component.groupBy("doc_id", "cas").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("agg08_parents_per_cas", "SELECT substr(cas, 1, 3) AS family, count(*) AS parents FROM master WHERE parent GROUP BY 1 HAVING count(*) > 1")
+@query("agg08_parents_per_cas", "SELECT cas, count(*) AS parents FROM master WHERE parent AND active AND cas <> '' GROUP BY cas HAVING count(*) > 1")
 def parents_per_cas(t: Tables) -> DataFrame:
-    return t.master.where("parent").groupBy(F.substring("cas", 1, 3).alias("family")).agg(F.count("*").alias("parents")).where("parents > 1")
+    """Numbers with several active parents, of which none can be chosen."""
+    return t.master.where("parent AND active AND cas <> ''").groupBy("cas").agg(F.count("*").alias("parents")).where("parents > 1")
 
 
 @query("agg09_manifest", """

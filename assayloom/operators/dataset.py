@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Tables, query
+from ..sources import domain as D
 from ..functions import cas as C
 from .scalars import sort_code_parts
 
@@ -183,13 +184,28 @@ def resolve(t: Tables) -> DataFrame:
     return detected.unionByName(recommended).distinct()
 
 
-@query("rsv02_condition", """
-WITH c AS (SELECT seq, lower(event || ' ' || stage) AS context, CASE seq % 3 WHEN 0 THEN 'asbestos unknown' WHEN 1 THEN 'PROCESS_GENERATED heat' ELSE 'always' END AS trigger_condition FROM journal)
-SELECT seq, CASE WHEN contains(trigger_condition, 'asbestos') THEN regexp_matches(context, 'stage-[12]') WHEN contains(trigger_condition, 'heat') THEN contains(context, 'created') ELSE true END AS met FROM c""")
+#: Rules and contexts that try every branch of the condition.
+_ASKED_RULE = "CASE seq % 6 WHEN 0 THEN '석면 불명' WHEN 1 THEN '석면' WHEN 2 THEN 'Welding 시 생성' WHEN 3 THEN '산화 조건' WHEN 4 THEN '석면 포함 활석' ELSE '항상' END"
+_ASKED_RELATION = "CASE WHEN seq % 4 = 0 THEN 'CROSS' ELSE 'PROCESS_GENERATED' END"
+_ASKED_STATUS = "CASE run_id % 5 WHEN 0 THEN 'Included' WHEN 1 THEN '불명' WHEN 2 THEN 'none' ELSE '' END"
+_ASKED_CONTEXT = "CASE trace_id % 5 WHEN 0 THEN '용접 작업' WHEN 1 THEN '석면 포함 확인' WHEN 2 THEN '도장' WHEN 3 THEN 'HIGH 고열' ELSE '' END"
+_ASKED_ANY = lambda text, tokens: "(" + " OR ".join(f"contains({text}, '{w}')" for w in tokens) + ")"
+
+
+@query("rsv02_condition", f"""
+WITH c AS (SELECT seq, lower({_ASKED_RULE}) AS condition, {_ASKED_RELATION} AS relation_type, lower({_ASKED_STATUS}) AS status, lower({_ASKED_STATUS} || ' ' || {_ASKED_CONTEXT}) AS context FROM journal)
+SELECT seq, CASE WHEN contains(condition, '석면') AND {_ASKED_ANY("condition", D.ASBESTOS_OPEN)} THEN status IN ('included', 'unknown', '포함', '불명') OR {_ASKED_ANY("context", D.ASBESTOS_CONTEXT)}
+    WHEN relation_type = 'PROCESS_GENERATED' AND {_ASKED_ANY("condition", D.HEAT)} THEN {_ASKED_ANY("context", D.HEAT)} ELSE true END AS met FROM c""")
 def condition(t: Tables) -> DataFrame:
-    context = F.lower(F.concat_ws(" ", "event", "stage"))
-    trigger = F.when(F.col("seq") % 3 == 0, "asbestos unknown").when(F.col("seq") % 3 == 1, "PROCESS_GENERATED heat").otherwise("always")
-    met = F.when(F.contains(trigger, F.lit("asbestos")), context.rlike("stage-[12]")).when(F.contains(trigger, F.lit("heat")), F.contains(context, F.lit("created"))).otherwise(True)
+    """Asbestos of an open state needs a status or a word of the context; what a process generates by heat needs a word of heat in it."""
+    holds = lambda text, tokens: F.exists(F.array(*map(F.lit, tokens)), lambda w: F.contains(text, w))
+    rule, status = F.lower(F.expr(_ASKED_RULE)), F.lower(F.expr(_ASKED_STATUS))
+    context = F.lower(F.concat_ws(" ", F.expr(_ASKED_STATUS), F.expr(_ASKED_CONTEXT)))
+    open_state = F.contains(rule, F.lit(D.ASBESTOS)) & holds(rule, D.ASBESTOS_OPEN)
+    met = (
+        F.when(open_state, status.isin(*D.ASBESTOS_STATUS) | holds(context, D.ASBESTOS_CONTEXT))
+        .when((F.expr(_ASKED_RELATION) == "PROCESS_GENERATED") & holds(rule, D.HEAT), holds(context, D.HEAT)).otherwise(True)
+    )
     return t.journal.select("seq", met.alias("met"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables, query
 from ..functions import cas as C
+from ..sources import domain as D
 from .predicates import _CHECK
 
 _FIRST = "first AS (SELECT cas, name, twa, special, permit, exam, measured FROM master QUALIFY row_number() OVER (PARTITION BY cas ORDER BY ord) = 1)"
@@ -54,22 +55,23 @@ def standard_name(t: Tables) -> DataFrame:
     return t.component.join(mes, "cas", "left").join(first, "cas", "left").select("doc_id", "seq", F.coalesce("mes_name", "first_name", own).alias("standard_name"))
 
 
-#: What a number is also searched under: itself, the number that replaces it, and the members of its family. Tables, not code.
-EXPANSIONS = ((1000, 1007), (1007, 1014), (1014, 1000), (1021, 1028))
-
-
-@query("jon04_candidate_expansion", """
-WITH expansion(a, b) AS (VALUES (1000, 1007), (1007, 1014), (1014, 1000), (1021, 1028)),
-keys AS (SELECT doc_id, seq, replace(cas, '-', '') AS digits FROM component),
-wide AS (SELECT doc_id, seq, digits FROM keys UNION SELECT k.doc_id, k.seq, replace(m.cas, '-', '') FROM keys k JOIN expansion e ON starts_with(k.digits, CAST(e.a AS STRING)) AND length(k.digits) = 7 JOIN master m ON starts_with(m.cas, CAST(e.b AS STRING) || '-'))
-SELECT w.doc_id, w.seq, m.ord, m.name FROM wide w JOIN master m ON replace(m.cas, '-', '') = w.digits""")
+@query("jon04_candidate_expansion", f"""
+WITH {D.values_sql("redirect", "a, b", D.REDIRECTS)}, {D.values_sql("expansion", "a, b", ((D.CHROMIUM, D.CHROMIUM_SIX), *((a, b) for a in D.SILICA for b in D.SILICA if a != b)))},
+k AS (SELECT c.doc_id, c.seq, coalesce(r.b, c.cas) AS cas FROM chemical c LEFT JOIN redirect r ON r.a = c.cas WHERE c.cas <> ''),
+w AS (SELECT doc_id, seq, replace(cas, '-', '') AS digits FROM k UNION ALL SELECT k.doc_id, k.seq, replace(e.b, '-', '') FROM k JOIN expansion e ON e.a = k.cas)
+SELECT w.doc_id, w.seq, m.ord, m.name FROM w JOIN roster m ON replace(m.cas, '-', '') = w.digits WHERE m.cas <> ''
+UNION ALL SELECT k.doc_id, k.seq, m.ord, m.name FROM k JOIN roster m ON m.sort_code = '2D-10-010' AND m.cas = '' WHERE k.cas IN ('7631-86-9', '14808-60-7', '14464-46-1', '15468-32-3')""")
 def candidate_expansion(t: Tables) -> DataFrame:
-    master = t.master.withColumn("digits", C.digits(F.col("cas")))
-    expansion = t.spark.createDataFrame([(str(a), str(b)) for a, b in EXPANSIONS], "a string, b string")
-    keys = t.component.select("doc_id", "seq", C.digits(F.col("cas")).alias("digits"))
-    heads = master.select(F.substring_index("cas", "-", 1).alias("b"), F.col("digits").alias("other"))
-    more = keys.where(F.length("digits") == 7).withColumn("a", F.substring("digits", 1, 4)).join(F.broadcast(expansion), "a").join(heads, "b").select("doc_id", "seq", F.col("other").alias("digits"))
-    return keys.unionByName(more).distinct().join(t.master.select(C.digits(F.col("cas")).alias("digits"), "ord", "name"), "digits").select("doc_id", "seq", "ord", "name")
+    """All registry rows of a number, by digits: redirected numbers, chromium with its sixth state, silica with its family and with the row without a number."""
+    redirects = D.table(t.spark, "cas string, other string", D.REDIRECTS)
+    more = D.table(t.spark, "cas string, other string", ((D.CHROMIUM, D.CHROMIUM_SIX), *((a, b) for a in D.SILICA for b in D.SILICA if a != b)))
+    asked = t.chemical.where("cas <> ''").select("doc_id", "seq", "cas").join(F.broadcast(redirects), "cas", "left").select("doc_id", "seq", F.coalesce("other", "cas").alias("cas"))
+    wide = asked.unionByName(asked.join(F.broadcast(more), "cas").select("doc_id", "seq", F.col("other").alias("cas")))
+    rows = t.roster.select(C.digits(F.col("cas")).alias("digits"), "cas", "ord", "name", "sort_code")
+    hits = wide.withColumn("digits", C.digits(F.col("cas"))).drop("cas").join(rows.where("cas <> ''"), "digits").select("doc_id", "seq", "ord", "name")
+    # The family's numbers meet the one row without a number on a constant key.
+    forced = rows.where((F.col("cas") == "") & (F.col("sort_code") == D.FORCED_CODE)).select(F.explode(F.array(*map(F.lit, D.SILICA))).alias("cas"), "ord", "name")
+    return hits.unionByName(asked.join(forced, "cas").select("doc_id", "seq", "ord", "name"))
 
 
 def bare_name(name: F.Column) -> F.Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Tables, query
+from ..sources import domain as D
 from ..functions import cas as C
 from ..functions import content as N
 
@@ -179,14 +180,18 @@ def zero_quantity(t: Tables) -> DataFrame:
 SENSITIVE_KEY = r"api_?key|authorization|cookie|password|secret|token"
 
 
-@query("flt19_sensitive", """
-WITH k AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'api_key' WHEN 1 THEN 'Authorization' WHEN 2 THEN event_type ELSE 'user_token_id' END AS key, CASE WHEN event_id % 3 = 0 THEN 'Bearer abcdefgh1234' ELSE props END AS value FROM events)
-SELECT event_id, key, regexp_matches(lower(key), 'api_?key|authorization|cookie|password|secret|token') AS key_hit, regexp_matches(value, '(Bearer|Basic|Token)\\s+[A-Za-z0-9+/_.=-]{8,}') AS value_hit FROM k""")
+@query("flt19_sensitive", f"""
+WITH k AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'api.key' WHEN 1 THEN 'X-Authorization' WHEN 2 THEN event_type WHEN 3 THEN 'private-key' WHEN 4 THEN 'raw_text' ELSE 'user_token_id' END AS key, CASE event_id % 5 WHEN 0 THEN 'see bearer abc' WHEN 1 THEN 'authorization: x' WHEN 2 THEN '-----BEGIN A PRIVATE KEY-----' ELSE props END AS value FROM events)
+SELECT event_id, key, regexp_matches(lower(key), '{D.SENSITIVE_KEYS}') AS key_hit, regexp_matches(lower(key), '{D.EXPORT_KEYS}') AS export_hit, {" OR ".join(f"regexp_matches(value, '(?i){p}')" for p in D.SECRET_TEXTS)} AS value_hit FROM k""")
 def sensitive(t: Tables) -> DataFrame:
-    n = F.col("event_id") % 4
-    key = F.when(n == 0, "api_key").when(n == 1, "Authorization").when(n == 2, F.col("event_type")).otherwise("user_token_id")
-    value = F.when(F.col("event_id") % 3 == 0, "Bearer abcdefgh1234").otherwise(F.col("props"))
-    return t.events.select("event_id", key.alias("key"), F.lower(key).rlike(SENSITIVE_KEY).alias("key_hit"), value.rlike(r"(Bearer|Basic|Token)\s+[A-Za-z0-9+/_.=-]{8,}").alias("value_hit"))
+    """Keys that are masked in a journal, keys that may not leave, and texts that hold a secret."""
+    n, m = F.col("event_id") % 6, F.col("event_id") % 5
+    key = F.when(n == 0, "api.key").when(n == 1, "X-Authorization").when(n == 2, F.col("event_type")).when(n == 3, "private-key").when(n == 4, "raw_text").otherwise("user_token_id")
+    value = F.when(m == 0, "see bearer abc").when(m == 1, "authorization: x").when(m == 2, "-----BEGIN A PRIVATE KEY-----").otherwise(F.col("props"))
+    hit = F.lit(False)
+    for pattern in D.SECRET_TEXTS:
+        hit = hit | value.rlike("(?i)" + pattern)
+    return t.events.select("event_id", key.alias("key"), F.lower(key).rlike(D.SENSITIVE_KEYS).alias("key_hit"), F.lower(key).rlike(D.EXPORT_KEYS).alias("export_hit"), hit.alias("value_hit"))
 
 
 @query("flt20_upper_bound", "SELECT doc_id, seq, quantity * 3 <= 100 AS within_100, quantity * 3 <= 110 AS within_110 FROM component")

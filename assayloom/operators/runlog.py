@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..catalog import Tables, query
-from .scalars import redact
+from ..sources import domain as D
+from .scalars import redact_json
 
 
 @query("lin01_lineage", """
@@ -103,18 +104,32 @@ def image_budget(t: Tables) -> DataFrame:
     return t.journal.select("trace_id", "candidate", "seq", "size").groupBy("trace_id").applyInPandas(pick_within_budget, "trace_id long, seq long, kept boolean")
 
 
-@query("lin12_sanitise", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Token [REDACTED]' ELSE props END AS details FROM events WHERE event_type <> 'error'")
+@query("lin12_sanitise", "SELECT event_id, '{\"note\":\"Token [REDACTED]\",\"Prompt\":\"[EXCLUDED FROM SHARE]\",\"at\":\"<user-home>/x.pdf in <repo>/run\",\"inner\":[{\"file_path\":\"[EXCLUDED FROM SHARE]\",\"props\":' || replace(props, ' ', '') || '}]}' AS details FROM events")
 def sanitise(t: Tables) -> DataFrame:
-    """Forbidden kinds of rows go, secrets in the rest are masked."""
-    details = F.when(F.col("event_id") % 3 == 0, "Token abcdefgh-12345").otherwise(F.col("props"))
-    return t.events.where("event_type <> 'error'").select("event_id", redact(details).alias("details"))
+    """JSON documents for a share: what forbidden keys hold goes, at any depth; secrets and the paths of this machine are masked."""
+    raw = F.concat(F.lit('{"note":"Token abcdefgh-12345","Prompt":["p",{"x":1}],"at":"/home/me/x.pdf in /srv/repo/run","inner":[{"file_path":"/home/me/a","props":'), "props", F.lit("}]}"))
+    clean = redact_json(raw, D.EXPORT_KEYS, "[EXCLUDED FROM SHARE]")
+    return t.events.select("event_id", F.replace(F.replace(clean, F.lit("/srv/repo"), F.lit("<repo>")), F.lit("/home/me"), F.lit("<user-home>")).alias("details"))
 
 
-@query("lin13_unsafe_rows", "SELECT count(*) AS unsafe FROM events WHERE event_id % 97 = 0")
+_SHARED = "CASE event_id % 11 WHEN 0 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 1 THEN 'basic YWJj' WHEN 2 THEN concat('c:', chr(92), 'users', chr(92), 'me', chr(92), 'x') WHEN 3 THEN 'API-key = 5' WHEN 4 THEN 'bearer' ELSE props END"
+_SHARED_FILE = "CASE event_id % 101 WHEN 0 THEN 'sheet.PDF' WHEN 1 THEN 'config.json' WHEN 2 THEN 'image.png' ELSE 'part.jsonl' END"
+
+
+@query("lin13_unsafe_rows", f"""
+WITH s AS (SELECT {_SHARED} AS text, {_SHARED_FILE} AS file, 5000 AS size FROM events)
+SELECT count(*) FILTER (WHERE regexp_matches(lower(file), '\\.pdf$') OR file IN ('config.json', 'smu_cache.json', 'msds_cache_registry.json')) AS forbidden_files,
+    count(*) FILTER (WHERE regexp_matches(file, '\\.(json|md|jsonl|txt)$') AND ({" OR ".join(f"regexp_matches(text, '(?i){p}')" for p in D.SECRET_TEXTS)})) AS unsafe, sum(size) > 52428800 AS too_large FROM s""")
 def unsafe_rows(t: Tables) -> DataFrame:
-    """A share is safe if no row of it still holds a secret."""
-    details = F.when(F.col("event_id") % 97 == 0, "Bearer abcdefgh12345").otherwise(F.col("props"))
-    return t.events.agg(F.count_if(details.rlike(r"(?i)\b(Bearer|Basic|Token)\s+[A-Za-z0-9+/_.=-]{8,}")).alias("unsafe"))
+    """A share is safe if it holds no forbidden file, no text with a secret, and no more than its limit."""
+    text, file = F.expr(_SHARED), F.expr(_SHARED_FILE)
+    secret = F.lit(False)
+    for pattern in D.SECRET_TEXTS:
+        secret = secret | text.rlike("(?i)" + pattern)
+    return t.events.agg(
+        F.count_if(F.lower(file).rlike(r"\.pdf$") | file.isin(*D.FORBIDDEN_FILES)).alias("forbidden_files"), F.count_if(file.rlike(r"\.(json|md|jsonl|txt)$") & secret).alias("unsafe"),
+        (F.sum(F.lit(5000)) > D.SHARE_BYTES).alias("too_large"),
+    )
 
 
 @query("lin14_latest_success", "SELECT trace_id, max_by(candidate, seq) AS candidate, max(seq) AS seq FROM journal WHERE status = 'completed' AND event = 'candidate_selected' GROUP BY trace_id")
@@ -207,13 +222,19 @@ def promotion(t: Tables) -> DataFrame:
     return new.withColumn("nth", nth).join(F.broadcast(before), "head").select("file_hash", (F.lit(1000) + F.col("before") + F.col("nth")).alias("golden_id"))
 
 
-@query("ver08_correction_reasons", """
-WITH d(word, reason, n) AS (VALUES ('ring', 'annular form', 0), ('red', 'pigment', 1), ('widget', 'assembled', 2))
-SELECT m.ord, string_agg(d.reason, '; ' ORDER BY d.n) AS reasons, contains(m.name, 'bolt') AS completed FROM master m JOIN d ON contains(m.name, d.word) GROUP BY m.ord, m.name""")
+@query("ver08_correction_reasons", f"""
+WITH {D.values_sql("d", "cas, reason, n", tuple((c, r, n) for n, (c, r) in enumerate(D.REASONS)))}, {D.values_sql("w", "word", tuple((x,) for x in D.DONE_WORDS))},
+c AS (SELECT doc_id, string_agg(cas || '(' || content || ')', '; ' ORDER BY seq) AS chain, string_agg(name, '; ' ORDER BY seq) AS corrected FROM chemical GROUP BY doc_id),
+m AS (SELECT doc_id, chain, EXISTS (SELECT 1 FROM w WHERE contains(c.corrected, w.word)) AS done FROM c)
+SELECT doc_id, string_agg(CASE WHEN done THEN '✔ [교정 완료] ' ELSE '• ' END || reason, chr(10) ORDER BY n) AS reasons, done FROM m JOIN d ON contains(m.chain, d.cas) GROUP BY doc_id, done""")
 def correction_reasons(t: Tables) -> DataFrame:
-    table = (("ring", "annular form"), ("red", "pigment"), ("widget", "assembled"))
-    reasons = F.concat_ws("; ", *(F.when(F.contains("name", F.lit(w)), r) for w, r in table))
-    return t.master.select("ord", reasons.alias("reasons"), F.contains("name", F.lit("bolt")).alias("completed")).where("reasons <> ''")
+    """The reasons of all numbers in a document's chain, one a line, marked as completed where the corrected text holds one of some words."""
+    by = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", x.alias("x")))), lambda r: r["x"]), "; ")
+    rows = t.chemical.groupBy("doc_id").agg(by(F.concat("cas", F.lit("("), "content", F.lit(")"))).alias("chain"), by(F.col("name")).alias("corrected"))
+    done = F.exists(F.array(*map(F.lit, D.DONE_WORDS)), lambda w: F.contains("corrected", w))
+    mark = F.when(F.col("done"), D.DONE_MARK).otherwise(D.OPEN_MARK)
+    reasons = F.concat_ws("\n", *(F.when(F.contains("chain", F.lit(c)), F.concat(mark, F.lit(r))) for c, r in D.REASONS))
+    return rows.withColumn("done", done).select("doc_id", reasons.alias("reasons"), "done").where("reasons <> ''")
 
 
 @query("ver09_light_transition", "SELECT doc_id, CASE WHEN chars % 3 = 0 THEN '🟢' WHEN status = 'failed' THEN '🔴' WHEN status = 'timeout' THEN '🟡' ELSE '🟢' END AS light FROM document")

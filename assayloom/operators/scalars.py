@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -375,19 +379,48 @@ def base_name(t: Tables) -> DataFrame:
     return t.master.select("ord", F.coalesce(F.nullif(F.trim(F.regexp_replace("name", "[(（].*$", "")), F.lit("")), "name").alias("base"))
 
 
-@query("scl32_display_names", r"SELECT ord, trim(regexp_replace(name, '\([^)]*\)', '', 'g')) AS plain, trim(regexp_replace(name || ' (TWA)', '\s*\((STEL|TWA|PEL|TLV)\)', '', 'g')) AS unit_free, trim(regexp_replace(name, '[^a-zA-Z ]', '', 'g')) AS latin FROM master")
+@query("scl32_display_names", r"""
+SELECT doc_id, seq, trim(regexp_replace(name, '\s*\([a-zA-Z\s,]+\)', '', 'g')) AS no_english,
+    CASE WHEN regexp_full_match(trim(name), '[가-힣\s\d\w,./-]+\s*\([A-Za-z\s\d,]+\)') THEN trim(regexp_replace(trim(name), '\s*\([A-Za-z\s\d,]+\)$', '')) ELSE trim(name) END AS korean,
+    CASE WHEN regexp_matches(name, '[가-힣]') THEN trim(regexp_replace(name, '\s*\([A-Za-z\s\d,]+\)$', '')) ELSE trim(name) END AS shown, trim(regexp_replace(name || ' (Twa)', '(?i)\s*\((?:STEL|TWA|PEL|TLV)\)', '', 'g')) AS unit_free
+FROM chemical""")
 def display_names(t: Tables) -> DataFrame:
-    return t.master.select(
-        "ord", F.trim(F.regexp_replace("name", r"\([^)]*\)", "")).alias("plain"),
-        F.trim(F.regexp_replace(F.concat("name", F.lit(" (TWA)")), r"\s*\((STEL|TWA|PEL|TLV)\)", "")).alias("unit_free"), F.trim(F.regexp_replace("name", "[^a-zA-Z ]", "")).alias("latin"),
+    """Four forms: without English parentheses anywhere; without one behind a Korean or plain name; without one behind a name in Hangul; without a limit's unit."""
+    n, tail = F.trim("name"), r"\s*\([A-Za-z\s0-9,]+\)$"
+    cut = F.trim(F.regexp_replace(n, tail, ""))
+    whole = n.rlike(r"(?U)^[가-힣\s\d\w,./-]+\s*\([A-Za-z\s0-9,]+\)$")
+    return t.chemical.select(
+        "doc_id", "seq", F.trim(F.regexp_replace("name", r"\s*\([a-zA-Z\s,]+\)", "")).alias("no_english"), F.when(whole, cut).otherwise(n).alias("korean"),
+        F.when(n.rlike("[가-힣]"), cut).otherwise(n).alias("shown"), F.trim(F.regexp_replace(F.concat("name", F.lit(" (Twa)")), r"(?i)\s*\((?:STEL|TWA|PEL|TLV)\)", "")).alias("unit_free"),
     )
 
 
-@query("scl33_pure_name", r"SELECT ord, trim(regexp_replace(name, '\([^)]*\)|[0-9]+$', '', 'g')) AS pure FROM master")
+def pure_substance(item: Column) -> Column:
+    """Parentheses, a category before the name, tags and brackets off."""
+    text = F.trim(F.regexp_replace(item, r"\([^()]*\)", ""))
+    for prefix in D.ITEM_PREFIXES:
+        text = F.when(F.startswith(text, F.lit(prefix)), F.trim(F.substr(text, F.lit(len(prefix) + 1)))).otherwise(text)
+    return F.trim(F.translate(F.trim(F.regexp_replace(text, r"\[특별\]|\[특검\]|\[허가\]", "")), "[]", ""))
+
+
+def core_name(name: Column) -> Column:
+    """Endings off, the longest first."""
+    for suffix in sorted(D.CORE_SUFFIXES, key=len, reverse=True):
+        name = F.replace(name, F.lit(suffix), F.lit(""))
+    return F.trim(name)
+
+
+def _core_sql(name: str) -> str:
+    for suffix in sorted(D.CORE_SUFFIXES, key=len, reverse=True):
+        name = f"replace({name}, '{suffix}', '')"
+    return f"trim({name})"
+
+
+@query("scl33_pure_name", f"SELECT doc_id, seq, trim(replace(replace(regexp_replace(name, '\\([^()]*\\)', '', 'g'), '[', ''), ']', '')) AS pure, {_core_sql('name')} AS core FROM chemical")
 def pure_name(t: Tables) -> DataFrame:
-    tagged = F.concat(F.lit("[특별] "), "name")
-    bare = F.regexp_replace(F.regexp_replace(tagged, r"^\[(?:특별|허가|특검)\]\s*", ""), r"\([^)]*\)|[0-9]+$", "")
-    return t.master.select("ord", F.trim(bare).alias("pure"))
+    tags = F.array(*map(F.lit, (*D.ITEM_PREFIXES, "")))
+    item = F.concat(F.get(tags, (F.col("quantity") % 5).cast("int")), F.when(F.col("quantity") % 2 == 0, " [특별]").otherwise(" ["), "name", F.lit("] (5~10%)"))
+    return t.chemical.select("doc_id", "seq", pure_substance(item).alias("pure"), core_name(F.col("name")).alias("core"))
 
 
 def sort_code_parts(code: Column) -> Column:
@@ -436,32 +469,57 @@ def target_amendment(t: Tables) -> DataFrame:
     return t.master.select("ord", F.when((F.col("decision") == "수정") & (named != ""), named).otherwise(F.col("name")).alias("target"))
 
 
-#: The namespace of this library's name-based ids (RFC 9562, version 5).
-NAMESPACE = "6f1d8e0e4b7c5a3d9e2f1a2b3c4d5e6f"
-
-
-def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "utf-8")))
+def uuid5(name: Column, namespace: str) -> Column:
+    """The hex digits, in capitals, of a name-based id (RFC 9562, version 5)."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "utf-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.upper(F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15)))
 
 
-@query("scl38_uuid5")
+def _uuid5_sql(name: str, namespace: str) -> str:
+    h = f"sha1(unhex('{namespace.replace('-', '')}') || encode({name}))"
+    return f"upper(substr({h}, 1, 12) || '5' || substr({h}, 14, 3) || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr({h}, 17, 1)), 1) || substr({h}, 18, 15))"
+
+
+def source_row_id(*identity: Column | str) -> Column:
+    """Of kind, version, sheet, sort code, name, raw number and review key."""
+    return F.concat(F.lit("SRC_"), uuid5(F.concat_ws("|", *identity), D.PROFILE_NAMESPACE))
+
+
+def profile_id(source: Column) -> Column:
+    return F.concat(F.lit("SP_"), uuid5(source, D.PROFILE_NAMESPACE))
+
+
+_SOURCE_ID = "'SRC_' || " + _uuid5_sql("concat_ws('|', 'master', 'V24', 'sheet', sort_code, name, cas, '')", D.PROFILE_NAMESPACE)
+
+
+@query("scl38_uuid5", f"""
+WITH s AS (SELECT ord, {_SOURCE_ID} AS source_row_id FROM master), p AS (SELECT *, 'SP_' || {_uuid5_sql("source_row_id", D.PROFILE_NAMESPACE)} AS profile_id FROM s)
+SELECT *, 'REL_' || {_uuid5_sql("concat_ws('|', profile_id, profile_id, 'SAME', CAST(ord AS STRING))", D.RELATION_NAMESPACE)} AS relation_id, 'RULE_' || {_uuid5_sql("CAST(ord AS STRING)", D.RULE_NAMESPACE)} AS rule_id FROM p""")
 def uuid5_ids(t: Tables) -> DataFrame:
-    return t.master.select("ord", F.concat(F.lit("SP_"), uuid5(F.concat_ws("|", "sort_code", "name"))).alias("profile_id"))
+    source = source_row_id(F.lit("master"), F.lit("V24"), F.lit("sheet"), "sort_code", "name", "cas", F.lit(""))
+    rows = t.master.select("ord", source.alias("source_row_id")).withColumn("profile_id", profile_id(F.col("source_row_id")))
+    relation = uuid5(F.concat_ws("|", "profile_id", "profile_id", F.lit("SAME"), F.col("ord").cast("string")), D.RELATION_NAMESPACE)
+    return rows.withColumns({"relation_id": F.concat(F.lit("REL_"), relation), "rule_id": F.concat(F.lit("RULE_"), uuid5(F.col("ord").cast("string"), D.RULE_NAMESPACE))})
 
 
-@query("scl39_exposure_text", "SELECT ord, CASE WHEN twa = '-' THEN '' ELSE twa END AS twa_ppm, CAST(ord % 30 AS STRING) AS stel_mg FROM master")
+@query("scl39_exposure_text", """
+SELECT ord, CASE WHEN twa = '-' OR ord % 4 = 3 THEN '-' ELSE twa END AS twa_ppm, CASE WHEN ord % 4 = 0 THEN '12.5' ELSE '-' END AS twa_mg, CASE WHEN ord % 4 = 1 THEN '7' ELSE '-' END AS stel_ppm, CASE WHEN ord % 4 = 3 THEN '-' ELSE CAST(ord % 30 AS STRING) END AS stel_mg FROM master""")
 def exposure_text(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("TWA "), "twa", F.lit(" ppm, STEL : "), (F.col("ord") % 30).cast("string"), F.lit(" mg/m3"))
-    return t.master.select("ord", F.regexp_extract(text, r"TWA\s*:?\s*([0-9.]+)\s*ppm", 1).alias("twa_ppm"), F.regexp_extract(text, r"STEL\s*:?\s*([0-9.]+)\s*(?:mg/m3|㎎/㎥)", 1).alias("stel_mg"))
+    """Two limits in two units, read from one text; what it does not state is a dash."""
+    n = F.col("ord") % 4
+    text = F.when(n == 3, "국내규정 없음").otherwise(F.concat(
+        F.lit("twa ："), "twa", F.lit(" PPM; "), F.when(n == 0, "TWA 12.5 ㎎/㎥, ").otherwise(""), F.when(n == 1, "STEL: 7 ppm ").otherwise(""), F.lit("STEL : "), (F.col("ord") % 30).cast("string"), F.lit(" ㎎/㎥"),
+    ))
+    read = lambda name, unit: F.coalesce(F.nullif(F.regexp_extract(text, rf"(?i){name}\s*[:：]?\s*([0-9]+(?:\.[0-9]+)?)\s*{unit}", 1), F.lit("")), F.lit("-"))
+    return t.master.select("ord", read("TWA", "ppm").alias("twa_ppm"), read("TWA", "㎎/㎥").alias("twa_mg"), read("STEL", "ppm").alias("stel_ppm"), read("STEL", "㎎/㎥").alias("stel_mg"))
 
 
-@query("scl40_regulation_flags", "SELECT ord, measured AS is_measured, special AS is_special, exam AS is_exam, permit AS is_permit FROM master")
+@query("scl40_regulation_flags", "SELECT doc_id, seq, " + ", ".join(f"contains(flags, '{w}') AS {c}" for c, w in D.OSH_FLAGS) + ", " + ", ".join(f"contains(flags, '{w}') AS cca_{c}" for c, w in D.CCA_FLAGS) + ", '' AS cca_ecology FROM chemical")
 def regulation_flags(t: Tables) -> DataFrame:
-    named = (("measured", "작업환경측정대상"), ("special", "특별관리물질"), ("exam", "특수건강진단대상"), ("permit", "허가대상"))
-    text = F.concat_ws(", ", *(F.when(F.col(c), w) for c, w in named))
-    return t.master.select("ord", *(F.contains(text, F.lit(w)).alias(f"is_{c}") for c, w in named))
+    """Six flags of one law and five of the other by words of the text; a further field of the other stays empty."""
+    has = lambda w: F.contains("flags", F.lit(w))
+    return t.chemical.select("doc_id", "seq", *(has(w).alias(c) for c, w in D.OSH_FLAGS), *(has(w).alias(f"cca_{c}") for c, w in D.CCA_FLAGS), F.lit("").alias("cca_ecology"))
 
 
 @query("scl41_limit_number", "SELECT ord, TRY_CAST(twa AS DOUBLE) AS twa FROM master WHERE TRY_CAST(twa AS DOUBLE) > 0")
@@ -471,28 +529,85 @@ def limit_number(t: Tables) -> DataFrame:
     return t.master.select("ord", found.alias("twa")).where("twa > 0")
 
 
-@query("scl42_trace_id", "SELECT seq, substr(sha256(CAST(run_id AS STRING) || chr(31) || CAST(trace_id AS STRING)), 1, 24) AS file_trace_id FROM journal")
+def file_trace_id(run: Column, file: Column) -> Column:
+    """A run and a file (its hash, or else its path), kept apart by a character that neither holds."""
+    return F.substring(F.sha2(F.concat(run, F.lit("\0"), file), 256), 1, 24)
+
+
+@query("scl42_trace_id", r"SELECT seq, substr(sha256(encode(CAST(run_id AS STRING)) || '\x00'::BLOB || encode(CAST(trace_id AS STRING))), 1, 24) AS file_trace_id FROM journal")
 def trace_id(t: Tables) -> DataFrame:
-    """A separator that no part holds keeps the parts apart."""
-    return t.journal.select("seq", F.substring(F.sha2(F.concat(F.col("run_id").cast("string"), F.lit("\x1f"), F.col("trace_id").cast("string")), 256), 1, 24).alias("file_trace_id"))
+    return t.journal.select("seq", file_trace_id(F.col("run_id").cast("string"), F.col("trace_id").cast("string")).alias("file_trace_id"))
+
+
+def safe_export_name(file: Column, trace: Column, most: int = 80) -> Column:
+    """A file's name without what folders and extensions need, cut so that two underscores and the head of its trace id fit."""
+    raw = F.regexp_replace(F.coalesce(F.nullif(file, F.lit("")), F.lit("diagnostic")), r"[<>:\"/\\|?*\x00-\x1f]+", "_")
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\.[A-Za-z0-9]{1,8}$", ""), r"\s+", "_"), r"^[ ._]+|[ ._]+$", "")
+    suffix = F.coalesce(F.nullif(F.substring(F.regexp_replace(trace, "[^A-Za-z0-9]", ""), 1, 8), F.lit("")), F.lit("unknown"))
+    room = F.greatest(F.lit(8), F.lit(most) - F.length(suffix) - 2)
+    return F.concat(F.substr(F.coalesce(F.nullif(stem, F.lit("")), F.lit("diagnostic")), F.lit(1), room), F.lit("__"), suffix)
+
 
+_FILE = "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN repeat('long name ', 12) || file_name WHEN 2 THEN '..a<b>:c' || chr(9) || file_name ELSE file_name END"
+_TRACE = "CASE doc_id % 3 WHEN 0 THEN '-_' WHEN 1 THEN 'ab-12' ELSE file_hash || '-xyz-123456789' END"
 
-@query("scl43_safe_name", r"SELECT doc_id, substr(trim(regexp_replace(file_name, '[^0-9A-Za-z가-힣._-]+', '_', 'g')), 1, 12) AS safe FROM document")
+
+@query("scl43_safe_name", rf"""
+WITH f AS (SELECT doc_id, {_FILE} AS file, {_TRACE} AS trace FROM document),
+s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(file, ''), 'diagnostic'), '[<>:"/\\|?*\x00-\x1f]+', '_', 'g'), '\.[A-Za-z0-9]{{1,8}}$', ''), '\s+', '_', 'g'), '^[ ._]+|[ ._]+$', '', 'g') AS stem, coalesce(nullif(substr(regexp_replace(trace, '[^A-Za-z0-9]', '', 'g'), 1, 8), ''), 'unknown') AS suffix FROM f)
+SELECT doc_id, substr(coalesce(nullif(stem, ''), 'diagnostic'), 1, greatest(8, 80 - length(suffix) - 2)::BIGINT) || '__' || suffix AS safe FROM s""")
 def safe_name(t: Tables) -> DataFrame:
-    return t.document.select("doc_id", F.substring(F.trim(F.regexp_replace("file_name", "[^0-9A-Za-z가-힣._-]+", "_")), 1, 12).alias("safe"))
+    return t.document.select("doc_id", safe_export_name(F.expr(_FILE), F.expr(_TRACE)).alias("safe"))
 
 
 def redact(text: Column) -> Column:
-    s = F.regexp_replace(text, r"(?i)\b(Bearer|Basic|Token)\s+[A-Za-z0-9+/_.=-]{8,}", "$1 [REDACTED]")
-    s = F.regexp_replace(s, r"(?s)-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----", "[REDACTED]")
-    return F.regexp_replace(s, r"[A-Za-z0-9+/]{80,}={0,2}", "[REDACTED]")
+    s = F.regexp_replace(text, r"(?i)\b(Bearer|Basic|Token)\s+[^\s,;]+", "$1 [REDACTED]")
+    s = F.regexp_replace(s, r"(?s)-----BEGIN [^-]+-----.*?-----END [^-]+-----", "[REDACTED SERVICE ACCOUNT KEY]")
+    return F.regexp_replace(s, r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{80,}={0,2}(?![A-Za-z0-9+/=_-])", "[REDACTED BASE64]")
+
+
+_AUTH, _PEM = re.compile(r"\b(Bearer|Basic|Token)\s+[^\s,;]+", re.I), re.compile(r"-----BEGIN [^-]+-----.*?-----END [^-]+-----", re.S)
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{80,}={0,2}(?![A-Za-z0-9+/=_-])")
+
 
+def redact_value(value: object, key: str = "", keys: re.Pattern = re.compile(D.SENSITIVE_KEYS, re.I), instead: str = "[REDACTED]") -> object:
+    """A JSON value with what sensitive keys hold, at any depth, and secrets in texts replaced."""
+    if keys.search(key):
+        return instead
+    if isinstance(value, dict):
+        return {k: redact_value(v, k, keys, instead) for k, v in value.items()}
+    if isinstance(value, list):
+        return [redact_value(v, "", keys, instead) for v in value]
+    if isinstance(value, str):
+        return _BASE64.sub("[REDACTED BASE64]", _PEM.sub("[REDACTED SERVICE ACCOUNT KEY]", _AUTH.sub(lambda m: f"{m.group(1)} [REDACTED]", value)))
+    return value
 
-@query("scl44_redact", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Bearer [REDACTED] ' WHEN 1 THEN '[REDACTED] ' ELSE 'plain ' END || props AS line FROM events")
+
+def redact_json(text: Column, keys: str = D.SENSITIVE_KEYS, instead: str = "[REDACTED]") -> Column:
+    """JSON texts of any depth, which no built-in function walks; what is no JSON is treated as a text. Arrow batches."""
+    pattern = re.compile(keys, re.I)
+
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            try:
+                return json.dumps(redact_value(json.loads(text), "", pattern, instead), ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return redact_value(text)
+
+        return texts.map(one)
+
+    return F.pandas_udf(run, "string")(text)
+
+
+@query("scl44_redact", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Bearer [REDACTED]; ' WHEN 1 THEN '[REDACTED BASE64] ' ELSE '[REDACTED SERVICE ACCOUNT KEY] ' END || props AS line, '{\"a\":{\"user.api-key\":\"[REDACTED]\",\"list\":[\"basic [REDACTED], x\",{\"Token\":\"[REDACTED]\",\"n\":1}]},\"props\":' || replace(props, ' ', '') || '}' AS document FROM events")
 def redacted(t: Tables) -> DataFrame:
+    """Secrets in a line of text; those and what sensitive keys hold in a JSON document, at any depth."""
     n = F.col("event_id") % 3
-    lead = F.when(n == 0, "Bearer abcdef123456 ").when(n == 1, F.concat(F.repeat(F.lit("Ab3+"), F.lit(25)), F.lit(" "))).otherwise("plain ")
-    return t.events.select("event_id", redact(F.concat(lead, "props")).alias("line"))
+    lead = F.when(n == 0, "Bearer abc!def-123456; ").when(n == 1, F.concat(F.repeat(F.lit("Ab3+"), F.lit(25)), F.lit("== "))).otherwise("-----BEGIN X KEY-----\nabc\n-----END X KEY----- ")
+    document = F.concat(F.lit('{"a":{"user.api-key":["s",'), F.col("event_id").cast("string"), F.lit('],"list":["basic YWJj, x",{"Token":{"deep":"s"},"n":1}]},"props":'), "props", F.lit("}"))
+    return t.events.select("event_id", redact(F.concat(lead, "props")).alias("line"), redact_json(document).alias("document"))
 
 
 #: Marks that mean yes.
@@ -522,10 +637,19 @@ def letters(t: Tables) -> DataFrame:
     return t.master.select("ord", column_index(column_letters(F.col("ord") + 1)).alias("back"))
 
 
-@query("scl47_light_colour", "WITH c(status, circle, colour) AS (VALUES ('success', '●', 5287936), ('failed', '●', 255), ('timeout', '◐', 49407)) SELECT doc_id, circle, colour FROM document JOIN c USING (status)")
+_LIGHT = "CASE doc_id % 7 WHEN 0 THEN '🟢 ok ' WHEN 1 THEN ' check 🟡 two' WHEN 2 THEN '🔴' WHEN 3 THEN '🔵  next' WHEN 4 THEN '⚪' WHEN 5 THEN '🟣 none' ELSE '' END"
+
+
+@query("scl47_light_colour", f"""
+WITH {D.values_sql("l", "mark, colour, n", tuple((m, c, n) for n, (m, c) in enumerate(D.LIGHTS)))}, x AS (SELECT doc_id, trim({_LIGHT}) AS text FROM document), h AS (SELECT x.doc_id, min_by(l.mark, l.n) AS mark, min_by(l.colour, l.n) AS colour FROM x JOIN l ON contains(x.text, l.mark) GROUP BY x.doc_id)
+SELECT x.doc_id, CASE WHEN h.mark IS NULL THEN x.text ELSE rtrim('● ' || ltrim(substr(x.text, instr(x.text, h.mark) + 1))) END AS shown, h.colour FROM x LEFT JOIN h USING (doc_id)""")
 def light_colour(t: Tables) -> DataFrame:
-    c = t.spark.createDataFrame([("success", "●", 5287936), ("failed", "●", 255), ("timeout", "◐", 49407)], "status string, circle string, colour int")
-    return t.document.join(F.broadcast(c), "status").select("doc_id", "circle", "colour")
+    """The first known light of a text becomes a circle before what follows it, with the light's colour; other texts stay."""
+    text = F.trim(F.expr(_LIGHT))
+    after = lambda m: F.rtrim(F.concat(F.lit("● "), F.ltrim(F.substr(text, F.instr(text, m) + 1))))
+    shown = F.coalesce(*(F.when(F.contains(text, F.lit(m)), after(m)) for m, _ in D.LIGHTS), text)
+    colour = F.coalesce(*(F.when(F.contains(text, F.lit(m)), F.lit(c)) for m, c in D.LIGHTS), F.lit(None).cast("int"))
+    return t.document.select("doc_id", shown.alias("shown"), colour.alias("colour"))
 
 
 @query("scl48_file_number", "SELECT doc_id, coalesce(lpad(nullif(regexp_extract(file_name, '^([0-9]{1,3})_', 1), ''), 3, '0'), '999') AS number FROM document")
@@ -543,12 +667,14 @@ def parentheses(t: Tables) -> DataFrame:
     return t.master.select("ord", F.concat(broken, F.repeat(F.lit(")"), F.greatest(opens - closes, F.lit(0))), tail).alias("repaired"))
 
 
-@query("scl50_timeouts", "SELECT doc_id, CASE WHEN doc_id % 7 > 3 THEN doc_id % 7 ELSE CASE doc_type WHEN 'text' THEN 180 WHEN 'mixed' THEN 240 ELSE 360 END END AS seconds FROM document")
+@query("scl50_timeouts", f"""
+WITH {D.values_sql("d", "doc_type, seconds", tuple((k, int(v)) for k, v in D.TIMEOUTS))}, u AS (SELECT g.doc_id, env, CAST(d.seconds AS DOUBLE) AS usual, old_env FROM goods g JOIN d USING (doc_type)),
+f AS (SELECT *, CASE WHEN TRY_CAST(old_env AS DOUBLE) > 0 THEN TRY_CAST(old_env AS DOUBLE) ELSE usual END AS fallback FROM u) SELECT doc_id, CASE WHEN TRY_CAST(env AS DOUBLE) > 0 THEN TRY_CAST(env AS DOUBLE) ELSE fallback END AS seconds FROM f""")
 def timeouts(t: Tables) -> DataFrame:
-    """A configured value if positive, else the older setting, else the default of the type."""
-    own, older = F.when(F.col("doc_id") % 7 > 3, F.col("doc_id") % 7), F.when(F.col("doc_id") % 7 < 0, F.lit(0))
-    usual = F.when(F.col("doc_type") == "text", 180).when(F.col("doc_type") == "mixed", 240).otherwise(360).cast("long")
-    return t.document.select("doc_id", F.coalesce(F.when(own > 0, own), F.when(older > 0, older).cast("long"), usual).alias("seconds"))
+    """The type's own setting, else the older common one, else the type's default; a setting that is no positive number does not count."""
+    usual = F.coalesce(*(F.when(F.col("doc_type") == k, F.lit(v)) for k, v in D.TIMEOUTS), F.lit(dict(D.TIMEOUTS)["text"]))
+    positive = lambda c: F.when(F.col(c).try_cast("double") > 0, F.col(c).try_cast("double"))
+    return t.goods.select("doc_id", F.coalesce(positive("env"), positive("old_env"), usual).alias("seconds"))
 
 
 @query("scl51_text_helpers", r"SELECT ord, trim(regexp_replace(name, '\s+', ' ', 'g')) AS normal, length(regexp_replace(name, '[0-9a-zA-Z가-힣 ()]', '', 'g')) * 2 > length(name) AS garbage FROM master")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..catalog import Tables, query
+from ..sources import domain as D
 from ..functions import content as N
 
 
@@ -249,11 +250,11 @@ def profile_sort(t: Tables) -> DataFrame:
     return t.master.select("ord", "cas", F.row_number().over(w).cast("long").alias("position"))
 
 
-@query("srt04_method_priority", "WITH p(method, rank) AS (VALUES ('M3', 0), ('M1', 1), ('M7', 2), ('M5', 3)) SELECT m.ord, coalesce(p.rank, 9999) AS rank FROM master m LEFT JOIN p USING (method)")
+@query("srt04_method_priority", f"WITH {D.values_sql('p', 'method, rank', tuple((m, n) for n, m in enumerate(D.METHODS)))} SELECT m.ord, coalesce(p.rank, 9999) AS rank FROM roster m LEFT JOIN p USING (method)")
 def method_priority(t: Tables) -> DataFrame:
     """A priority table; what it lacks goes last."""
-    p = t.spark.createDataFrame([("M3", 0), ("M1", 1), ("M7", 2), ("M5", 3)], "method string, rank int")
-    return t.master.join(F.broadcast(p), "method", "left").select("ord", F.coalesce("rank", F.lit(9999)).alias("rank"))
+    p = D.table(t.spark, "method string, rank int", tuple((m, n) for n, m in enumerate(D.METHODS)))
+    return t.roster.join(F.broadcast(p), "method", "left").select("ord", F.coalesce("rank", F.lit(D.UNKNOWN_METHOD)).alias("rank"))
 
 
 @query("srt05_substance_order", "WITH f AS (SELECT cas, min(ord) AS ord FROM master GROUP BY cas) SELECT c.doc_id, c.seq, coalesce(f.ord, 999999) AS rank FROM component c LEFT JOIN f USING (cas)")

@@ -92,6 +92,13 @@ CARRIERS: dict[str, tuple[str, dict[str, str]]] = {
         "flags": domain.choose_sql("l_suppkey + l_linenumber", (
             "작업환경측정대상물질, 특수건강진단대상물질", "관리대상유해물질; 특별관리물질", "허가대상물질", "금지물질, 유독물질", "광물성분진 제한물질", "관찰물질 / 사고대비물질", "해당없음", "")),
     }),
+    "roster": ("nation", {
+        "ord": "CAST(n_nationkey AS BIGINT)",
+        "cas": domain.choose_sql("n_nationkey", tuple(c for c, _ in domain.SUBSTANCES)),
+        "name": domain.choose_sql("n_nationkey", tuple(n for _, n in domain.SUBSTANCES)),
+        "sort_code": "CASE WHEN n_nationkey = 22 THEN '2D-10-010' ELSE concat('1A-10-', lpad(CAST(n_nationkey AS STRING), 3, '0')) END",
+        "method": domain.choose_sql("n_nationkey * 5 + n_regionkey", (*domain.METHODS, "GC법", "")),
+    }),
     "goods": ("orders", {
         "doc_id": "o_orderkey",
         "product": domain.choose_sql("o_orderkey", (

@@ -58,6 +58,32 @@ CORE_SUFFIXES = (
 # Namespaces of name-based ids.
 PROFILE_NAMESPACE, RELATION_NAMESPACE, RULE_NAMESPACE = "9152144b-77e0-4f20-a00e-1550452e8fde", "60ef6a46-2d55-44da-8374-d5e752594116", "78cbfc6e-8509-4720-9702-438a56861dca"
 
+# Numbers of a chain, the reason that each gives for a correction, and words of a completed one.
+REASONS = (
+    ("1317-65-3", "Limestone ➔ 고시 제15항에 의거 '기타광물성분진' 표준명 세척"),
+    ("471-34-1", "탄산칼슘 ➔ '기타광물성분진' 명칭 단일 진실 공급원 통합"),
+    ("1317-80-2", "금홍석 ➔ '기타광물성분진; 이산화티타늄' 다중 유해인자 동시 전개"),
+    ("14807-96-6", "활석 분지 ➔ 수동 성상 선택 우선 적용권 보장"),
+    ("7429-90-5", "알루미늄 ➔ 공정 토큰 스캔 기반 성상 표준 접미사 정형화"),
+    ("7440-22-4", "은 분지 ➔ 독성학적 강도별 노출기준 교차 대사 검증"),
+)
+DONE_WORDS, DONE_MARK, OPEN_MARK = ("기타광물성분진", "소우프스톤", "알루미늄", "활석(석면불포함)"), "✔ [교정 완료] ", "• "
+# Tokens of conditions.
+ASBESTOS, ASBESTOS_OPEN, ASBESTOS_STATUS, ASBESTOS_CONTEXT = "석면", ("불명", "unknown", "포함"), ("included", "unknown", "포함", "불명"), ("석면 포함", "석면불명", "unknown")
+HEAT = ("용접", "welding", "고열", "열절단", "산화")
+# Keys and texts that may not leave.
+EXPORT_KEYS = r"authorization|api[_-]?key|token|secret|password|private[_-]?key|raw_response|raw_text|prompt|payload|trace_context|file_path"
+SENSITIVE_KEYS = r"api[._-]?key|token|secret|password|authorization|private[._-]?key"
+SECRET_TEXTS = (
+    r"-----BEGIN [^-]+PRIVATE KEY-----", r"\b(Bearer|Basic|Token)\s+[A-Za-z0-9._~+/=-]+", r"\bC:\\Users\\[^\\\s]+\\",
+    r"(api[_-]?key|authorization|private[_-]?key)\s*[:=]\s*[^\s,]+",
+)
+FORBIDDEN_FILES, SHARE_BYTES = ("config.json", "smu_cache.json", "msds_cache_registry.json"), 50 * 1024 * 1024
+# Lights and their colours.
+LIGHTS = (("🟢", 0x50B000), ("🟡", 0x00C0FF), ("🔴", 0x0000FF), ("🔵", 0xFF7000), ("⚪", 0xA6A6A6))
+# Seconds by type of document.
+TIMEOUTS = (("text", 180.0), ("mixed", 240.0), ("image", 360.0))
+
 #: Numbers and names from which the carrier of real substances draws.
 SUBSTANCES = (
     ("7439-89-6", "철"), ("7439-96-5", "망간 및 그 무기화합물"), ("13463-67-7", "이산화티타늄 (Titanium dioxide)"), ("1309-37-1", "산화철(분진, 흄)"), ("1317-65-3", "석회석 (Limestone)"),

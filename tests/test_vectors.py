@@ -1,5 +1,7 @@
 """Fixed vectors of the concentration grammar, registry numbers, product names and ids."""
 
+import hashlib
+import unicodedata
 import uuid
 
 import duckdb
@@ -9,9 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from assayloom.functions import cas, content
+from assayloom.functions import amounts, cas, content
+from assayloom.functions import text as forms
 from assayloom.operators import scalars, windows
 from assayloom.operators.aggregates import gate_lock
+from assayloom.sources import domain
 
 CONTENT = """15~<20%|15~20%
 1~<5|1~5%
@@ -91,9 +95,54 @@ def test_legacy_bounds(spark):
 
 
 def test_uuid5(spark):
-    names = ["abc", "한글", ""]
-    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(scalars.uuid5(F.col("n"))).collect()]
-    assert got == [uuid.uuid5(uuid.UUID(scalars.NAMESPACE), n).hex.upper() for n in names]
+    names = ["", "a", "탄산|x", "SP_1|SP_2|SAME|1"]
+    for space in (domain.PROFILE_NAMESPACE, domain.RELATION_NAMESPACE, domain.RULE_NAMESPACE):
+        got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(scalars.uuid5(F.col("n"), space)).collect()]
+        assert got == [uuid.uuid5(uuid.UUID(space), n).hex.upper() for n in names]
+
+
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*columns).first())
+
+
+def test_ids_and_names_in_plain_python(spark):
+    got = one(spark, scalars.file_trace_id(F.lit("run-1"), F.lit("h")), scalars.safe_export_name(F.lit("a<b>: 제품 sheet.pdf"), F.lit("ab-12 cd345678")), scalars.safe_export_name(F.lit("x" * 200), F.lit("")), scalars.safe_export_name(F.lit(".pdf"), F.lit("--")))
+    assert got == (hashlib.sha256(b"run-1\0h").hexdigest()[:24], "a_b__제품_sheet__ab12cd34", "x" * 71 + "__unknown", "diagnostic__unknown")
+
+
+def test_redaction_by_key_and_text():
+    long = "Ab3+" * 30
+    value = {"API-key": {"a": 1}, "x": [{"token": 5, "note": "Basic abc, d"}, f"<{long}>", 3, None], "pem": "-----BEGIN X-----\nq\n-----END X----- z"}
+    assert scalars.redact_value(value) == {"API-key": "[REDACTED]", "x": [{"token": "[REDACTED]", "note": "Basic [REDACTED], d"}, "<[REDACTED BASE64]>", 3, None], "pem": "[REDACTED SERVICE ACCOUNT KEY] z"}
+
+
+AMOUNTS = [
+    ("10~20%", "10~20%", "10~20%", "10~20%"), ("20 - 10 %", "10~20%", "10~20%", "20 - 10 %"), (">= 35 - < 40 %", "35~<40%", "35~<40%", ">= 35 - < 40 %"),
+    ("1-0%, 5 ~ 1", "0~1%, 1~5", "0~1%", "1-0%, 5 ~ 1"), ("5 이상 ~ 10 % 미만", "5~<10%", "5~<10%", "5 이상 ~ 10 % 미만"), ("2,50% 이하", "2,50% 이하", "≤2.50%", "≤50%"),
+    ("3.0 % 미맊", "3.0 % 미만", "<3%", "3%"), ("7% 초과", "7% 초과", ">7%", ">7%"), ("150 %", "150 %", "150%", "미기재%"), ("balance", "balance", "balance%", "balance"),
+    ("≧ 5.50%", "≧ 5.50%", "5.5%", "≥5.5%"), ("15~1 and 5~1", "1~15and 1~5", "1~15%", "15~1 and 5~1"),
+]
+
+
+def test_older_amount_rules(spark):
+    df = spark.createDataFrame([(a,) for a, *_ in AMOUNTS], "s string").coalesce(1)
+    for i, (steps, out) in enumerate(((amounts.clean_steps, "clean"), (amounts.percentage_steps, "percentage"), (amounts.single_steps, "single")), 1):
+        got = {r.s: r[out] for r in amounts.apply(df, steps("s", amounts.Spark()), out).collect()}
+        assert got == {x[0]: x[i] for x in AMOUNTS}
+
+
+def test_compatibility_forms(spark):
+    texts = ["Ｗｅｌｄ　１２％", "①²½", "㎎/㎥", "plain", "가각", "ﬁx", "～＜５＞"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(forms.fold(F.col("t"))).collect()]
+    assert got == [unicodedata.normalize("NFKC", t) if t not in ("①²½", "ﬁx") else t.replace("①", "1").replace("²", "2") for t in texts]
+
+
+def test_pure_and_core_names(spark):
+    pure = [("측정 비대상 [특별] [아세톤](5%)", "아세톤"), ("보관[허가]벤젠 (1~2%)", "벤젠"), ("크롬(III) 및 그 화합물", "크롬 및 그 화합물")]
+    core = [("바륨 및 그 가용성 화합물", "바륨"), ("활석(석면불포함)", "활석"), ("망간 및 그 무기화합물", "망간 및 그"), ("글리콜에테르 계열", "글리콜에테르")]
+    for vectors, rule in ((pure, scalars.pure_substance), (core, scalars.core_name)):
+        got = [r[0] for r in spark.createDataFrame([(x,) for x, _ in vectors], "x string").coalesce(1).select(rule(F.col("x"))).collect()]
+        assert got == [y for _, y in vectors]
 
 
 def test_column_letters(spark):
