@@ -125,12 +125,24 @@ def steps(source: str, d: Spark) -> list[tuple[str, str]]:
     ]
 
 
+def plain_form(text: Column) -> Column:
+    """The normal form of the common shapes (nothing, a whole number with or without a sign, a rising range of whole numbers); null for others."""
+    one, two = r"^\s*([<>≤≥]?)\s*([0-9]{1,3})\s*%?\s*$", r"^\s*([0-9]{1,3})\s*[-~]\s*([0-9]{1,3})\s*%?\s*$"
+    number = lambda p, i: F.regexp_extract(text, p, i).try_cast("int")
+    return (
+        F.when(text.isNull() | (text == "") | (text == MISSING), MISSING)
+        .when(text.rlike(one) & (number(one, 2) <= LIMIT), F.concat(F.regexp_extract(text, one, 1), number(one, 2).cast("string"), F.lit("%")))
+        .when((number(two, 1) < number(two, 2)) & (number(two, 2) <= LIMIT), F.concat(number(two, 1).cast("string"), F.lit("~"), number(two, 2).cast("string"), F.lit("%")))
+    )
+
+
 def normalise(df: DataFrame, source: str, out: str = "content_norm") -> DataFrame:
-    """df with the normal form of column source as out."""
+    """df with the normal form of column source as out. The common shapes are told first; the steps then see an empty text in their place."""
     before = df.columns
-    for name, expression in steps(source, Spark()):
+    df = df.withColumn("_plain_form", plain_form(F.col(source))).withColumn("_odd", F.when(F.col("_plain_form").isNull(), F.col(source)).otherwise(""))
+    for name, expression in steps("_odd", Spark()):
         df = df.withColumn(name, F.expr(expression))
-    return df.select(*before, F.col("_out").alias(out))
+    return df.select(*before, F.coalesce("_plain_form", "_out").alias(out))
 
 
 def normalise_distinct(df: DataFrame, source: str, out: str = "content_norm") -> DataFrame:

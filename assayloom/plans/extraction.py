@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from ..functions import cas as C
 from ..functions import content as N
 from ..operators.aggregates import gate_lock
 from ..operators.predicates import _CHECK, table_row_kept
-from ..operators.windows import _CELLS, cells, visual_lines
+from ..operators.windows import _CELLS, cells
+from . import recovery as RC
+from .recovery import recover_rows
 
 #: A document's pages as text, in both dialects: one page for each order and page of its components.
 _PAGES = "page_text AS (SELECT doc_id, page, CASE page WHEN 1 THEN '1. product ' WHEN 2 THEN '3. 구성성분 ' ELSE '4. first aid ' END || string_agg(cas || ' ' || content, chr(10) ORDER BY seq) AS text FROM component GROUP BY doc_id, page)"
@@ -96,40 +99,61 @@ def density_boxes(t: Tables) -> DataFrame:
     return cells(t.word).groupBy("doc_id", "page", "line", "cell").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max(F.col("x0") + F.col("width")).alias("x1"), F.max(F.col("y0") + F.col("height")).alias("y1"))
 
 
-#: Fixed values of the score: marks of a range or comparison, and of lines that state no amount.
-RANGE_MARKS = "[~∼～<>≤≥-]|미만|이하|이상|초과|above|below|less|more"
-NO_AMOUNT = r"g/mol|ppm|mg/m3|밀도|density|twa|lel|oel"
-NOT_CONTENT = r"ec 번호|ec번호|ec-no|ec number|einecs|elincs|분류|category|분자량|molecular weight|section"
+def any_of(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether text holds one of words: one expression, which is compiled."""
+    return text.rlike("|".join(map(re.escape, words)))
 
 
-def match_score(text: Column, around: Column, wide: Column, percent_header: Column, distance: Column) -> Column:
-    """The score of one amount in a row: what is returned at once first, then what is added up."""
-    percent = F.contains(text, F.lit("%"))
-    marked = text.rlike(RANGE_MARKS)
-    low, far = F.lower(around), F.lower(wide)
-    value = F.regexp_extract(text, r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double")
+def match_score(row: Column, amount: Column, at: Column, percent_header: Column, fall: Column) -> Column:
+    """The score of an amount that begins at position at (from 1) of a row with one anchor, as recovery.score gives it. fall: null where heights do not count."""
+    cut = lambda n: F.lower(F.substr(row, F.greatest(at - n, F.lit(1)), F.length(amount) + n + F.least(at - 1, F.lit(n))))
+    near, wide, percent = cut(RC.NEAR), cut(RC.WIDE), F.contains(amount, F.lit("%"))
+    heading = F.length(F.regexp_extract(row, "(?i)" + RC.ROW_HEADING.pattern, 0))
+    marked = any_of(amount, RC.SIGNS)
+    inner = F.regexp_replace(amount, r"^[ \-∼~<>–—≤≥=]+|[ \-∼~<>–—≤≥=]+$", "")
+    figures = F.transform(F.regexp_extract_all(amount, F.lit(r"[0-9]+\.?[0-9]*"), 0), lambda x: x.cast("double"))
+    large = F.exists(figures, lambda f: f > N.LIMIT)
+    first_large = F.coalesce(F.array_position(F.transform(figures, lambda f: f > N.LIMIT), True), F.lit(0))
+    years = F.size(F.filter(F.when(large, F.slice(figures, F.lit(1), F.greatest(first_large - 1, F.lit(0)).cast("int"))).otherwise(figures), lambda f: f.between(1990, 2030)))
+    when = lambda c, n: F.when(c, n).otherwise(0)
     points = (
-        F.when(far.rlike("rev|개정|version|제개정"), -8000).otherwise(0) + F.when(low.rlike(r"\*|contains|note|비고"), -12000).otherwise(0)
-        + F.when(percent, 500).when(percent_header, 400).otherwise(0) + F.when(marked, 300).otherwise(0) + F.when(F.contains(text, F.lit(".")), 100).otherwise(0)
-        + F.when((value == 100) & ~marked, 20000).otherwise(0) + F.when(F.contains(far, F.lit("concentration")), 15000).otherwise(0)
-        - F.when(distance > 12, 2 * distance).otherwise(0) + F.when(value > N.LIMIT, -5000).when(value.between(1990, 2030), -2000).otherwise(0)
+        when(any_of(wide, RC.REVISIONS), RC.REVISED) + when(any_of(near, RC.REMARKS), RC.REMARKED) + F.when(percent, RC.PERCENT).when(percent_header, RC.HEADED).otherwise(0) + when(marked, RC.SIGNED)
+        + when(F.contains(amount, F.lit(".")), RC.DECIMAL) + when(F.contains(cut(RC.WIDER), F.lit("concentration")), RC.CONCENTRATION) + when((F.regexp_replace(amount, "[^0-9.]", "") == "100") & ~marked, RC.WHOLE)
+        - when((fall > RC.LEVEL) & ~F.contains(wide, F.lit("concentration")), 2 * fall) + when(large, RC.TOO_LARGE) + years * RC.YEAR
     )
-    return (
-        F.when(low.rlike(r"%\s*:"), -5000).when(low.rlike(NO_AMOUNT), -5000).when(~percent & ~percent_header & ~marked, -5000)
-        .when(~percent & far.rlike(NOT_CONTENT), -5000).when(~percent & far.rlike("쪽|page|페이지"), -5000).when(distance > 220, -8000).otherwise(points)
-    )
-
-
-@query("sco01_match_score", r"""
-WITH x AS (SELECT doc_id, seq, content AS m, content || CASE seq % 4 WHEN 0 THEN ' note' WHEN 1 THEN ' ppm' ELSE '' END AS near, content || CASE seq % 5 WHEN 0 THEN ' Rev 2' WHEN 1 THEN ' concentration' ELSE '' END AS wide, page = 1 AS head, quantity * 5 AS d, TRY_CAST(regexp_extract(content, '[0-9]+(?:\.[0-9]+)?', 0) AS DOUBLE) AS v FROM component),
-y AS (SELECT *, contains(m, '%') AS pc, regexp_matches(m, '[~∼～<>≤≥-]|미만|이하|이상|초과|above|below|less|more') AS mk FROM x)
-SELECT doc_id, seq, CAST(CASE WHEN regexp_matches(lower(near), '%\s*:') THEN -5000 WHEN regexp_matches(lower(near), 'g/mol|ppm|mg/m3|밀도|density|twa|lel|oel') THEN -5000 WHEN NOT pc AND NOT head AND NOT mk THEN -5000
- WHEN d > 220 THEN -8000 ELSE CASE WHEN regexp_matches(lower(wide), 'rev|개정|version') THEN -8000 ELSE 0 END + CASE WHEN regexp_matches(lower(near), '\*|contains|note|비고') THEN -12000 ELSE 0 END + CASE WHEN pc THEN 500 WHEN head THEN 400 ELSE 0 END + CASE WHEN mk THEN 300 ELSE 0 END
- + CASE WHEN contains(m, '.') THEN 100 ELSE 0 END + CASE WHEN v = 100 AND NOT mk THEN 20000 ELSE 0 END + CASE WHEN contains(lower(wide), 'concentration') THEN 15000 ELSE 0 END - CASE WHEN d > 12 THEN 2 * d ELSE 0 END + CASE WHEN v > 110 THEN -5000 WHEN v BETWEEN 1990 AND 2030 THEN -2000 ELSE 0 END END AS BIGINT) AS score FROM y""")
+    out = F.substr(row, at, F.length(amount) + 5).rlike(r"%\s*:") | any_of(near, RC.UNITS) | (
+        ~percent & ((at <= heading) | (~percent_header & ~any_of(F.lower(amount), RC.SPOKEN_SIGNS)) | any_of(wide, RC.NO_CONTENT) | any_of(wide, RC.PAGE_WORDS))
+    ) | (F.length(inner) - F.length(F.replace(inner, F.lit("-"), F.lit(""))) >= 2)
+    return F.when(out, RC.OUT).when(F.abs(F.instr(row, RC.ANCHOR) - at) > RC.REACH, RC.FAR).otherwise(points)
+
+
+#: A row around each content, in one of many surroundings.
+_AMOUNT = "CASE WHEN content IN ('', 'Rem.', '미기재%') THEN CASE seq % 3 WHEN 0 THEN '100%' WHEN 1 THEN '2004-11-3' ELSE '200.5 %' END ELSE content END"
+_LEAD = "CASE seq % 7 WHEN 0 THEN '3. 구성성분 ' WHEN 1 THEN 'Rev. 2 Solvent ' WHEN 2 THEN concat('x ', repeat('long ', 50)) WHEN 3 THEN 'concentration of solvent ' WHEN 4 THEN 'EC 번호 9 ' ELSE 'Solvent ' END"
+_TAIL = "CASE quantity % 6 WHEN 0 THEN ' note' WHEN 1 THEN ' ppm' WHEN 2 THEN ' 쪽 3' WHEN 3 THEN ' : x' ELSE ' end' END"
+_HAS = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+@query("sco01_match_score", rf"""
+WITH x AS (SELECT doc_id, seq, {_AMOUNT} AS m, '[CAS_ANCHOR] ' || {_LEAD} AS lead, {_TAIL} AS tail, page = 1 AS head, CASE WHEN quantity % 4 = 0 THEN NULL ELSE quantity END AS fall FROM component),
+y AS (SELECT *, CASE WHEN starts_with(lead, '[CAS_ANCHOR] 3.') THEN substr(lead, 14) || '[CAS_ANCHOR] ' ELSE lead END || m || tail AS txt, length(lead) + 1 AS pos FROM x),
+z AS (SELECT *, lower(txt[greatest(pos - 10, 1):pos + length(m) + 9]) AS near, lower(txt[greatest(pos - 30, 1):pos + length(m) + 29]) AS wide, lower(txt[greatest(pos - 60, 1):pos + length(m) + 59]) AS wider, contains(m, '%') AS pc,
+    length(regexp_extract(txt, '(?i)^\s*(?:SECTION\s*|항\s*)?\d+\s*[\.\s:：항\-\/]*(?:구성\s*성분|성분|COMPOSITION|INGREDIENTS?)', 0)) AS heading, {_HAS("m", RC.SIGNS)} AS marked, trim(m, ' -∼~<>–—≤≥=') AS bare,
+    list_transform(regexp_extract_all(m, '[0-9]+\.?[0-9]*', 0), lambda f: CAST(f AS DOUBLE)) AS figures FROM y),
+w AS (SELECT *, coalesce(list_position(list_transform(figures, lambda f: f > 110), true), 0) AS big FROM z)
+SELECT doc_id, seq, CAST(CASE WHEN regexp_matches(txt[pos:pos + length(m) + 4], '%\s*:') OR {_HAS("near", RC.UNITS)} THEN -5000
+    WHEN NOT pc AND (pos <= heading OR (NOT head AND NOT {_HAS("lower(m)", RC.SPOKEN_SIGNS)}) OR {_HAS("wide", RC.NO_CONTENT)} OR {_HAS("wide", RC.PAGE_WORDS)}) THEN -5000
+    WHEN length(bare) - length(replace(bare, '-', '')) >= 2 THEN -5000 WHEN abs(instr(txt, '[CAS_ANCHOR]') - pos) > 220 THEN -8000
+    ELSE CASE WHEN {_HAS("wide", RC.REVISIONS)} THEN -8000 ELSE 0 END + CASE WHEN {_HAS("near", RC.REMARKS)} THEN -12000 ELSE 0 END + CASE WHEN pc THEN 500 WHEN head THEN 400 ELSE 0 END + CASE WHEN marked THEN 300 ELSE 0 END
+    + CASE WHEN contains(m, '.') THEN 100 ELSE 0 END + CASE WHEN contains(wider, 'concentration') THEN 15000 ELSE 0 END + CASE WHEN regexp_replace(m, '[^0-9.]', '', 'g') = '100' AND NOT marked THEN 20000 ELSE 0 END
+    - CASE WHEN fall > 12 AND NOT contains(wide, 'concentration') THEN 2 * fall ELSE 0 END + CASE WHEN big > 0 THEN -5000 ELSE 0 END
+    - 2000 * len(list_filter(CASE WHEN big > 0 THEN figures[1:big - 1] ELSE figures END, lambda f: f BETWEEN 1990 AND 2030)) END AS BIGINT) AS score FROM w""")
 def match_scores(t: Tables) -> DataFrame:
-    near = F.concat("content", F.when(F.col("seq") % 4 == 0, " note").when(F.col("seq") % 4 == 1, " ppm").otherwise(""))
-    wide = F.concat("content", F.when(F.col("seq") % 5 == 0, " Rev 2").when(F.col("seq") % 5 == 1, " concentration").otherwise(""))
-    return t.component.select("doc_id", "seq", match_score(F.col("content"), near, wide, F.col("page") == 1, F.col("quantity") * 5).cast("long").alias("score"))
+    lead, m = F.concat(F.lit("[CAS_ANCHOR] "), F.expr(_LEAD)), F.expr(_AMOUNT)
+    turned = F.when(F.startswith(lead, F.lit("[CAS_ANCHOR] 3.")), F.concat(F.substr(lead, F.lit(14)), F.lit("[CAS_ANCHOR] "))).otherwise(lead)
+    fall = F.when(F.col("quantity") % 4 != 0, F.col("quantity"))
+    rows = t.component.select("doc_id", "seq", F.concat(turned, m, F.expr(_TAIL)).alias("row"), m.alias("m"), (F.length(lead) + 1).alias("at"), (F.col("page") == 1).alias("head"), fall.alias("fall"))
+    return rows.select("doc_id", "seq", match_score(*(F.col(c) for c in ("row", "m", "at", "head", "fall"))).cast("long").alias("score"))
 
 
 @query("sco02_recon_confidence", "WITH s AS (SELECT doc_id, page, 35 * max((text = 'w3')::INT) + 15 * max((text = 'w11')::INT) + 25 * max((text = 'w9')::INT) + 15 * max((text = 'w20')::INT) + 10 * max((text = 'w4')::INT) AS score, bool_or(text = 'w3') AS heading FROM word GROUP BY ALL) SELECT doc_id, page, CAST(score AS INTEGER) AS score, heading AND score >= 60 AS accepted FROM s")
@@ -139,31 +163,28 @@ def recon_confidence(t: Tables) -> DataFrame:
     return t.word.groupBy("doc_id", "page").agg(score.alias("score"), (F.bool_or(F.col("text") == "w3") & (score >= 60)).alias("accepted"))
 
 
-def recover_rows(words: DataFrame) -> DataFrame:
-    """Components of pages given as words: lines, logical rows around numbers, and of each row the best-scored amount.
+#: Pages as sheets print them: a heading, a row for each component, the next heading; rows with an amount, one that a note spoils, one in words, none.
+_SHAPE = "(seq + quantity) % 5"
 
-    words: doc_id, page, x0, y0, width, height, id, text.
-    """
-    lines = visual_lines(words).groupBy("doc_id", "page", "line").agg(
-        F.min("y0").alias("y"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "id", "text"))), lambda x: x["text"]), " ").alias("text"),
-    )
-    lines = lines.withColumn("cas", F.regexp_extract(C.normalise_in_text(F.col("text")), C.TOKEN, 1))
-    order = W.partitionBy("doc_id", "page").orderBy("y", "line")
-    exits = F.max(F.col("text").rlike(r"^\s*4\s*[.)]").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    opened = lines.withColumns({"row": F.sum((F.col("cas") != "").cast("int")).over(order), "gone": exits, "before": F.col("y") - F.lag("y").over(order)})
-    near = opened.where("row > 0 AND (cas <> '' OR (gone = 0 AND before < 80))")
-    return near.groupBy("doc_id", "page", "row").agg(F.max("cas").alias("cas"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn(
-        "amount", F.trim(F.regexp_replace(F.regexp_replace(F.replace("text", "cas", F.lit(" ")), r"[0-9]{3}-[0-9]{3}-[0-9]|20[0-2][0-9][-./][0-9]{1,2}([-./][0-9]{1,2})?", " "), r"(?i)\b(note|rev)\b.*$", " ")),
-    ).withColumn("amount", F.regexp_extract("amount", r"(?:[<>≤≥]=?\s*)?[0-9]+(?:\.[0-9]+)?\s*(?:[-~]\s*[<>≤≥]?\s*[0-9]+(?:\.[0-9]+)?)?\s*(?:%|미만|이하|이상|초과)+", 0))
+
+def printed_pages(t: Tables) -> DataFrame:
+    """doc_id, page, id, x0, y0, width, height, text of the words of one page a document."""
+    rows = t.component.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("seq"))).withColumn("shape", F.expr(_SHAPE))
+    q = F.col("quantity").cast("string")
+    tail = F.when(F.col("shape") == 0, F.array(F.concat(q, F.lit("%")))).when(F.col("shape") == 1, F.array(F.concat(q, F.lit("%")), F.lit("Note"))).when(F.col("shape") == 2, F.array(q, F.lit("미만"))).when(
+        F.col("shape") == 3, F.array(q, F.lit("-"), (F.col("quantity") + 7).cast("string"))).otherwise(F.array().cast("array<string>"))
+    lines = rows.select("doc_id", (40 + 100 * F.col("nth")).alias("y0"), F.concat(F.array(F.lit("Solvent"), F.col("cas")), tail).alias("texts"))
+    docs = rows.groupBy("doc_id").agg(F.max("nth").alias("n"))
+    head = docs.select("doc_id", F.lit(100).alias("y0"), F.array(*map(F.lit, ("3.", "구성성분의", "명칭", "및", "함유량"))).alias("texts"))
+    foot = docs.select("doc_id", (140 + 100 * F.col("n")).alias("y0"), F.array(F.lit("4."), F.lit("응급조치요령")).alias("texts"))
+    words = lines.unionByName(head).unionByName(foot).select("doc_id", F.col("y0").cast("long"), F.posexplode("texts").alias("i", "text"))
+    return words.select("doc_id", F.lit(1).alias("page"), (F.col("y0") * 100 + F.col("i")).alias("id"), (20 + 90 * F.col("i")).cast("long").alias("x0"), "y0", F.lit(70).cast("long").alias("width"), F.lit(10).cast("long").alias("height"), "text")
 
 
-@query("ext03_regex_recovery")
+@query("ext03_regex_recovery", f"""
+SELECT doc_id, cas, CASE {_SHAPE} WHEN 0 THEN CAST(quantity AS STRING) || '%' WHEN 2 THEN '<' || CAST(quantity AS STRING) || '%' WHEN 3 THEN CAST(quantity AS STRING) || '~' || CAST(quantity + 7 AS STRING) || '%' ELSE '미기재%' END AS content FROM component""")
 def regex_recovery(t: Tables) -> DataFrame:
-    words = t.component.select(
-        F.col("doc_id"), "page", F.explode(F.array(F.struct(F.lit(20).alias("x0"), F.col("cas").alias("text"), F.lit(0).alias("i")), F.struct(F.lit(160).alias("x0"), F.concat("content", F.lit(" %")).alias("text"), F.lit(1).alias("i")))).alias("w"),
-        (F.col("seq") % 40 * 20).alias("y0"), F.lit(10).alias("height"), F.lit(60).alias("width"), "seq",
-    ).select("doc_id", "page", "y0", "height", "width", "w.x0", "w.text", (F.col("seq") * 2 + F.col("w.i")).alias("id"))
-    return N.normalise(recover_rows(words), "amount", "content").select("doc_id", "page", "row", "cas", "content")
+    return recover_rows(printed_pages(t)).select("doc_id", "cas", "content")
 
 
 @query("ext04_table_rows", """

@@ -101,6 +101,18 @@ def test_uuid5(spark):
         assert got == [uuid.uuid5(uuid.UUID(space), n).hex.upper() for n in names]
 
 
+def test_plain_forms_are_what_the_steps_give(spark):
+    texts = [f"{lead}{sign}{a}{mid}" for lead in ("", " ") for sign in ("", "<", "> ", "≤", "≥ ") for a in (0, 1, 5, 99, 100, 110, 111, 999) for mid in ("", "%", " % ")]
+    texts += [f"{a}{mid}{b}{tail}" for a in (0, 1, 5, 12, 110) for b in (1, 5, 12, 100, 110, 111) for mid in ("-", " ~ ") for tail in ("", " %")] + ["", "미기재%", "005", "05 - 010"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1)
+    steps = df
+    for name, expression in content.steps("s", content.Spark()):
+        steps = steps.withColumn(name, F.expr(expression))
+    want, got = {r.s: r._out for r in steps.select("s", "_out").collect()}, {r.s: r.f for r in df.select("s", content.plain_form(F.col("s")).alias("f")).collect()}
+    assert {s: f for s, f in got.items() if f is not None} == {s: want[s] for s, f in got.items() if f is not None}
+    assert sum(f is not None for f in got.values()) > 150
+
+
 def one(spark, *columns):
     return tuple(spark.range(1).select(*columns).first())
 
