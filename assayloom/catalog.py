@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from .operators import aggregates, dataset, joins, predicates, runlog, scalars, windows  # noqa: F401
+    from .operators import aggregates, dataset, joins, predicates, runlog, scalars, validator, windows  # noqa: F401
     from .plans import cleaning, extraction, validation  # noqa: F401
     from .sources import readers  # noqa: F401
     from .streaming import journal  # noqa: F401

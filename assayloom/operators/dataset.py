@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Tables, query
@@ -54,10 +52,10 @@ def build_profiles(t: Tables) -> DataFrame:
     )
 
 
-@query("etl02_supplements", "SELECT DISTINCT cas FROM component c WHERE page = 1 AND quantity > 48 AND NOT EXISTS (SELECT 1 FROM master m WHERE m.cas = c.cas)")
+@query("etl02_supplements", "SELECT DISTINCT cas FROM component c WHERE NOT EXISTS (SELECT 1 FROM master m WHERE m.cas = c.cas)")
 def supplements(t: Tables) -> DataFrame:
-    """Sources that no profile resolves become profiles of their own, each once."""
-    return t.component.where("page = 1 AND quantity > 48").select("cas").distinct().join(t.master.select("cas"), "cas", "left_anti")
+    """Sources that no profile resolves become profiles of their own; one that is added resolves the next of its number, so each comes once."""
+    return t.component.select("cas").distinct().join(t.master.select("cas"), "cas", "left_anti")
 
 
 @query("etl03_same_cas_relations", """
@@ -80,72 +78,27 @@ def cross_relations(t: Tables) -> DataFrame:
     return rules(t).join(p, "target", "left").select("rule_id", "source", "target", (F.col("decision") != "제외").alias("has_rule"), (F.col("active") & known).alias("active"), (~known).alias("unresolved"))
 
 
-@query("etl05_loader_warnings", """
-WITH r AS (SELECT ord, CASE WHEN ord % 10 = 0 THEN '?' ELSE decision END AS decision, CASE WHEN ord % 14 = 0 THEN 'x' ELSE cas END AS cas, ord % 25 = 0 AS self, mark FROM master)
-SELECT ord, 'UNKNOWN_ITEM_DECISION' AS code FROM r WHERE decision = '?' UNION ALL SELECT ord, 'NONSTANDARD_CAS' FROM r WHERE cas = 'x' UNION ALL SELECT ord, 'SELF_RELATION' FROM r WHERE self UNION ALL SELECT ord, 'BLANK_RUNTIME_POLICY' FROM r WHERE mark = ''""")
+#: Decisions that a review sheet may hold.
+ITEM_DECISIONS, FINAL_DECISIONS = ("승인", "수정", "보류", "제외", "추가검토"), ("승인", "수정", "보류", "제외")
+_ITEM, _FINAL = "CASE WHEN ord % 10 = 0 THEN '?' WHEN ord % 11 = 0 THEN '' ELSE decision END", "CASE WHEN ord % 13 = 0 THEN '미정' WHEN decision = '추가검토' THEN '보류' ELSE decision END"
+_SHEET_CAS = "CASE WHEN ord % 14 = 0 THEN 'x' WHEN ord % 15 = 0 THEN '' WHEN ord % 16 = 0 THEN concat(cas, ' 등') ELSE cas END"
+_YES = "CASE mark WHEN 'Y' THEN true WHEN 'N' THEN false END"
+
+
+@query("etl05_loader_warnings", f"""
+WITH r AS (SELECT ord, {_ITEM} AS item, {_FINAL} AS final, {_SHEET_CAS} AS cas, mark, {_YES} AS policy, ord % 25 = 0 AS self FROM master)
+SELECT ord, 'UNKNOWN_ITEM_DECISION' AS code FROM r WHERE item NOT IN ('승인', '수정', '보류', '제외', '추가검토') UNION ALL SELECT ord, 'UNKNOWN_DEFAULT_RECOMMENDATION' FROM r WHERE mark NOT IN ('Y', 'N', '')
+UNION ALL SELECT ord, 'NONSTANDARD_CAS' FROM r WHERE cas <> '' AND NOT regexp_matches(cas, '^[0-9]{{2,7}}-[0-9]{{2}}-[0-9]$') UNION ALL SELECT ord, 'UNKNOWN_FINAL_DECISION' FROM r WHERE final NOT IN ('승인', '수정', '보류', '제외')
+UNION ALL SELECT ord, 'BLANK_RUNTIME_POLICY' FROM r WHERE final IN ('승인', '수정') AND policy IS NULL UNION ALL SELECT ord, 'SELF_RELATION' FROM r WHERE self""")
 def loader_warnings(t: Tables) -> DataFrame:
-    decision, cas = F.when(F.col("ord") % 10 == 0, "?").otherwise(F.col("decision")), F.when(F.col("ord") % 14 == 0, "x").otherwise(F.col("cas"))
-    known = decision.isin("승인", "수정", "보류", "제외", "추가검토")
-    found = F.array_compact(F.array(F.when(~known, "UNKNOWN_ITEM_DECISION"), F.when(~C.well_formed(cas), "NONSTANDARD_CAS"), F.when(F.col("ord") % 25 == 0, "SELF_RELATION"), F.when(F.col("mark") == "", "BLANK_RUNTIME_POLICY")))
-    return t.master.select("ord", F.explode(found).alias("code"))
-
-
-def issues(profile: DataFrame, relation: DataFrame, rule: DataFrame, expected_profiles: int | None = None) -> DataFrame:
-    """severity, code, entity, entity_id: filters, anti joins and groups over the three tables, in one union."""
-
-    def made(df: DataFrame, when: Column | str, code: str, entity: str, key: str, severity: str = "ERROR") -> DataFrame:
-        return df.where(when).select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(entity).alias("entity"), F.col(key).cast("long").alias("entity_id"))
-
-    state = profile.groupBy("ord").agg(F.bool_or("active").alias("end_active"))
-    ends = lambda df: (
-        df.join(state.select(F.col("ord").alias("source"), F.col("end_active").alias("source_active")), "source", "left")
-        .join(state.select(F.col("ord").alias("target"), F.col("end_active").alias("target_active")), "target", "left")
-    )
-    lost = "active AND (source_active IS NULL OR target_active IS NULL)"
-    asleep = "active AND source_active IS NOT NULL AND target_active IS NOT NULL AND NOT (source_active AND target_active)"
-    rel, rul = ends(relation), ends(rule)
-    parents = profile.where("parent_id IS NOT NULL").join(state.select(F.col("ord").alias("parent_id"), "end_active"), "parent_id", "left")
-    twice = lambda df, key: df.groupBy(key).count().where("count > 1")
-    shape = ~C.well_formed(F.col("runtime_cas"))
-    parts = [
-        made(twice(profile, "ord"), "true", "DUPLICATE_PROFILE_ID", "profile", "ord"), made(profile, "ord IS NULL", "MISSING_PROFILE_ID", "profile", "ord"),
-        made(profile, F.col("runtime_cas").isNotNull() & shape, "NONSTANDARD_RUNTIME_CAS", "profile", "ord"),
-        made(profile, F.col("runtime_cas").isNotNull() & shape & (F.col("runtime_cas") == C.digits(F.col("cas"))), "CAS_RAW_USED_AS_RUNTIME_KEY", "profile", "ord"),
-        made(parents, "end_active IS NULL", "MISSING_PARENT_PROFILE", "profile", "ord"), made(parents, "NOT end_active", "INACTIVE_PARENT_PROFILE", "profile", "ord", "WARNING"),
-        made(profile, "decision = '승인' AND NOT active", "DEFAULT_RECOMMENDED_NOT_SELECTABLE", "profile", "ord", "WARNING"),
-        made(twice(relation, "relation_id"), "true", "DUPLICATE_RELATION_ID", "relation", "relation_id"), made(rel, lost, "ACTIVE_RELATION_PROFILE_MISSING", "relation", "relation_id"),
-        made(rel, asleep, "ACTIVE_RELATION_PROFILE_INACTIVE", "relation", "relation_id"), made(relation, "source = target", "SELF_RELATION", "relation", "relation_id"),
-        made(relation, "active AND review_status = 'REVIEW'", "REVIEW_RELATION_ACTIVE", "relation", "relation_id"),
-        made(twice(rule, "rule_id"), "true", "DUPLICATE_RULE_ID", "rule", "rule_id"), made(rule, "decision = '제외'", "EXCLUDED_RULE_EMITTED", "rule", "rule_id"),
-        made(rule, "active AND decision = '추가검토'", "REVIEW_RULE_ACTIVE", "rule", "rule_id"), made(rule, "active AND decision = '보류'", "HELD_RULE_ACTIVE", "rule", "rule_id"),
-        made(rule, "needs_confirmation AND auto_confirmed", "USER_CONFIRMATION_BYPASSED", "rule", "rule_id"),
-        made(rul, lost, "ACTIVE_RULE_PROFILE_MISSING", "rule", "rule_id"), made(rul, asleep, "ACTIVE_RULE_PROFILE_INACTIVE", "rule", "rule_id"),
-    ]
-    if expected_profiles is not None:
-        off = profile.agg(F.count("*").alias("n")).where(F.col("n") != expected_profiles)
-        parts.append(made(off, "true", "MASTER_PROFILE_COUNT_MISMATCH", "dataset", "n"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-_ENDS = "LEFT JOIN profile s ON s.ord = {0}.source LEFT JOIN profile g ON g.ord = {0}.target"
-
-
-@query("etl06_validator", f"""
-WITH {_TABLES}, rel AS (SELECT relation.*, s.active AS sa, g.active AS ga FROM relation {_ENDS.format("relation")}), rul AS (SELECT rule.*, s.active AS sa, g.active AS ga FROM rule {_ENDS.format("rule")}),
-par AS (SELECT p.ord, q.active AS pa FROM profile p LEFT JOIN profile q ON q.ord = p.parent_id WHERE p.parent_id IS NOT NULL),
-i AS (
- SELECT 'ERROR' AS severity, 'NONSTANDARD_RUNTIME_CAS' AS code, 'profile' AS entity, ord AS entity_id FROM profile WHERE NOT regexp_matches(runtime_cas, '^[0-9]{{2,7}}-[0-9]{{2}}-[0-9]$')
- UNION ALL SELECT 'ERROR', 'CAS_RAW_USED_AS_RUNTIME_KEY', 'profile', ord FROM profile WHERE runtime_cas = replace(cas, '-', '')
- UNION ALL SELECT 'ERROR', 'MISSING_PARENT_PROFILE', 'profile', ord FROM par WHERE pa IS NULL UNION ALL SELECT 'WARNING', 'INACTIVE_PARENT_PROFILE', 'profile', ord FROM par WHERE NOT pa
- UNION ALL SELECT 'WARNING', 'DEFAULT_RECOMMENDED_NOT_SELECTABLE', 'profile', ord FROM profile WHERE decision = '승인' AND NOT active
- UNION ALL SELECT 'ERROR', 'ACTIVE_RELATION_PROFILE_MISSING', 'relation', relation_id FROM rel WHERE active AND (sa IS NULL OR ga IS NULL) UNION ALL SELECT 'ERROR', 'ACTIVE_RELATION_PROFILE_INACTIVE', 'relation', relation_id FROM rel WHERE active AND NOT (sa AND ga)
- UNION ALL SELECT 'ERROR', 'SELF_RELATION', 'relation', relation_id FROM relation WHERE source = target UNION ALL SELECT 'ERROR', 'REVIEW_RELATION_ACTIVE', 'relation', relation_id FROM relation WHERE active AND review_status = 'REVIEW'
- UNION ALL SELECT 'ERROR', 'EXCLUDED_RULE_EMITTED', 'rule', rule_id FROM rule WHERE decision = '제외' UNION ALL SELECT 'ERROR', 'REVIEW_RULE_ACTIVE', 'rule', rule_id FROM rule WHERE active AND decision = '추가검토'
- UNION ALL SELECT 'ERROR', 'HELD_RULE_ACTIVE', 'rule', rule_id FROM rule WHERE active AND decision = '보류' UNION ALL SELECT 'ERROR', 'USER_CONFIRMATION_BYPASSED', 'rule', rule_id FROM rule WHERE needs_confirmation AND auto_confirmed
- UNION ALL SELECT 'ERROR', 'ACTIVE_RULE_PROFILE_MISSING', 'rule', rule_id FROM rul WHERE active AND (sa IS NULL OR ga IS NULL) UNION ALL SELECT 'ERROR', 'ACTIVE_RULE_PROFILE_INACTIVE', 'rule', rule_id FROM rul WHERE active AND NOT (sa AND ga)
-) SELECT * FROM i""")
-def validator(t: Tables) -> DataFrame:
-    return issues(profiles(t), relations(t), rules(t))
+    """What the loader of review sheets warns of: decisions and marks it does not know, odd numbers, approved rows without a policy, relations with oneself."""
+    r = t.master.selectExpr("ord", f"{_ITEM} AS item", f"{_FINAL} AS final", f"{_SHEET_CAS} AS cas", "mark", f"{_YES} AS policy", "ord % 25 = 0 AS self")
+    found = F.array_compact(F.array(
+        F.when(~F.col("item").isin(*ITEM_DECISIONS), "UNKNOWN_ITEM_DECISION"), F.when(~F.col("mark").isin("Y", "N", ""), "UNKNOWN_DEFAULT_RECOMMENDATION"),
+        F.when((F.col("cas") != "") & ~C.well_formed(F.col("cas")), "NONSTANDARD_CAS"), F.when(~F.col("final").isin(*FINAL_DECISIONS), "UNKNOWN_FINAL_DECISION"),
+        F.when(F.col("final").isin("승인", "수정") & F.col("policy").isNull(), "BLANK_RUNTIME_POLICY"), F.when(F.col("self"), "SELF_RELATION"),
+    ))
+    return r.select("ord", F.explode(found).alias("code"))
 
 
 @query("etl07_registry", """

@@ -6,6 +6,9 @@ tables or columns.
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -35,32 +38,34 @@ def missing_columns(df: DataFrame, required: list[str]) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("cp949", "utf-8-sig", "utf-8"), needed: str = "CAS") -> DataFrame:
-    """Rows with row_number, in the first encoding that decodes a file whole and whose header holds the needed word.
+    """path, row_number and a column for each name in any header, by each file's own header, in the first encoding that decodes a file whole and
+    whose header holds the needed word. A file that no encoding fits is an error.
 
-    Spark's own reader knows few encodings, so files are decoded by Arrow batches and their lines parsed by from_csv. Each file is
-    one value: for dimensions, not for bulk data.
+    Spark's own reader knows few encodings, so files are decoded and parsed by Arrow batches. Each file is one value: for dimensions, not for bulk data.
     """
 
-    def decode(contents: pd.Series) -> pd.Series:
-        def first(raw: bytes) -> str | None:
+    def parse(contents: pd.Series) -> pd.Series:
+        def first(raw: bytes) -> list[dict[str, str]] | None:
             for encoding in encodings:
                 try:
-                    text = raw.decode(encoding)
+                    text = raw.decode(encoding).lstrip("\ufeff")
                 except UnicodeDecodeError:
                     continue
                 if needed in text.split("\n", 1)[0]:
-                    return text.lstrip("\ufeff")
+                    lines = list(csv.reader(io.StringIO(text, newline="")))
+                    header = [c.strip() for c in lines[0]]
+                    return [dict(zip(header, header, strict=True)), *(dict(zip(header, x, strict=False)) for x in lines[1:] if any(c.strip() for c in x))]
             return None
 
         return contents.map(first)
 
-    text = spark.read.format("binaryFile").load(path).select("path", F.pandas_udf(decode, "string")("content").alias("text"))
-    lines = text.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("row_number", "line")).where("trim(line) <> ''")
-    header = lines.where("row_number = 0").orderBy("path").limit(1).collect()
-    if not header:
-        raise ValueError(f"no encoding of {encodings} fits {path}")
-    schema = ", ".join(f"`{c.strip()}` string" for c in header[0].line.split(","))
-    return lines.where("row_number > 0").select("row_number", F.from_csv("line", schema).alias("x")).select("row_number", "x.*")
+    files = spark.read.format("binaryFile").load(path).select("path", F.pandas_udf(parse, "array<map<string,string>>")("content").alias("rows"))
+    headers = files.select("path", F.map_keys(F.get("rows", F.lit(0))).alias("names")).orderBy("path").collect()
+    if lost := [r.path for r in headers if r.names is None]:
+        raise ValueError(f"no encoding of {encodings} fits {', '.join(lost)}")
+    names = list(dict.fromkeys(n for r in headers for n in r.names if n))
+    rows = files.select("path", F.posexplode("rows").alias("row_number", "row")).where("row_number > 0")
+    return rows.select("path", "row_number", *(F.col("row")[n].alias(n) for n in names))
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -69,11 +74,11 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def read_with_backup(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A state file, or its last good copy."""
+    """A state file, or its last good copy. The file is parsed to its end first: one that is torn anywhere is not used."""
+    state = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     try:
-        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-        df.limit(1).count()
-        return df
+        state.write.format("noop").mode("overwrite").save()
+        return state
     except Exception:
         return spark.read.schema(schema).json(path + ".bak")
 
@@ -98,16 +103,19 @@ class SheetReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with zipfile.ZipFile(self.path) as z:
+            fixed = {"source_sheet": first_sheet(z)[0]}
         for number, row in enumerate(sheet_rows(self.path), 1):
             if number == 1:
                 header = row
             elif any(c.strip() for c in row):
                 values = dict(zip(header, row, strict=False))
+                values |= fixed
                 yield tuple(number if f.name == "source_row_number" else values.get(f.name) for f in self.schema.fields)
 
 
 class SheetSource(DataSource):
-    """The first sheet of an .xlsx file: a header, then rows that are not blank, with their numbers.
+    """The first sheet of an .xlsx file: a header, then rows that are not blank, with their sheet and numbers.
 
     One file is one task. The path is opened by the task, so it has to be one that every machine can open.
     """
@@ -118,7 +126,7 @@ class SheetSource(DataSource):
 
     def schema(self) -> str:
         header = next(iter(sheet_rows(self.options["path"])))
-        return ", ".join(f"`{h}` string" for h in header if h) + ", source_row_number int"
+        return ", ".join(f"`{h}` string" for h in header if h) + ", source_sheet string, source_row_number int"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return SheetReader(self.options["path"], schema)
@@ -127,12 +135,25 @@ class SheetSource(DataSource):
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def first_sheet(z: zipfile.ZipFile) -> tuple[str, str]:
+    """Name and part of the first sheet in the workbook's order; without a workbook, of the sheet of the smallest number."""
+    parts = sorted((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(z.namelist()):
+        sheet = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"), None)
+        if sheet is not None:
+            wanted = next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None)
+            for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+                if r.get("Id") == wanted:
+                    return sheet.get("name", ""), "xl/" + r.get("Target", "").removeprefix("/xl/")
+    return parts[0].rsplit("/", 1)[1].removesuffix(".xml"), parts[0]
+
+
 def sheet_rows(path: str) -> Iterator[list[str]]:
     with zipfile.ZipFile(path) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(x.text or "" for x in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        sheet = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0]
+        sheet = first_sheet(z)[1]
         for row in ElementTree.fromstring(z.read(sheet)).iter(f"{_MAIN}row"):
             cells: list[str] = []
             for c in row.iter(f"{_MAIN}c"):
@@ -148,20 +169,65 @@ def sheet_rows(path: str) -> Iterator[list[str]]:
 
 
 def ocr_lines(results: DataFrame, scale: float) -> DataFrame:
-    """doc_id, page, text, confidence, x0, y0, x1, y1 of recognised lines: rec_texts, rec_scores, rec_polys side by side, or a list of
-    [points, (text, score)] as lines. Malformed entries fall out; a box is the extent of its polygon."""
-    zipped = F.arrays_zip(F.col("rec_texts").alias("text"), F.col("rec_scores").alias("score"), F.col("rec_polys").alias("poly"))
-    rows = results.select("doc_id", "page", F.explode(zipped).alias("r")).select("doc_id", "page", "r.text", "r.score", "r.poly")
-    rows = rows.where("text IS NOT NULL AND trim(text) <> '' AND size(poly) = 4")
+    """doc_id, page, text, confidence, x0, y0, x1, y1 of recognised lines in reading order, from JSON (column raw) of either layout: an object, or a list of
+    them, with rec_texts, rec_polys (or else dt_polys) and rec_scores side by side; or a list of [points, [text, score]], or a list that holds that
+    list. Entries without points of two numbers fall out; a box is the extent of its points, divided by scale."""
+    v = F.try_parse_json("raw")
+    get = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    polygons, items = "array<array<double>>", "array<variant>"
+    objects = F.coalesce(F.when(get(v, "$.rec_texts", items).isNotNull(), F.array(v)), F.filter(get(v, "$", items), lambda x: get(x, "$.rec_texts", items).isNotNull()))
+    polys = lambda x: F.coalesce(get(x, "$.rec_polys", items), get(x, "$.dt_polys", items))
+    modern = F.flatten(F.transform(F.filter(objects, lambda x: polys(x).isNotNull()), lambda x: F.transform(
+        F.slice(F.arrays_zip(get(x, "$.rec_texts", items).alias("t"), polys(x).alias("p"), F.coalesce(get(x, "$.rec_scores", items), F.array().cast(items)).alias("s")), F.lit(1), F.least(F.size(get(x, "$.rec_texts", items)), F.size(polys(x)))),
+        lambda z: F.struct(get(z["t"], "$", "string").alias("text"), get(z["s"], "$", "double").alias("confidence"), get(z["p"], "$", polygons).alias("poly")),
+    )))
+    wrapped = get(v, "$[0][0][0][0][0]", "double").isNotNull()
+    classic = F.transform(F.when(wrapped, get(v, "$[0]", items)).otherwise(get(v, "$", items)), lambda x: F.struct(
+        F.coalesce(get(x, "$[1][0]", "string"), get(x, "$[1]", "string")).alias("text"), get(x, "$[1][1]", "double").alias("confidence"), get(x, "$[0]", polygons).alias("poly"),
+    ))
+    rows = results.select("doc_id", "page", F.explode(F.when(F.size(objects) > 0, modern).otherwise(classic)).alias("r")).select("doc_id", "page", "r.*")
+    rows = rows.where("text IS NOT NULL AND size(poly) > 0 AND forall(poly, p -> size(p) >= 2 AND p[0] IS NOT NULL AND p[1] IS NOT NULL)")
     side = lambda f, i: (f(F.transform("poly", lambda p: p[i])) / scale)
-    return rows.select("doc_id", "page", "text", F.col("score").alias("confidence"), side(F.array_min, 0).alias("x0"), side(F.array_min, 1).alias("y0"), side(F.array_max, 0).alias("x1"), side(F.array_max, 1).alias("y1"))
+    return rows.select("doc_id", "page", "text", "confidence", side(F.array_min, 0).alias("x0"), side(F.array_min, 1).alias("y0"), side(F.array_max, 0).alias("x1"), side(F.array_max, 1).alias("y1"))
+
+
+_XML = "header struct<resultCode:string>, body struct<items:struct<item:array<struct<chemId:string, chemNameKor:string, msdsItemNameKor:string, itemDetail:string>>>>"
+
+
+def _answers(answers: DataFrame) -> DataFrame:
+    return answers.select("key", F.from_xml("xml", _XML, {"rowTag": "response"}).alias("x")).where("x.header.resultCode = '00'")
+
+
+def regulator_first(answers: DataFrame) -> DataFrame:
+    """key, chem_id, name: the first item of list answers whose result code is 00."""
+    return _answers(answers).select("key", F.get("x.body.items.item", F.lit(0)).alias("i")).where("i IS NOT NULL").select("key", F.col("i.chemId").alias("chem_id"), F.col("i.chemNameKor").alias("name"))
 
 
 def regulator_items(answers: DataFrame) -> DataFrame:
-    """key, name, detail of XML answers whose result code is 00."""
-    schema = "header struct<resultCode:string>, body struct<items:struct<item:array<struct<msdsItemNameKor:string, itemDetail:string>>>>"
-    parsed = answers.select("key", F.from_xml("xml", schema, {"rowTag": "response"}).alias("x")).where("x.header.resultCode = '00'")
-    return parsed.select("key", F.explode("x.body.items.item").alias("i")).select("key", F.col("i.msdsItemNameKor").alias("name"), F.col("i.itemDetail").alias("detail"))
+    """key, name, detail of detail answers whose result code is 00."""
+    return _answers(answers).select("key", F.explode("x.body.items.item").alias("i")).select("key", F.col("i.msdsItemNameKor").alias("name"), F.col("i.itemDetail").alias("detail"))
+
+
+def tree_texts(trees: DataFrame) -> DataFrame:
+    """doc_id, page, place, text of the elements of JSON trees (column json) that nest to any depth through kids; an element without a page has that
+    of the one that holds it. No built-in function descends to an unknown depth, so trees are walked in Arrow batches."""
+
+    def walk(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> list[dict]:
+            out: list[dict] = []
+            todo = [(json.loads(text), None)]
+            while todo:
+                node, page = todo.pop()
+                page = node.get("page", page)
+                if node.get("text") is not None:
+                    out.append({"page": page, "place": len(out), "text": node["text"]})
+                todo += [(kid, page) for kid in reversed(node.get("kids") or [])]
+            return out
+
+        return texts.map(one)
+
+    found = F.pandas_udf(walk, "array<struct<page:int,place:int,text:string>>")
+    return trees.select("doc_id", F.explode(found("json")).alias("x")).select("doc_id", "x.*")
 
 
 # The same behaviours over the carriers.
@@ -179,18 +245,25 @@ def page_words(t: Tables) -> DataFrame:
 
 @query("src03_table_tree", "SELECT doc_id, page, cas AS text FROM component")
 def table_tree(t: Tables) -> DataFrame:
-    """A tree of pages and cells in JSON, flattened by explode, one for each level."""
-    tree = t.component.groupBy("doc_id", "page").agg(F.collect_list(F.struct(F.col("cas").alias("text"))).alias("kids")).groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list(F.struct("page", "kids")).alias("kids"))).alias("json"))
-    parsed = tree.select("doc_id", F.from_json("json", "kids array<struct<page:int,kids:array<struct<text:string>>>>").alias("x"))
-    return parsed.select("doc_id", F.explode("x.kids").alias("p")).select("doc_id", "p.page", F.explode("p.kids").alias("k")).select("doc_id", "page", "k.text")
+    """Trees of pages, tables and cells, nested to different depths, written as JSON and walked."""
+    leaf = F.to_json(F.struct(F.col("cas").alias("text")))
+    held = lambda x: F.concat(F.lit('{"kids":['), x, F.lit("]}"))
+    deep = F.when(F.col("seq") % 3 == 0, leaf).when(F.col("seq") % 3 == 1, held(leaf)).otherwise(held(held(held(leaf))))
+    pages = t.component.groupBy("doc_id", "page").agg(F.concat(F.lit('{"page":'), F.col("page").cast("string"), F.lit(',"kids":['), F.array_join(F.collect_list(deep), ","), F.lit("]}")).alias("p"))
+    trees = pages.groupBy("doc_id").agg(held(F.array_join(F.collect_list("p"), ",")).alias("json"))
+    return tree_texts(trees).select("doc_id", F.col("page").cast("long").alias("page"), "text")
 
 
-@query("src04_ocr_lines", "SELECT doc_id, page, cas AS text, CAST(20 AS DOUBLE) AS x0, CAST(page * 10 AS DOUBLE) AS y0 FROM component")
+@query("src04_ocr_lines", "SELECT doc_id, page, cas AS text, CASE WHEN page = 3 THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS confidence, CAST(20 AS DOUBLE) AS x0, CAST(page * 10 AS DOUBLE) AS y0, CAST(60 AS DOUBLE) AS x1 FROM component")
 def ocr(t: Tables) -> DataFrame:
-    point = lambda x, y: F.array(F.lit(x).cast("int"), (F.col("page") * 15 + y).cast("int"))
-    poly = F.array(point(30, 0), point(90, 0), point(90, 12), point(30, 12))
-    results = t.component.groupBy("doc_id", "page").agg(F.collect_list("cas").alias("rec_texts"), F.collect_list(F.lit(0.9)).alias("rec_scores"), F.collect_list(poly).alias("rec_polys"))
-    return ocr_lines(results, 1.5).select("doc_id", "page", "text", "x0", "y0")
+    """Pages in one of three layouts, each with a malformed entry."""
+    y = (F.col("page") * 15).cast("string")
+    poly = F.concat(F.lit("[[30,"), y, F.lit("],[90,"), y, F.lit("],[90,99],[30,99]]"))
+    listed = lambda x: F.concat_ws(",", F.collect_list(x))
+    pages = t.component.groupBy("doc_id", "page").agg(listed(F.concat(F.lit('"'), "cas", F.lit('"'))).alias("t"), listed(poly).alias("p"), listed(F.lit("0.5")).alias("s"), listed(F.concat(F.lit("["), poly, F.lit(',["'), "cas", F.lit('",0.5]]'))).alias("old"))
+    raw = F.when(F.col("page") == 1, F.concat(F.lit('[{"rec_texts":["bad",'), "t", F.lit('],"rec_polys":[[["x"]],'), "p", F.lit('],"rec_scores":[1,'), "s", F.lit("]}]"))).when(
+        F.col("page") == 2, F.concat(F.lit("[["), "old", F.lit(',[null,["bad",1]]]]'))).otherwise(F.concat(F.lit('{"rec_texts":['), "t", F.lit(',"bad"],"dt_polys":['), "p", F.lit(",[]]}")))
+    return ocr_lines(pages.select("doc_id", "page", raw.alias("raw")), 1.5).select("doc_id", "page", "text", "confidence", "x0", "y0", "x1")
 
 
 @query("src05_sheet_rows", "SELECT ord + 2 AS source_row_number, name FROM master WHERE ord % 5 <> 0")
@@ -230,11 +303,13 @@ def last_name(t: Tables) -> DataFrame:
     return t.master.groupBy(C.strip_zeros(F.concat(F.lit("00"), "cas")).alias("cas")).agg(F.max_by(name, "ord").alias("name"))
 
 
-@query("src11_regulator_xml", "SELECT cas AS key, 'name' AS name, CAST(ord AS STRING) AS detail FROM master WHERE ord % 3 <> 0")
+@query("src11_regulator_xml", "SELECT cas AS key, CAST(ord AS STRING) AS chem_id, name FROM master WHERE ord % 3 <> 0")
 def regulator_xml(t: Tables) -> DataFrame:
+    """Of list answers the first item, of those with a good code."""
     code = F.when(F.col("ord") % 3 == 0, "99").otherwise("00")
-    xml = F.concat(F.lit("<response><header><resultCode>"), code, F.lit("</resultCode></header><body><items><item><msdsItemNameKor>name</msdsItemNameKor><itemDetail>"), F.col("ord").cast("string"), F.lit("</itemDetail></item></items></body></response>"))
-    return regulator_items(t.master.select(F.col("cas").alias("key"), xml.alias("xml")))
+    item = lambda i, n: F.concat(F.lit("<item><chemId>"), i, F.lit("</chemId><chemNameKor>"), n, F.lit("</chemNameKor></item>"))
+    xml = F.concat(F.lit("<response><header><resultCode>"), code, F.lit("</resultCode></header><body><items>"), item(F.col("ord").cast("string"), F.col("name")), item(F.lit("second"), F.lit("x")), F.lit("</items></body></response>"))
+    return regulator_first(t.master.select(F.col("cas").alias("key"), xml.alias("xml")))
 
 
 @query("src12_journal", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k FROM events WHERE event_id % 9 <> 0")
