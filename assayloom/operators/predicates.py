@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..catalog import Tables, query
 from ..sources import domain as D
@@ -75,23 +76,21 @@ def section_range(t: Tables) -> DataFrame:
     return t.word.where((middle >= 40) & (middle < 160)).select("doc_id", "page", "id", "y0")
 
 
-#: Cells of header rows, and marks of exposure tables.
-HEADER_CELLS = ("name", "cas", "content", "성분", "물질명", "함유량")
-NOISE = r"twa|stel|pel|tlv|mg/m|노출기준|exposure"
+def table_row_kept(cells: Column) -> Column:
+    """False for header rows (a cell that is a header's, signs aside) and for rows of exposure tables."""
+    clean = F.transform(cells, lambda c: F.regexp_replace(F.lower(c), r"[\s().%|_]", ""))
+    return ~F.arrays_overlap(clean, F.array(*map(F.lit, D.HEADER_CELLS))) & ~F.lower(F.array_join(cells, "")).rlike("|".join(D.NOISE_CELLS))
 
 
-def table_row_kept(cells: Column) -> Column:
-    """False for header rows and for rows of exposure tables."""
-    clean = F.transform(cells, lambda c: F.lower(F.trim(c)))
-    return ~F.arrays_overlap(clean, F.array(*map(F.lit, HEADER_CELLS))) & ~F.lower(F.array_join(cells, " ")).rlike(NOISE)
+_ODD_CELL = "CASE ord % 6 WHEN 0 THEN ' CAS (No.) ' WHEN 1 THEN 'TWA 5 ppm' WHEN 2 THEN '함 유 량(%)' WHEN 3 THEN 'Chemical_Name|' ELSE twa END"
 
 
-@query("flt09_header_rows", """
-WITH r AS (SELECT ord, [name, cas, CASE ord % 6 WHEN 0 THEN ' CAS ' WHEN 1 THEN 'TWA 5 ppm' ELSE twa END] AS cells FROM master)
-SELECT ord, NOT list_has_any(list_transform(cells, lambda c: lower(trim(c))), ['name', 'cas', 'content', '성분', '물질명', '함유량'])
- AND NOT regexp_matches(lower(array_to_string(cells, ' ')), 'twa|stel|pel|tlv|mg/m|노출기준|exposure') AS kept FROM r""")
+@query("flt09_header_rows", f"""
+WITH r AS (SELECT ord, [name, cas, {_ODD_CELL}] AS cells FROM master)
+SELECT ord, NOT list_has_any(list_transform(cells, lambda c: regexp_replace(lower(c), '[\\s().%|_]', '', 'g')), [{", ".join(f"'{w}'" for w in D.HEADER_CELLS)}])
+ AND NOT ({" OR ".join(f"contains(lower(array_to_string(cells, '')), '{w}')" for w in D.NOISE_CELLS)}) AS kept FROM r""")
 def header_rows(t: Tables) -> DataFrame:
-    cells = F.array("name", "cas", F.when(F.col("ord") % 6 == 0, " CAS ").when(F.col("ord") % 6 == 1, "TWA 5 ppm").otherwise(F.col("twa")))
+    cells = F.array("name", "cas", F.expr(_ODD_CELL))
     return t.master.select("ord", table_row_kept(cells).alias("kept"))
 
 
@@ -116,12 +115,18 @@ def unit_noise(t: Tables) -> DataFrame:
 FORBIDDEN = r"미추출|확인|실패|unknown|none"
 
 
-@query("flt12_product_acceptable", """
-SELECT doc_id, product_seen, length(trim(product_seen)) BETWEEN 2 AND 100 AND NOT regexp_matches(lower(product_seen), '미추출|확인|실패|unknown|none') AND lower(trim(product_seen)) NOT IN ('other', 'product') AS acceptable FROM document""")
+_SHOWN_PRODUCT = "CASE doc_id % 12 WHEN 0 THEN '물질 안정 보건자료' WHEN 1 THEN 'N/A' WHEN 2 THEN '확인 불가' WHEN 3 THEN 'x' WHEN 4 THEN repeat('long', 30) WHEN 5 THEN concat(product, ' MS DS') WHEN 6 THEN 'error 5' ELSE product_seen END"
+
+
+@query("flt12_product_acceptable", f"""
+WITH p AS (SELECT doc_id, {_SHOWN_PRODUCT} AS name FROM document)
+SELECT doc_id, name, length(trim(name)) >= 2 AND length(name) < 100 AND NOT ({" OR ".join(f"contains(name, '{w}')" for w in D.NO_PRODUCT)}) AND NOT ({" OR ".join(f"contains(replace(name, ' ', ''), '{w}')" for w in D.NO_PRODUCT_BARE)}) AS acceptable FROM p""")
 def product_acceptable(t: Tables) -> DataFrame:
-    name = F.lower(F.trim("product_seen"))
-    ok = F.length(name).between(2, 100) & ~name.rlike(FORBIDDEN) & ~name.isin("other", "product")
-    return t.document.select("doc_id", "product_seen", ok.alias("acceptable"))
+    """Of a sensible length, without words of failure, and not the title of the sheet itself."""
+    name = F.expr(_SHOWN_PRODUCT)
+    holds = lambda text, words: text.rlike("|".join(words))
+    ok = (F.length(F.trim(name)) >= 2) & (F.length(name) < 100) & ~holds(name, D.NO_PRODUCT) & ~holds(F.replace(name, F.lit(" "), F.lit("")), D.NO_PRODUCT_BARE)
+    return t.document.select("doc_id", name.alias("name"), ok.alias("acceptable"))
 
 
 @query("flt13_cas_letter", "WITH c AS (SELECT doc_id, seq, CASE WHEN seq % 9 = 0 THEN replace(cas, '0', 'O') ELSE cas END AS cas FROM component) SELECT doc_id, seq, cas, regexp_extract(cas, '[a-zA-Z]', 0) AS letter FROM c")
@@ -151,10 +156,26 @@ def complex_bounds(t: Tables) -> DataFrame:
     return t.component.select("doc_id", "seq", ((signs >= 2) | ((signs >= 1) & masked.rlike("[-~∼～to]"))).alias("complex"))
 
 
-@query("flt16_card_layout", "SELECT doc_id, page, bool_or(text = 'w7') AND NOT bool_or(text = 'w8') AS vertical_card FROM word GROUP BY doc_id, page")
+@query("flt16_card_layout", r"""
+WITH l0 AS (SELECT *, coalesce(abs(y0 - lag(y0) OVER w) > 0.25 * least(height, lag(height) OVER w), true) AS new FROM word WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, id)),
+l AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, id) AS line FROM l0), g AS (SELECT *, x0 - lag(x0 + width) OVER (PARTITION BY doc_id, page, line ORDER BY x0, id) AS gap, lag(height) OVER (PARTITION BY doc_id, page, line ORDER BY x0, id) AS tall FROM l),
+k AS (SELECT doc_id, page, line, bool_or(contains(text, '성분')) AS substance, bool_or(contains(lower(text), 'cas')) AS label, bool_or(regexp_matches(text, '함유량|함량|농도')) AS field, bool_or(regexp_matches(text, '(^|[^0-9-])[0-9]{2,7}-[0-9]{2}-[0-9]([^0-9-]|$)')) AS number,
+    bool_or(regexp_matches(text, '^[<>]?[0-9]+([.][0-9]+)?(~[0-9]+)?%?$')) AS amount, count(*) AS n, count(*) FILTER (WHERE gap > 2 * tall) AS gaps FROM g GROUP BY ALL)
+SELECT doc_id, page, bool_or(substance) AND bool_or(label) AND bool_or(field) AND NOT (bool_or(label AND field) OR bool_or(number AND amount) OR count(*) FILTER (WHERE n >= 3 AND gaps >= 2) >= 2) AS vertical_card FROM k GROUP BY doc_id, page""")
 def card_layout(t: Tables) -> DataFrame:
-    """A page is a vertical card if a card keyword occurs and nothing marks a horizontal grid."""
-    return t.word.groupBy("doc_id", "page").agg((F.bool_or(F.col("text") == "w7") & ~F.bool_or(F.col("text") == "w8")).alias("vertical_card"))
+    """Substance, number and content each have a line of their own, and the page is no grid: no line with two of them, with a number and its amount, nor two of three columns."""
+    from .windows import visual_lines
+
+    lined = visual_lines(t.word)
+    before = Window.partitionBy("doc_id", "page", "line").orderBy("x0", "id")
+    wide = F.col("x0") - F.lag(F.col("x0") + F.col("width")).over(before) > 2 * F.lag("height").over(before)
+    text = F.col("text")
+    k = lined.withColumn("wide", wide).groupBy("doc_id", "page", "line").agg(
+        F.bool_or(F.contains(text, F.lit("성분"))).alias("substance"), F.bool_or(F.contains(F.lower(text), F.lit("cas"))).alias("label"), F.bool_or(text.rlike(D.CONTENT_FIELDS)).alias("field"),
+        F.bool_or(text.rlike(C.TOKEN)).alias("number"), F.bool_or(text.rlike("^[<>]?[0-9]+([.][0-9]+)?(~[0-9]+)?%?$")).alias("amount"), F.count("*").alias("n"), F.count_if("wide").alias("gaps"),
+    )
+    grid = F.bool_or(F.col("label") & F.col("field")) | F.bool_or(F.col("number") & F.col("amount")) | (F.count_if((F.col("n") >= 3) & (F.col("gaps") >= 2)) >= 2)
+    return k.groupBy("doc_id", "page").agg((F.bool_or("substance") & F.bool_or("label") & F.bool_or("field") & ~grid).alias("vertical_card"))
 
 
 @query("flt17_reuse_reason", f"""
@@ -210,13 +231,15 @@ def date_noise(t: Tables) -> DataFrame:
 
 
 @query("flt22_clear_table", """
-SELECT DISTINCT a.doc_id, a.page, a.id FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.page = b.page AND a.id <> b.id AND abs(2 * a.y0 + a.height - 2 * b.y0 - b.height) <= 2 * a.height AND greatest(a.x0, b.x0) - least(a.x0 + a.width, b.x0 + b.width) >= 18 WHERE a.text = 'w9'""")
+SELECT DISTINCT a.doc_id, a.page, a.id FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.page = b.page AND a.id <> b.id AND abs(2 * a.y0 + a.height - 2 * b.y0 - b.height) <= 2 * a.height AND greatest(a.x0, b.x0) - least(a.x0 + a.width, b.x0 + b.width) >= 18
+WHERE regexp_matches(a.text, '(^|[^0-9-])[0-9]{2,7}-[0-9]{2}-[0-9]([^0-9-]|$)')""")
 def clear_table(t: Tables) -> DataFrame:
-    """Lines with a number that have another line beside them. The heights of a page's lines bound the bands that can meet."""
+    """Lines with a number that have another line beside them. Bands as high as twice a page's tallest line, so that what can meet is in the same or the next one."""
     w = t.word.select("doc_id", "page", "id", "x0", "y0", "width", "height", "text").withColumn("middle", 2 * F.col("y0") + F.col("height"))
-    bands = F.explode(F.expr("array(floor(middle / 24) - 1, floor(middle / 24), floor(middle / 24) + 1)"))
-    left = w.where("text = 'w9'").withColumn("band", bands)
-    right = w.select("doc_id", "page", F.floor(F.col("middle") / 24).alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("id", "x0", "width", "middle")))
+    w = w.withColumn("tall", 2 * F.max("height").over(Window.partitionBy("doc_id", "page")))
+    own = F.floor(F.col("middle") / F.col("tall"))
+    left = w.where(F.col("text").rlike(C.TOKEN)).withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
+    right = w.select("doc_id", "page", own.alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("id", "x0", "width", "middle")))
     gap = F.greatest("x0", "x0_b") - F.least(F.col("x0") + F.col("width"), F.col("x0_b") + F.col("width_b"))
     beside = (F.abs(F.col("middle") - F.col("middle_b")) <= 2 * F.col("height")) & (gap >= 18) & (F.col("id") != F.col("id_b"))
     return left.join(right, ["doc_id", "page", "band"]).where(beside).select("doc_id", "page", "id").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..catalog import Tables, query
 from ..sources import domain as D
+from ..functions import cas as C
 from ..functions import content as N
 
 
@@ -36,15 +38,19 @@ def lines(t: Tables) -> DataFrame:
 
 
 def cells(words: DataFrame) -> DataFrame:
-    """words with line and cell: a gap wider than the word before, times its height over the width, begins a cell."""
+    """words with line and cell: a gap wider than the height of the word before, times the page's median gap over its median height, begins a cell."""
     w = W.partitionBy("doc_id", "page", "line").orderBy("x0", "id")
     gap = F.col("x0") - F.lag(F.col("x0") + F.col("width")).over(w)
-    new = F.coalesce(gap * 2 > F.lag("height").over(w), F.lit(True))
-    return visual_lines(words).withColumn("new", new).withColumn("cell", island(F.col("new"), ["doc_id", "page", "line"], ["x0", "id"])).drop("new")
+    lined = visual_lines(words).withColumns({"gap": gap, "before": F.lag("height").over(w)})
+    page = W.partitionBy("doc_id", "page")
+    ratio = F.coalesce(F.median(F.when(F.col("gap") > 0, F.col("gap"))).over(page) / F.median("height").over(page), F.lit(0.5))
+    new = F.coalesce(F.col("gap") > F.col("before") * F.col("ratio"), F.lit(True))
+    return lined.withColumn("ratio", ratio).withColumn("new", new).withColumn("cell", island(F.col("new"), ["doc_id", "page", "line"], ["x0", "id"])).drop("new", "gap", "before", "ratio")
 
 
 _CELLS = f"""{_LINES},
-c0 AS (SELECT *, coalesce((x0 - lag(x0 + width) OVER w) * 2 > lag(height) OVER w, true) AS fresh FROM l WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY x0, id)),
+c00 AS (SELECT *, x0 - lag(x0 + width) OVER w AS gap, lag(height) OVER w AS before FROM l WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY x0, id)),
+c0 AS (SELECT *, coalesce(gap > before * coalesce(median(CASE WHEN gap > 0 THEN gap END) OVER (PARTITION BY doc_id, page) / median(height) OVER (PARTITION BY doc_id, page), 0.5), true) AS fresh FROM c00),
 c AS (SELECT *, CAST(sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id, page, line ORDER BY x0, id) AS BIGINT) AS cell FROM c0)"""
 
 
@@ -62,32 +68,51 @@ def grid_pages(t: Tables) -> DataFrame:
     return wide.groupBy("doc_id", "page").agg((F.count_if(F.col("gaps") >= 2) >= 2).alias("grid"))
 
 
-def logical_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    """One page's lines in order: a line with a number opens a row, the lines after it join it while they are near, and what
-    comes before the first such line, or too far below one, is held for the next."""
-    owner, held, current, last = {}, [], None, None
-    for r in rows.sort_values(["y", "line"]).itertuples():
-        if r.anchor:
-            current = r.line
-            for x in [*held, r.line]:
-                owner[x] = current
-            held, last = [], r.y
-        elif current is not None and r.y - last < 80:
-            owner[r.line], last = current, r.y
+#: Fields that let an amount wait for the next row, and words that begin one.
+_FIELDS = re.compile(r"content|percentage|함량|함유량|composition|ingredient|component|concentration|조성|구성|min|max|approx|wt", re.I)
+_AMOUNT, _NEW_ROW = re.compile(r"%|\b\d{1,3}\.\d{2}\b"), re.compile(r"ingredient|component|물질명|성분명|chemical name", re.I)
+
+
+def logical_rows(lines: list[tuple[float, int, str, bool]]) -> list[int]:
+    """The row of each line (y, line, text, whether it holds a number) of a page, in order; -1: of none. A line with a number opens a row, near lines
+    below join it unless they name a new ingredient, and what comes before the first such line, or too far below one, is held for the next; but
+    a held line that states an amount without a field belongs to none."""
+    rows, held, current, last = [-1] * len(lines), [], None, 0.0
+    for i, (y, line, text, anchor) in enumerate(lines):
+        if anchor:
+            current, last = line, y
+            for k in [*(h for h in held if not _AMOUNT.search(lines[h][2]) or _FIELDS.search(lines[h][2])), i]:
+                rows[k] = line
+            held = []
+        elif current is not None and y - last < 80 and not _NEW_ROW.search(text):
+            rows[i], last = current, y
         else:
-            held.append(r.line)
-    return rows.assign(row=[owner.get(x, -1) for x in rows["line"]])[["doc_id", "page", "line", "row"]]
+            current = None
+            held.append(i)
+    return rows
+
+
+def logical_lines(lines: DataFrame) -> DataFrame:
+    """doc_id, page, line, row of lines (doc_id, page, line, y, text, anchor): the fold of a page, in Arrow batches of pages."""
+    pages = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), "line", "text", "anchor"))).alias("x"))
+
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: logical_rows([(r["y"], r["line"], r["text"], r["anchor"]) for r in p]))
+
+    found = pages.select("doc_id", "page", F.transform("x", lambda r: r["line"]).alias("line"), F.pandas_udf(run, "array<long>")("x").alias("row"))
+    return found.select("doc_id", "page", F.explode(F.arrays_zip("line", "row")).alias("z")).select("doc_id", "page", "z.*")
 
 
 @query("win04_logical_rows")
 def logical(t: Tables) -> DataFrame:
-    rows = visual_lines(t.word).groupBy("doc_id", "page", "line").agg(F.min("y0").alias("y"), F.bool_or(F.col("text").isin("w3", "w11", "w29")).alias("anchor"))
-    return rows.groupBy("doc_id", "page").applyInPandas(logical_rows, "doc_id long, page int, line long, row long")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "id", "text"))), lambda s: s["text"]), " ")
+    rows = visual_lines(t.word).groupBy("doc_id", "page", "line").agg(F.min("y0").alias("y"), text.alias("text"), F.bool_or(F.col("text").rlike(C.TOKEN)).alias("anchor"))
+    return logical_lines(rows)
 
 
-@query("win05_card_blocks", f"WITH {_LINES}, k AS (SELECT doc_id, page, line, bool_or(text = 'w5') AS opens FROM l GROUP BY ALL) SELECT doc_id, page, line, CAST(sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id, page ORDER BY line) AS BIGINT) AS block FROM k")
+@query("win05_card_blocks", f"WITH {_LINES}, k AS (SELECT doc_id, page, line, bool_or(contains(text, '성분')) AS opens FROM l GROUP BY ALL) SELECT doc_id, page, line, CAST(sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id, page ORDER BY line) AS BIGINT) AS block FROM k")
 def card_blocks(t: Tables) -> DataFrame:
-    opens = visual_lines(t.word).groupBy("doc_id", "page", "line").agg(F.bool_or(F.col("text") == "w5").alias("opens"))
+    opens = visual_lines(t.word).groupBy("doc_id", "page", "line").agg(F.bool_or(F.contains("text", F.lit("성분"))).alias("opens"))
     return opens.select("doc_id", "page", "line", island(F.col("opens"), ["doc_id", "page"], ["line"]).alias("block"))
 
 

@@ -14,6 +14,7 @@ from ..functions import content as N
 from ..operators.aggregates import gate_lock
 from ..operators.predicates import _CHECK, table_row_kept
 from ..operators.windows import _CELLS, cells
+from ..sources import domain as D
 from . import recovery as RC
 from .recovery import recover_rows
 
@@ -44,22 +45,33 @@ def section_slice(t: Tables) -> DataFrame:
     return page_text(t).select("doc_id", "page", found.alias("slice"))
 
 
-@query("seg03_ocr_bounds", "WITH b AS (SELECT doc_id, page, min(y0) FILTER (WHERE text = 'w3') AS s FROM word GROUP BY ALL), e AS (SELECT w.doc_id, w.page, min(y0) AS e FROM word w JOIN b ON b.doc_id = w.doc_id AND b.page = w.page WHERE w.text IN ('w4', 'w5') AND w.y0 > b.s GROUP BY ALL) SELECT b.doc_id, b.page, coalesce(s, 60) AS y_start, coalesce(e, coalesce(s, 60) + 80) AS y_end FROM b LEFT JOIN e ON e.doc_id = b.doc_id AND e.page = b.page")
+#: Height of the carrier's pages.
+PAGE_HEIGHT = 300
+
+
+@query("seg03_ocr_bounds", f"""
+WITH m AS (SELECT doc_id, page, y0, x0, id, (2 * y0 + height) / 2.0 AS mid, regexp_matches(text, '{D.HEADING_3}') AS opens, regexp_matches(text, '{D.HEADING_4}|{D.HEADING_5}|{D.HEADING_6}') AS ends FROM word),
+s AS (SELECT * FROM m WHERE opens QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, id) = 1),
+e AS (SELECT m.doc_id, m.page, m.mid FROM m JOIN s ON s.doc_id = m.doc_id AND s.page = m.page WHERE m.ends AND (m.y0, m.x0, m.id) > (s.y0, s.x0, s.id) QUALIFY row_number() OVER (PARTITION BY m.doc_id, m.page ORDER BY m.y0, m.x0, m.id) = 1)
+SELECT p.doc_id, p.page, coalesce(s.mid, 75) AS y_start, CASE WHEN s.mid IS NULL THEN 180 WHEN e.mid IS NULL OR e.mid <= s.mid THEN least(300, s.mid + 400) ELSE e.mid END AS y_end, s.mid IS NOT NULL AS found
+FROM (SELECT DISTINCT doc_id, page FROM word) p LEFT JOIN s ON s.doc_id = p.doc_id AND s.page = p.page LEFT JOIN e ON e.doc_id = p.doc_id AND e.page = p.page""")
 def ocr_bounds(t: Tables) -> DataFrame:
-    """From the section's heading to the next one below it, with defaults."""
-    by = W.partitionBy("doc_id", "page")
-    start = F.min(F.when(F.col("text") == "w3", F.col("y0"))).over(by)
-    rows = t.word.withColumn("s", start).groupBy("doc_id", "page").agg(F.min("s").alias("s"), F.min(F.when(F.col("text").isin("w4", "w5") & (F.col("y0") > F.col("s")), F.col("y0"))).alias("e"))
-    begin = F.coalesce("s", F.lit(60))
-    return rows.select("doc_id", "page", begin.alias("y_start"), F.coalesce("e", begin + 80).alias("y_end"))
+    """From the first heading of the section to the first of a later one behind it; parts of the page's height where they lack."""
+    order = F.struct("y0", "x0", "id", ((2 * F.col("y0") + F.col("height")) / 2.0).alias("mid"))
+    rows = t.word.select("doc_id", "page", order.alias("o"), F.col("text").rlike(D.HEADING_3).alias("opens"), F.col("text").rlike(f"{D.HEADING_4}|{D.HEADING_5}|{D.HEADING_6}").alias("ends"))
+    start = F.min(F.when(F.col("opens"), F.col("o")))
+    rows = rows.withColumn("s", start.over(W.partitionBy("doc_id", "page"))).groupBy("doc_id", "page").agg(F.first("s").alias("s"), F.min(F.when(F.col("ends") & (F.col("o") > F.col("s")), F.col("o"))).alias("e"))
+    s, e = F.col("s.mid"), F.col("e.mid")
+    end = F.when(s.isNull(), PAGE_HEIGHT * 0.6).when(e.isNull() | (e <= s), F.least(F.lit(float(PAGE_HEIGHT)), s + 400)).otherwise(e)
+    return rows.select("doc_id", "page", F.coalesce(s, F.lit(PAGE_HEIGHT * 0.25)).alias("y_start"), end.alias("y_end"), s.isNotNull().alias("found"))
 
 
-@query("seg04_exit_veto", "SELECT doc_id, page, id, bool_or(text = 'w9') OVER (PARTITION BY doc_id, page ORDER BY y0, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) IS NOT TRUE AS leaves FROM word QUALIFY text = 'w4'")
+@query("seg04_exit_veto", f"SELECT doc_id, page, id, bool_or(regexp_matches(text, '(^|[^0-9-])[0-9]{{2,7}}-[0-9]{{2}}-[0-9]([^0-9-]|$)')) OVER (PARTITION BY doc_id, page ORDER BY y0, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) IS NOT TRUE AS leaves FROM word QUALIFY regexp_matches(text, '(?i){D.EXIT_HEADING}')")
 def exit_veto(t: Tables) -> DataFrame:
-    """An exit heading ends the section only if no number comes below it."""
-    below = W.partitionBy("doc_id", "page").orderBy("y0", "id").rowsBetween(1, W.unboundedFollowing)
-    rows = t.word.withColumn("more", F.coalesce(F.bool_or(F.col("text") == "w9").over(below), F.lit(False)))
-    return rows.where("text = 'w4'").select("doc_id", "page", "id", (~F.col("more")).alias("leaves"))
+    """A heading of the next section ends this one only if no number stands on it or below it."""
+    below = W.partitionBy("doc_id", "page").orderBy("y0", "id").rowsBetween(W.currentRow, W.unboundedFollowing)
+    rows = t.word.withColumn("more", F.coalesce(F.bool_or(F.col("text").rlike(C.TOKEN)).over(below), F.lit(False)))
+    return rows.where(F.col("text").rlike("(?i)" + D.EXIT_HEADING)).select("doc_id", "page", "id", (~F.col("more")).alias("leaves"))
 
 
 @query("seg05_block_text", "SELECT doc_id, page, string_agg(text, ' ' ORDER BY y0, x0, id) AS text FROM word GROUP BY doc_id, page")
@@ -156,11 +168,18 @@ def match_scores(t: Tables) -> DataFrame:
     return rows.select("doc_id", "seq", match_score(*(F.col(c) for c in ("row", "m", "at", "head", "fall"))).cast("long").alias("score"))
 
 
-@query("sco02_recon_confidence", "WITH s AS (SELECT doc_id, page, 35 * max((text = 'w3')::INT) + 15 * max((text = 'w11')::INT) + 25 * max((text = 'w9')::INT) + 15 * max((text = 'w20')::INT) + 10 * max((text = 'w4')::INT) AS score, bool_or(text = 'w3') AS heading FROM word GROUP BY ALL) SELECT doc_id, page, CAST(score AS INTEGER) AS score, heading AND score >= 60 AS accepted FROM s")
+@query("sco02_recon_confidence", f"""
+WITH x AS (SELECT doc_id, page, regexp_matches(text, '{D.HEADING_3}') AS h, contains(lower(text), 'cas') AS l, {_CHECK.replace("cas", "text").replace("CAST(", "TRY_CAST(")} AS v, regexp_matches(text, '{D.CONTENT_FIELDS}|%') AS c, regexp_matches(text, '{D.HEADING_4}') AS n FROM word),
+s AS (SELECT doc_id, page, 35 * max(h::INT) + 15 * max(l::INT) + 25 * max(coalesce(v, false)::INT) + 15 * max(c::INT) + 10 * max(n::INT) AS score, bool_or(h) AS heading FROM x GROUP BY ALL)
+SELECT doc_id, page, CAST(score AS INTEGER) AS score, heading AND score >= 60 AS accepted FROM s""")
 def recon_confidence(t: Tables) -> DataFrame:
-    has = lambda w: F.max((F.col("text") == w).cast("int"))
-    score = 35 * has("w3") + 15 * has("w11") + 25 * has("w9") + 15 * has("w20") + 10 * has("w4")
-    return t.word.groupBy("doc_id", "page").agg(score.alias("score"), (F.bool_or(F.col("text") == "w3") & (score >= 60)).alias("accepted"))
+    """Points for a heading, a label, a genuine number, a word of contents and the next section; accepted with a heading and enough of them."""
+    text = F.col("text")
+    shown = {"h": text.rlike(D.HEADING_3), "l": F.contains(F.lower(text), F.lit("cas")), "v": C.checksum_holds(text), "c": text.rlike(D.CONTENT_FIELDS + "|%"), "n": text.rlike(D.HEADING_4)}
+    points = {"h": 35, "l": 15, "v": 25, "c": 15, "n": 10}
+    flags = t.word.select("doc_id", "page", *(F.coalesce(e, F.lit(False)).alias(c) for c, e in shown.items())).groupBy("doc_id", "page").agg(*(F.bool_or(c).alias(c) for c in shown))
+    score = sum((F.col(c).cast("int") * n for c, n in points.items()), F.lit(0))
+    return flags.select("doc_id", "page", score.alias("score"), (F.col("h") & (score >= 60)).alias("accepted"))
 
 
 #: Pages as sheets print them: a heading, a row for each component, the next heading; rows with an amount, one that a note spoils, one in words, none.
@@ -222,16 +241,31 @@ def html_table(t: Tables) -> DataFrame:
     return html.select("doc_id", F.explode(html_rows(F.col("html"))).alias("c")).select("doc_id", F.get("c", F.lit(1)).alias("cas"), F.replace(F.get("c", F.lit(2)), F.lit("&lt;"), F.lit("<")).alias("content"))
 
 
-@query("ext07_ocr_pairs", r"""
-WITH l AS (SELECT doc_id, seq, cas, name || ' ' || cas || ' ' || content AS line FROM component), a AS (SELECT *, split_part(line, cas, 2) AS rest FROM l)
-SELECT doc_id, seq, cas, coalesce(list_last(regexp_extract_all(rest, '[0-9]+(?:\.[0-9]+)?\s*%', 0)), list_last(regexp_extract_all(rest, '[0-9]+(?:\.[0-9]+)?', 0))) AS amount FROM a WHERE len(regexp_extract_all(rest, '[0-9]+', 0)) > 0""")
+_LINE = "CASE seq % 5 WHEN 0 THEN concat(CAST(quantity AS STRING), '% ', cas, ' x') WHEN 1 THEN concat(cas, ' ', content, ' 3 ', '64-17-5') WHEN 2 THEN concat('<', CAST(quantity AS STRING), ' ', cas) WHEN 3 THEN concat(cas, ' 1 ~ ', CAST(quantity + 1 AS STRING), ' % 99% none') ELSE concat('a ', cas, ' b') END"
+_OCR_AMOUNT = r"(?:[<>≤≥≦≧]\s*)?[0-9]+(?:\.[0-9]+)?(?:\s*(?:~|∼|～|–|—|to)\s*[<>≤≥≦≧]?\s*[0-9]+(?:\.[0-9]+)?)?"
+_OCR_SQL = f"""
+WITH l AS (SELECT doc_id, seq, cas AS own, {_LINE} AS line FROM component), n AS (SELECT doc_id, seq, line, unnest(CASE WHEN seq % 5 = 1 THEN [own, '64-17-5'] ELSE [own] END) AS cas, unnest(CASE WHEN seq % 5 = 1 THEN [0, 1] ELSE [0] END) AS nth FROM l),
+r AS (SELECT doc_id, seq, cas, nth, line, trim(substr(line, instr(line, cas) + length(cas)) || ' ' || left(line, instr(line, cas) - 1)) AS rest FROM n),
+c AS (SELECT doc_id, seq, cas, nth, CASE WHEN len(regexp_extract_all(rest, '{_OCR_AMOUNT}\\s*%', 0)) > 0 THEN list_reverse(regexp_extract_all(rest, '{_OCR_AMOUNT}\\s*%', 0)) ELSE [regexp_extract_all(rest, '{_OCR_AMOUNT}', 0)[-1]] END AS found FROM r),
+e AS (SELECT doc_id, seq, cas, nth, unnest(found) AS raw, unnest(range(1, len(found) + 1)) AS i FROM c)"""
+
+
+@query("ext07_ocr_pairs", f"""{_OCR_SQL},
+k AS (SELECT * FROM ({N.normalise_sql("SELECT * FROM e WHERE raw IS NOT NULL", "raw", "content")}) WHERE content <> '미기재%' AND {_CHECK})
+SELECT doc_id, cas, content FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, cas ORDER BY seq, nth, i, content) = 1""")
 def ocr_pairs(t: Tables) -> DataFrame:
-    """After a number on its line: the last explicit percentage, else the last figure."""
-    line = F.concat_ws(" ", "name", "cas", "content")
-    rows = t.component.select("doc_id", "seq", "cas", F.get(F.split(line, F.concat(F.lit(r"\Q"), "cas", F.lit(r"\E"))), F.lit(1)).alias("rest"))
-    last = lambda p: F.try_element_at(F.regexp_extract_all("rest", F.lit(p), 0), F.lit(-1))
-    amount = F.coalesce(last(r"[0-9]+(?:\.[0-9]+)?\s*%"), last(N.NUMBER))
-    return rows.select("doc_id", "seq", "cas", amount.alias("amount")).where("amount IS NOT NULL")
+    """For each number of a line the last explicit percentage of what follows it and what stands before it, else the last figure, if either is an amount; of a
+    document's repeated numbers the first with an amount."""
+    lines = t.component.select("doc_id", "seq", F.expr(_LINE).alias("line"))
+    each = lines.select("doc_id", "seq", "line", F.posexplode(F.regexp_extract_all("line", F.lit(C.TOKEN), 1)).alias("nth", "cas")).where(C.checksum_holds(F.col("cas")))
+    at = F.instr("line", F.col("cas"))
+    rest = F.trim(F.concat(F.substr("line", at + F.length("cas")), F.lit(" "), F.substr("line", F.lit(1), at - 1)))
+    explicit = F.regexp_extract_all(rest, F.lit(_OCR_AMOUNT + r"\s*%"), 0)
+    found = F.when(F.size(explicit) > 0, F.reverse(explicit)).otherwise(F.slice(F.reverse(F.regexp_extract_all(rest, F.lit(_OCR_AMOUNT), 0)), 1, 1))
+    raw = each.select("doc_id", "seq", "nth", "cas", F.posexplode(found).alias("i", "raw"))
+    amounts = N.normalise(raw, "raw", "content").where(F.col("content") != N.MISSING)
+    first = F.min(F.struct("seq", "nth", "i", "content")).alias("x")
+    return amounts.groupBy("doc_id", "cas").agg(first).select("doc_id", "cas", "x.content")
 
 
 @query("ext08_quality_control", f"""

@@ -115,7 +115,7 @@ CARRIERS: dict[str, tuple[str, dict[str, str]]] = {
         "x0": "CAST(l_suppkey % 100 * 6 AS BIGINT)", "y0": "CAST(l_partkey % 60 * 4 AS BIGINT)",
         "width": "12 + CAST(floor(l_quantity) AS BIGINT) % 30", "height": "8 + l_partkey % 5",
         "id": "l_orderkey * 1000000 + CAST(l_linenumber AS BIGINT) * 100000 + l_partkey * 3 + l_suppkey % 3",
-        "text": "concat('w', CAST(l_partkey % 50 AS STRING))",
+        "text": domain.choose_sql("l_partkey + l_linenumber", domain.VOCABULARY),
     }),
 }
 #: Carriers may be named after raw tables no more than once: the rest of the names are the raw tables.

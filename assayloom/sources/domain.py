@@ -79,6 +79,20 @@ SECRET_TEXTS = (
     r"(api[_-]?key|authorization|private[_-]?key)\s*[:=]\s*[^\s,]+",
 )
 FORBIDDEN_FILES, SHARE_BYTES = ("config.json", "smu_cache.json", "msds_cache_registry.json"), 50 * 1024 * 1024
+# Headings, fields and words of a sheet, by the patterns of a page's lines.
+HEADING_3, HEADING_4, HEADING_5, HEADING_6 = r"(3|삼)\s*항?.*?([구성|성분|명칭|함량|기재]{2,})", r"(4|사)\s*항?.*?([응급|조치|처치|요령|구급]{2,})", r"(5|오)\s*항?.*?([폭발|화재|소화|대처]{2,})", r"(6|육)\s*항?.*?([누출|사고|방지|대책]{2,})"
+EXIT_HEADING = r"4\s*[.:항-]*\s*(응\s*급\s*조\s*치|first\s*aid)"
+CONTENT_FIELDS = r"함유량|함량|농도"
+# Cells of a table's header, and words of columns that hold no content.
+HEADER_CELLS = ("cas", "casno", "cas번호", "cas-no", "함유량", "함량", "content", "구성성분", "화학물질명", "substance", "물질명", "명칭", "chemicalname", "weight")
+NOISE_CELLS = ("twa", "stel", "pel", "tlv", "mg/m", "mg/㎥", "노출기준", "exposure")
+# What no product's name holds.
+NO_PRODUCT, NO_PRODUCT_BARE = ("미추출", "확인", "실패", "오류", "error", "unknown", "none", "null", "N/A"), ("물질안정", "보건자료", "MSDS", "SDS", "안전보건")
+#: Words from which the carrier of words draws.
+VOCABULARY = (
+    "3.구성성분의명칭및함유량", "4.응급조치요령", "5.폭발화재시대처방법", "6.누출사고시대처방법", "성분", "CAS", "함유량", "64-17-5", "67-64-1", "50%", "1~5", "7440-22-4", "polymer", "Solvent", "물질", "note", "12.50", "wt",
+    "ingredient", "name", "64-17-6", "Ethanol", "cas번호", "농도", "<2", "고분자", "항목", "first", "aid", "page", "2", "은", "아세톤", "resin", "미만", "비고", "A12", "purity", "clear", "oil", "4.first", "EC", "202-016-5", "X", "etc", "red", "blue", "mix", "7.취급", "end",
+)
 # Lights and their colours.
 LIGHTS = (("🟢", 0x50B000), ("🟡", 0x00C0FF), ("🔴", 0x0000FF), ("🔵", 0xFF7000), ("⚪", 0xA6A6A6))
 # Seconds by type of document.

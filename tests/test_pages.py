@@ -82,7 +82,8 @@ def test_html_rows(spark):
 
 
 def test_logical_rows_hold_what_comes_first():
-    import pandas as pd
-
-    rows = pd.DataFrame({"doc_id": 1, "page": 1, "line": [1, 2, 3, 4], "y": [10, 20, 30, 200], "anchor": [False, True, False, False]})
-    assert logical_rows(rows)["row"].tolist() == [2, 2, 2, -1]
+    rows = lambda *lines: logical_rows([(y, i, text, anchor) for i, (y, text, anchor) in enumerate(lines, 1)])
+    assert rows((10, "a", False), (20, "64-17-5", True), (30, "b", False), (200, "c", False)) == [2, 2, 2, -1]
+    assert rows((10, "3.50%", False), (12, "wt 3.50%", False), (15, "12.50", False), (20, "x", True)) == [-1, 4, -1, 4]
+    assert rows((10, "x", True), (20, "Ingredient name y", False), (30, "z", False), (40, "w", True)) == [1, 4, 4, 4]
+    assert rows((10, "x", True), (80, "b", False), (150, "c", False), (240, "d", False)) == [1, 1, 1, -1]
