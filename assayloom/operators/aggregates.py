@@ -149,13 +149,18 @@ def strictest_limit(t: Tables) -> DataFrame:
     return t.master.withColumn("twa", limit).where("twa > 0").groupBy("cas").agg(F.min(F.struct("twa", "ord")).alias("x")).select("cas", "x.ord", "x.twa")
 
 
-@query("agg16_unique_limit", """
-WITH r AS (SELECT ord AS request, cas, TRY_CAST(twa AS DOUBLE) AS wanted FROM master), h AS (SELECT r.request, m.ord FROM r JOIN master m USING (cas) WHERE abs(TRY_CAST(m.twa AS DOUBLE) - r.wanted) < 0.00001)
+_WANTED = "CASE WHEN ord % 2 = 0 THEN TRY_CAST(twa AS DOUBLE) ELSE TRY_CAST(twa AS DOUBLE) * 2 + 0.000001 END"
+
+
+@query("agg16_unique_limit", f"""
+WITH r AS (SELECT ord AS request, cas, {_WANTED} AS wanted FROM master), h AS (SELECT r.request, m.ord FROM r JOIN master m USING (cas) WHERE abs(TRY_CAST(m.twa AS DOUBLE) - r.wanted) < 0.00001 OR abs(TRY_CAST(m.twa AS DOUBLE) * 2 - r.wanted) < 0.00001)
 SELECT request, any_value(ord) AS profile FROM h GROUP BY request HAVING count(*) = 1""")
 def unique_limit(t: Tables) -> DataFrame:
-    limits = t.master.select("cas", "ord", F.col("twa").try_cast("double").alias("twa"))
-    asked = limits.select("cas", F.col("ord").alias("request"), F.col("twa").alias("wanted"))
-    return asked.join(limits, "cas").where(F.abs(F.col("twa") - F.col("wanted")) < 1e-5).groupBy("request").agg(F.count("*").alias("n"), F.min("ord").alias("profile")).where("n = 1").select("request", "profile")
+    """The one profile of a number whose limit is the wanted one, in either unit. (Carrier: the second unit's is twice the first's.)"""
+    limits = t.master.select("cas", "ord", F.col("twa").try_cast("double").alias("ppm"), (F.col("twa").try_cast("double") * 2).alias("mg"))
+    asked = t.master.selectExpr("cas", "ord AS request", f"{_WANTED} AS wanted")
+    hit = (F.abs(F.col("ppm") - F.col("wanted")) < 1e-5) | (F.abs(F.col("mg") - F.col("wanted")) < 1e-5)
+    return asked.join(limits, "cas").where(hit).groupBy("request").agg(F.count("*").alias("n"), F.min("ord").alias("profile")).where("n = 1").select("request", "profile")
 
 
 @query("agg17_method_summary", """
@@ -170,18 +175,25 @@ def method_summary(t: Tables) -> DataFrame:
     return s.crossJoin(F.broadcast(best)).select("method", F.round("mean", 3).alias("mean_cents"), "calls", F.round("rate", 3).alias("success_rate"), "pass", (F.col("method") == F.col("best.method")).alias("recommended"))
 
 
-@query("agg18_page_calls", "SELECT doc_id, array_to_string(list_sort(list(CAST(page AS STRING) || ':' || CAST(n AS STRING))), ',') AS calls FROM (SELECT doc_id, page, count(*) AS n FROM component GROUP BY doc_id, page) GROUP BY doc_id")
+@query("agg18_page_calls", "SELECT doc_id, array_to_string(list_sort(list(CAST(page AS STRING) || ':' || CAST(n AS STRING) || ':' || CAST(seconds AS STRING))), ',') AS calls, CAST(sum(n) AS BIGINT) AS total FROM (SELECT doc_id, page, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS seconds FROM component GROUP BY doc_id, page) GROUP BY doc_id")
 def page_calls(t: Tables) -> DataFrame:
-    pages = t.component.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
-    item = F.concat(F.col("page").cast("string"), F.lit(":"), F.col("n").cast("string"))
-    return pages.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(item)), ",").alias("calls"))
+    """Calls and seconds of each page of a document, and all its calls."""
+    pages = t.component.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.sum("quantity").alias("seconds"))
+    item = F.concat_ws(":", *(F.col(c).cast("string") for c in ("page", "n", "seconds")))
+    return pages.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(item)), ",").alias("calls"), F.sum("n").alias("total"))
+
 
+#: Hundredths of a page that its images cover, each added up and none counted beyond the whole page.
+_AREA = "least(100, images * 30 + large_images * 35)"
 
-@query("agg19_text_stats", "SELECT file_hash, round(avg(chars), 6) AS mean_chars, CAST(sum(images) AS BIGINT) AS images, count(*) FILTER (WHERE large_images > 0) AS large_pages FROM (SELECT * FROM document QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY doc_id) <= 3) GROUP BY file_hash")
+
+@query("agg19_text_stats", f"""
+SELECT file_hash, round(avg(chars), 6) AS mean_chars, count(*) FILTER (WHERE images > 0) AS image_pages, count(*) FILTER (WHERE {_AREA} >= 55) AS large_pages, CAST(max({_AREA}) AS BIGINT) AS most FROM (SELECT * FROM document QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY doc_id) <= 3) GROUP BY file_hash""")
 def text_stats(t: Tables) -> DataFrame:
-    """Over the first three pages of each file."""
+    """Over the first three pages of each file: characters, pages with images, and pages of which images cover 55 hundredths."""
     nth = F.row_number().over(Window.partitionBy("file_hash").orderBy("doc_id"))
-    return t.document.withColumn("nth", nth).where("nth <= 3").groupBy("file_hash").agg(F.round(F.avg("chars"), 6).alias("mean_chars"), F.sum("images").alias("images"), F.count_if(F.col("large_images") > 0).alias("large_pages"))
+    first = t.document.withColumn("nth", nth).where("nth <= 3").withColumn("area", F.expr(_AREA))
+    return first.groupBy("file_hash").agg(F.round(F.avg("chars"), 6).alias("mean_chars"), F.count_if(F.col("images") > 0).alias("image_pages"), F.count_if(F.col("area") >= 55).alias("large_pages"), F.max("area").alias("most"))
 
 
 @query("agg20_coverage", f"""
@@ -192,13 +204,6 @@ def coverage(t: Tables) -> DataFrame:
     return counts.withColumn("covered", F.col("stated") == F.col("extracted"))
 
 
-@query("agg21_severity_counts", """
-WITH i AS (SELECT CASE WHEN ord % 3 = 0 AND NOT active THEN 'ERROR' WHEN twa = '-' THEN 'WARNING' ELSE 'INFO' END AS severity FROM master) SELECT severity, count(*) AS n, severity <> 'ERROR' AS pass FROM i GROUP BY severity""")
-def severity_counts(t: Tables) -> DataFrame:
-    severity = F.when((F.col("ord") % 3 == 0) & ~F.col("active"), "ERROR").when(F.col("twa") == "-", "WARNING").otherwise("INFO")
-    return t.master.groupBy(severity.alias("severity")).agg(F.count("*").alias("n")).withColumn("pass", F.col("severity") != "ERROR")
-
-
 @query("agg22_first_failure", "SELECT trace_id, event, seq FROM journal WHERE event IN ('failure', 'candidate_rejected') QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY CASE event WHEN 'failure' THEN 0 ELSE 1 END, seq) = 1")
 def first_failure(t: Tables) -> DataFrame:
     bad = t.journal.where(F.col("event").isin("failure", "candidate_rejected"))

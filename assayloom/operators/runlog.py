@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..catalog import Tables, query
 from ..sources import domain as D
-from .scalars import redact_json
+from .scalars import _INTEGRITY, integrity_of, redact_json
 
 
 @query("lin01_lineage", """
@@ -237,11 +237,11 @@ def correction_reasons(t: Tables) -> DataFrame:
     return rows.withColumn("done", done).select("doc_id", reasons.alias("reasons"), "done").where("reasons <> ''")
 
 
-@query("ver09_light_transition", "SELECT doc_id, CASE WHEN chars % 3 = 0 THEN '🟢' WHEN status = 'failed' THEN '🔴' WHEN status = 'timeout' THEN '🟡' ELSE '🟢' END AS light FROM document")
+@query("ver09_light_transition", f"WITH i AS ({_INTEGRITY}) SELECT i.doc_id, CASE WHEN NOT coalesce(bad, false) AND i.product_seen <> '' THEN '🟢' WHEN d.status = 'failed' THEN '🔴' WHEN d.status = 'timeout' THEN '🟡' ELSE '🟢' END AS light FROM i JOIN document d USING (doc_id)")
 def light_transition(t: Tables) -> DataFrame:
     """A full score turns the light green, else an earlier red or yellow stays."""
-    light = F.when(F.col("chars") % 3 == 0, "🟢").when(F.col("status") == "failed", "🔴").when(F.col("status") == "timeout", "🟡").otherwise("🟢")
-    return t.document.select("doc_id", light.alias("light"))
+    light = F.when(F.col("score") == 100, "🟢").when(F.col("status") == "failed", "🔴").when(F.col("status") == "timeout", "🟡").otherwise("🟢")
+    return integrity_of(t).select("doc_id", light.alias("light"))
 
 
 @query("ver10_guidance", """

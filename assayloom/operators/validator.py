@@ -135,7 +135,7 @@ def _from(table: str, when: str, code: str, entity: str, key: str, severity: str
     return f"SELECT '{severity}' AS severity, '{code}' AS code, '{entity}' AS entity, CAST({key} AS STRING) AS entity_id FROM {table} WHERE {when}"
 
 
-@query("etl06_validator", f"""
+_REPORT = f"""
 WITH {", ".join(map(_carrier_sql, _CARRIERS))}, named AS (SELECT * FROM profile WHERE profile_id IS NOT NULL),
 known AS (SELECT profile_id, bool_or(active) AS active, max(cas_no) AS cas_no, max(canonical_name) AS canonical_name FROM named GROUP BY profile_id),
 rel AS ({_ENDS.format("relation")}), rul AS ({_ENDS.format("rule")}), goal AS (SELECT r.*, k.cas_no, k.canonical_name FROM rule r JOIN known k ON k.profile_id = r.target),
@@ -159,8 +159,18 @@ ref AS (SELECT {_PATHS} AS path FROM nation), txt AS (SELECT {_TEXTS} AS text FR
     _from("(SELECT 1)", "297 <> 300", "SOURCE_ROW_COUNT_MISMATCH", "dataset", "NULL"), _from("(SELECT count(*) FILTER (WHERE source_version = 'msds_index_V24') AS n FROM profile)", "n <> 300", "MASTER_PROFILE_COUNT_MISMATCH", "dataset", "NULL"),
     _from("(SELECT 1)", "305 <> 304", "REVIEW_DECISION_COUNT_MISMATCH", "dataset", "NULL"), _from("ref", "path NOT IN (SELECT n_name FROM nation)", "REFERENCE_PATH_MISSING", "path", "path"),
     _from("txt, old", "contains(text, path)", "OLD_PATH_REFERENCE", "path", "path"),
-))}""")
+))}"""
+
+
+@query("etl06_validator", _REPORT)
 def validate_index(t: Tables) -> DataFrame:
     referenced, present = t.nation.select(F.expr(_PATHS).alias("path")), t.nation.select(F.col("n_name").alias("path"))
     texts = t.nation.select(F.col("n_name").alias("path"), F.expr(_TEXTS).alias("text"))
     return issues(*(carrier(t, n) for n in _CARRIERS), expected=300, source_rows=297, decisions=(305, 304), referenced=referenced, present=present, texts=texts)
+
+
+@query("agg21_severity_counts", _REPORT.replace("SELECT 'ERROR' AS severity, 'DUPLICATE_PROFILE_ID'", "report AS (SELECT 'ERROR' AS severity, 'DUPLICATE_PROFILE_ID'", 1).replace("VALUES ('old/index_V23'), ('legacy.xlsx'))", "VALUES ('old/index_V23'), ('legacy.xlsx')),", 1) + ")\nSELECT count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, CASE WHEN count(*) FILTER (WHERE severity = 'ERROR') = 0 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM report")
+def severity_counts(t: Tables) -> DataFrame:
+    """The validator's report in a line: it passes if it holds no error."""
+    n = lambda kind: F.count_if(F.col("severity") == kind)
+    return validate_index(t).agg(n("ERROR").alias("errors"), n("WARNING").alias("warnings"), F.when(n("ERROR") == 0, "PASS").otherwise("FAIL").alias("outcome"))

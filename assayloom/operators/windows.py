@@ -116,14 +116,21 @@ def card_blocks(t: Tables) -> DataFrame:
     return opens.select("doc_id", "page", "line", island(F.col("opens"), ["doc_id", "page"], ["line"]).alias("block"))
 
 
-@query("win06_back_fill", """
-WITH r AS (SELECT doc_id, seq, CASE WHEN content IN ('', '미기재%') THEN NULL ELSE content END AS stated FROM component)
-SELECT doc_id, seq, coalesce(first_value(stated IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), '미기재%') AS content FROM r""")
+_LONE = "(seq + quantity) % 4 = 0"
+
+
+@query("win06_back_fill", f"""
+WITH r AS (SELECT doc_id, seq, cas, {_LONE} AS lone, content, CASE WHEN content IN ('', '미기재%') THEN NULL WHEN {_LONE} THEN 'L' || content ELSE 'S' END AS mark FROM component),
+n AS (SELECT *, first_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq, content ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM r)
+SELECT doc_id, seq, CASE WHEN content NOT IN ('', '미기재%') THEN content WHEN starts_with(next, 'L') THEN substr(next, 2) ELSE '미기재%' END AS content FROM n WHERE NOT lone""")
 def back_fill(t: Tables) -> DataFrame:
-    """A missing content takes the next stated one below it."""
-    stated = F.when(~F.col("content").isin("", N.MISSING), F.col("content"))
-    below = W.partitionBy("doc_id").orderBy("seq").rowsBetween(W.currentRow, W.unboundedFollowing)
-    return t.component.select("doc_id", "seq", F.coalesce(F.first(stated, ignorenulls=True).over(below), F.lit(N.MISSING)).alias("content"))
+    """A row of a content alone fills the missing rows right above it, up to one that states its own. (Carrier: every fourth row has no number.)"""
+    lone, stated = F.expr(_LONE), ~F.col("content").isin("", N.MISSING)
+    mark = F.when(stated, F.when(lone, F.concat(F.lit("L"), "content")).otherwise("S"))
+    below = W.partitionBy("doc_id").orderBy("seq", "content").rowsBetween(1, W.unboundedFollowing)
+    rows = t.component.withColumn("next", F.first(mark, ignorenulls=True).over(below)).where(~lone)
+    filled = F.when(stated, F.col("content")).when(F.startswith("next", F.lit("L")), F.substr("next", F.lit(2))).otherwise(N.MISSING)
+    return rows.select("doc_id", "seq", filled.alias("content"))
 
 
 _RUNS = """
@@ -151,9 +158,19 @@ def serial_numbers(t: Tables) -> DataFrame:
     return g.withColumn("takes", takes).select("doc_id", "run", (upto - F.col("takes") + 1).alias("first_number"), "takes")
 
 
-@query("win09_skipped_groups", "SELECT doc_id, bool_and(content IN ('', '미기재%', '0') OR quantity <= 5) AS skipped FROM component GROUP BY doc_id")
+_TIMES = "CASE (doc_id + quantity) % 9 WHEN 0 THEN '3' WHEN 1 THEN '횟수조정' WHEN 2 THEN ' 0 ' ELSE '' END"
+_COUNT = "CASE doc_id % 6 WHEN 0 THEN 'x' WHEN 1 THEN '-2' WHEN 2 THEN '' WHEN 3 THEN '2.7' ELSE '3' END"
+
+
+@query("win09_skipped_groups", f"""
+WITH g AS (SELECT doc_id, bool_and(trim({_TIMES}) IN ('횟수조정', '0', '')) AS adjusted, coalesce(TRY_CAST({_COUNT} AS DOUBLE), 0) AS n FROM component GROUP BY doc_id)
+SELECT doc_id, adjusted OR trunc(n) <= 0 AS skipped, CASE WHEN adjusted OR trunc(n) <= 0 THEN 0 ELSE CAST(trunc(n) AS BIGINT) END AS numbers FROM g""")
 def skipped_groups(t: Tables) -> DataFrame:
-    return t.component.groupBy("doc_id").agg(F.every(F.col("content").isin("", N.MISSING, "0") | (F.col("quantity") <= 5)).alias("skipped"))
+    """A group gets no numbers if all its rows are adjusted, nought or blank, or if its count is no positive number; a fraction counts down."""
+    g = t.component.groupBy("doc_id").agg(F.every(F.trim(F.expr(_TIMES)).isin("횟수조정", "0", "")).alias("adjusted"))
+    n = F.coalesce(F.expr(_COUNT).try_cast("double").cast("long"), F.lit(0))
+    skipped = F.col("adjusted") | (n <= 0)
+    return g.select("doc_id", skipped.alias("skipped"), F.when(skipped, 0).otherwise(n).cast("long").alias("numbers"))
 
 
 @query("win10_row_height", "WITH g AS (SELECT doc_id, count(*) AS n, sum(quantity) AS fit FROM component GROUP BY doc_id) SELECT doc_id, least(greatest(25.0 * (2 * n + 1), fit, 25.0 * n) / n, 409.0)::DOUBLE AS height FROM g")
@@ -172,14 +189,21 @@ def family_labels(t: Tables) -> DataFrame:
     return t.master.join(heads, "cas").select("ord", label.alias("label"))
 
 
-@query("win12_parent_to_child", """
-WITH k AS (SELECT p.ord, c.ord AS child, count(*) OVER (PARTITION BY p.ord) AS n FROM master p JOIN master c ON p.cas = c.cas AND p.ord <> c.ord AND split_part(p.name, ' ', 1) = split_part(c.name, ' ', 1) WHERE p.parent) SELECT ord, child FROM k WHERE n = 1""")
+_SIBLING = "CASE ord % 7 WHEN 4 THEN concat('Salt ', cas) WHEN 5 THEN CASE WHEN ord % 2 = 0 THEN concat('Salt ', cas, ' dust') ELSE 'a much longer synonym' END WHEN 6 THEN CASE WHEN ord % 3 = 0 THEN concat('Salt ', cas, ' fume') ELSE 'another much longer synonym' END ELSE concat('x', CAST(ord AS STRING)) END"
+_SIBLING_CAS = "CASE WHEN (ord - ord % 7) % 49 = 0 AND ord % 7 > 3 THEN '14807-96-6' ELSE cas END"
+
+
+@query("win12_parent_to_child", f"""
+WITH m AS (SELECT ord, {_SIBLING_CAS} AS cas, {_SIBLING} AS name FROM master), p AS (SELECT cas, min_by(name, (length(name), name)) AS parent FROM m GROUP BY cas),
+k AS (SELECT p.cas, p.parent, min(m.name) AS child, count(DISTINCT m.name) AS n FROM p JOIN m USING (cas) WHERE m.name <> p.parent AND contains(m.name, p.parent) GROUP BY ALL)
+SELECT m.ord, coalesce(k.child, m.name) AS name FROM m LEFT JOIN k ON k.cas = m.cas AND k.parent = m.name AND k.n = 1 AND k.cas <> '14807-96-6'""")
 def parent_to_child(t: Tables) -> DataFrame:
-    """A parent is replaced where exactly one sibling carries its name."""
-    head = F.substring_index("name", " ", 1)
-    p = t.master.where("parent").select("ord", "cas", head.alias("head"))
-    c = t.master.select(F.col("ord").alias("child"), "cas", head.alias("head"))
-    return p.join(c, ["cas", "head"]).where("ord <> child").groupBy("ord").agg(F.count("*").alias("n"), F.min("child").alias("child")).where("n = 1").select("ord", "child")
+    """An item that is the shortest name of its number becomes the one sibling that carries this name, if there is just one; one number is exempt."""
+    m = t.master.selectExpr("ord", f"{_SIBLING_CAS} AS cas", f"{_SIBLING} AS name")
+    p = m.groupBy("cas").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("parent"))
+    children = m.select("cas", "name").distinct().join(p.where("cas <> '14807-96-6'"), "cas").where((F.col("name") != F.col("parent")) & F.contains("name", F.col("parent")))
+    one = children.groupBy("cas", F.col("parent")).agg(F.count("*").alias("n"), F.min("name").alias("child")).where("n = 1").select("cas", F.col("parent").alias("name"), "child")
+    return m.join(one, ["cas", "name"], "left").select("ord", F.coalesce("child", "name").alias("name"))
 
 
 @query("win13_anchor_relations", """
@@ -203,16 +227,22 @@ def keep_first(t: Tables) -> DataFrame:
     return t.component.groupBy("doc_id", "cas").agg(F.min(F.struct("seq", "content")).alias("x")).select("doc_id", "cas", "x.seq", "x.content")
 
 
-@query("win16_context", "SELECT doc_id, seq, array_to_string(list(content) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 12 FOLLOWING), '|') AS context FROM component")
+@query("win16_context", "SELECT doc_id, seq, array_to_string(list_sort(list_distinct(list(content) OVER (PARTITION BY doc_id ORDER BY seq, content ROWS BETWEEN 2 PRECEDING AND 12 FOLLOWING))), '|') AS context FROM component")
 def context(t: Tables) -> DataFrame:
-    frame = W.partitionBy("doc_id").orderBy("seq").rowsBetween(-2, 12)
-    return t.component.select("doc_id", "seq", F.array_join(F.collect_list("content").over(frame), "|").alias("context"))
+    """The different lines from two above to twelve below, in order of their texts."""
+    frame = W.partitionBy("doc_id").orderBy("seq", "content").rowsBetween(-2, 12)
+    return t.component.select("doc_id", "seq", F.array_join(F.array_sort(F.array_distinct(F.collect_list("content").over(frame))), "|").alias("context"))
 
 
-@query("win17_polymer_context", "SELECT doc_id, seq, bool_or(quantity = 50) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS polymer FROM component")
+@query("win17_polymer_context", f"""
+WITH {_LINES}, k AS (SELECT doc_id, page, line, bool_or(contains(text, 'polymer') OR contains(text, '고분자')) AS named, bool_or(regexp_matches(text, '(^|[^0-9-])[0-9]{{2,7}}-[0-9]{{2}}-[0-9]([^0-9-]|$)')) AS number FROM l GROUP BY ALL),
+p AS (SELECT *, bool_or(named) OVER (PARTITION BY doc_id, page ORDER BY line ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS polymer FROM k) SELECT doc_id, page, line, polymer FROM p WHERE number""")
 def polymer_context(t: Tables) -> DataFrame:
-    frame = W.partitionBy("doc_id").orderBy("seq").rowsBetween(-3, 3)
-    return t.component.select("doc_id", "seq", F.bool_or(F.col("quantity") == 50).over(frame).alias("polymer"))
+    """Of each line with a number whether a polymer is named within three lines of it."""
+    named = F.contains("text", F.lit("polymer")) | F.contains("text", F.lit("고분자"))
+    k = visual_lines(t.word).groupBy("doc_id", "page", "line").agg(F.bool_or(named).alias("named"), F.bool_or(F.col("text").rlike(C.TOKEN)).alias("number"))
+    around = W.partitionBy("doc_id", "page").orderBy("line").rowsBetween(-3, 3)
+    return k.withColumn("polymer", F.bool_or("named").over(around)).where("number").select("doc_id", "page", "line", "polymer")
 
 
 def retained(runs_: Column, limit: int, most: int, now: int, age: int) -> Column:
@@ -237,10 +267,16 @@ def retention(t: Tables) -> DataFrame:
     return runs_.select("trace_id", retained(F.col("runs"), 120_000, 5, 40, 30).alias("kept"))
 
 
-@query("win19_queue", "SELECT doc_id, process, row_number() OVER (PARTITION BY process ORDER BY CASE doc_type WHEN 'text' THEN 0 WHEN 'mixed' THEN 1 ELSE 2 END, doc_id) AS position, count(*) OVER (PARTITION BY process) AS queued FROM document")
+@query("win19_queue", """
+WITH q AS (SELECT doc_id, day, chars, row_number() OVER (PARTITION BY day ORDER BY CASE doc_type WHEN 'text' THEN 0 WHEN 'mixed' THEN 1 ELSE 2 END, doc_id) AS position, count(*) OVER (PARTITION BY day) AS queued FROM document)
+SELECT doc_id, position, queued, CASE WHEN chars % 10 = 0 THEN 0.0 ELSE round(greatest(0.0, position * 30.125 - chars), 3) END::DOUBLE AS wait_seconds FROM q""")
 def queue(t: Tables) -> DataFrame:
+    """A day's run: place and length of its queue, and how long a document waited since it was queued (0 where that is not known)."""
     rank = F.when(F.col("doc_type") == "text", 0).when(F.col("doc_type") == "mixed", 1).otherwise(2)
-    return t.document.select("doc_id", "process", F.row_number().over(W.partitionBy("process").orderBy(rank, "doc_id")).cast("long").alias("position"), F.count("*").over(W.partitionBy("process")).alias("queued"))
+    by = W.partitionBy("day")
+    rows = t.document.select("doc_id", "chars", F.row_number().over(by.orderBy(rank, "doc_id")).cast("long").alias("position"), F.count("*").over(by).alias("queued"))
+    wait = F.when(F.col("chars") % 10 == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.col("position") * 30.125 - F.col("chars")), 3))
+    return rows.select("doc_id", "position", "queued", wait.alias("wait_seconds"))
 
 
 @query("win20_forward_fill", "SELECT doc_id, seq, last_value(CASE WHEN seq % 3 = 0 THEN name END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq) AS name FROM component")
@@ -314,10 +350,19 @@ def first_k(t: Tables) -> DataFrame:
     return t.component.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("seq"))).where("n <= 3").select("doc_id", "seq")
 
 
-@query("srt10_priority_images", "SELECT trace_id, seq, stage FROM journal QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY CASE stage WHEN 'stage-4' THEN 0 WHEN 'stage-2' THEN 1 ELSE 99 END, stage, seq) <= 10")
+#: Tokens of images, the most wanted first.
+IMAGE_PRIORITY = ("section3_crop", "sandwich_crop", "recon_ocr", "overlay", "table", "section3_page")
+_IMAGE = "concat(" + D.choose_sql("seq + trace_id", (*IMAGE_PRIORITY, "photo", "scan")) + ", '_', CAST(seq AS STRING), '.png')"
+_IMAGE_RANK = "CASE " + " ".join(f"WHEN contains(name, '{w}') THEN {n}" for n, w in enumerate(IMAGE_PRIORITY)) + " ELSE 99 END"
+
+
+@query("srt10_priority_images", f"""
+WITH i AS (SELECT trace_id, {_IMAGE} AS name FROM journal) SELECT trace_id, name FROM i QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY {_IMAGE_RANK}, name) <= 10""")
 def priority_images(t: Tables) -> DataFrame:
-    rank = F.when(F.col("stage") == "stage-4", 0).when(F.col("stage") == "stage-2", 1).otherwise(99)
-    return t.journal.withColumn("n", F.row_number().over(W.partitionBy("trace_id").orderBy(rank, "stage", "seq"))).where("n <= 10").select("trace_id", "seq", "stage")
+    """Ten images of each trace: by the first token that the name holds, then by name."""
+    images = t.journal.select("trace_id", F.expr(_IMAGE).alias("name"))
+    order = W.partitionBy("trace_id").orderBy(F.expr(_IMAGE_RANK), "name")
+    return images.withColumn("n", F.row_number().over(order)).where("n <= 10").drop("n")
 
 
 @query("srt11_nearest", "SELECT doc_id, page, id, x0 FROM word QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY abs(x0 - 200), id) = 1")

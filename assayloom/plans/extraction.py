@@ -28,13 +28,19 @@ def page_text(t: Tables) -> DataFrame:
     return t.component.groupBy("doc_id", "page").agg(lines.alias("lines")).select("doc_id", "page", F.concat(head, "lines").alias("text"))
 
 
-@query("seg01_section_pages", f"WITH {_PAGES}, s AS (SELECT doc_id, min(page) AS start FROM page_text WHERE contains(text, '3. 구성성분') GROUP BY doc_id) SELECT p.doc_id, p.page FROM page_text p JOIN s USING (doc_id) WHERE p.page >= s.start AND (p.page = s.start OR NOT contains(p.text, '4. first aid') OR regexp_matches(p.text, '[0-9]{{2,7}}-[0-9]{{2}}-[0-9]'))")
+@query("seg01_section_pages", f"""
+WITH {_PAGES}, s AS (SELECT doc_id, min(page) AS start FROM page_text WHERE contains(text, '3. 구성성분') GROUP BY doc_id),
+e AS (SELECT p.doc_id, min(p.page) AS stop FROM page_text p JOIN s USING (doc_id) WHERE p.page > s.start AND contains(p.text, '4. first aid') AND NOT regexp_matches(p.text, '[0-9]{{2,7}}-[0-9]{{2}}-[0-9]') GROUP BY p.doc_id)
+SELECT p.doc_id, p.page FROM page_text p JOIN s USING (doc_id) LEFT JOIN e USING (doc_id) WHERE p.page BETWEEN s.start AND s.start + 2 AND (e.stop IS NULL OR p.page < e.stop)""")
 def section_pages(t: Tables) -> DataFrame:
-    """From the first page with the section's heading; a page with the next heading stays only if numbers follow it."""
+    """From the first page with the section's heading three pages at most, up to one with the next heading and no number."""
     pages = page_text(t)
-    start = pages.where(F.contains("text", F.lit("3. 구성성분"))).groupBy("doc_id").agg(F.min("page").alias("start"))
-    goes_on = ~F.contains("text", F.lit("4. first aid")) | F.col("text").rlike("[0-9]{2,7}-[0-9]{2}-[0-9]")
-    return pages.join(start, "doc_id").where((F.col("page") >= F.col("start")) & ((F.col("page") == F.col("start")) | goes_on)).select("doc_id", "page")
+    leaves = F.contains("text", F.lit("4. first aid")) & ~F.col("text").rlike("[0-9]{2,7}-[0-9]{2}-[0-9]")
+    by = W.partitionBy("doc_id")
+    start = F.min(F.when(F.contains("text", F.lit("3. 구성성분")), F.col("page"))).over(by)
+    rows = pages.withColumn("start", start)
+    rows = rows.withColumn("stop", F.min(F.when(leaves & (F.col("page") > F.col("start")), F.col("page"))).over(by))
+    return rows.where("page BETWEEN start AND start + 2 AND (stop IS NULL OR page < stop)").select("doc_id", "page")
 
 
 @query("seg02_section_slice", f"WITH {_PAGES} SELECT doc_id, page, CASE WHEN instr(text, '구성성분') > 0 THEN substr(text, instr(text, '구성성분') + 4) WHEN instr(text, 'product') > 0 THEN substr(text, instr(text, 'product') + 7) ELSE substr(text, 1, 12) END AS slice FROM page_text")
