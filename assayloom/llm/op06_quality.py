@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 SAMPLE = 4096
 DIMENSIONS = 48
 NEIGHBOURS = 25
@@ -168,5 +170,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
             for i in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(i, BLOCK)
                 yield part.filter(pa.array(model.scores(features(part.column(at).to_pylist())) >= THRESHOLD))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import release, slices
 
 LONG = 256
 CACHE = 120_000
@@ -253,6 +253,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, carry: tuple[str, ...
                 yield pa.RecordBatch.from_arrays(columns, names)
                 start = stop
         bpe.known.clear()  # workers live on, their next task may be of another stage
+        release()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     schema = f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
