@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,39 +46,40 @@ def grouped_chems(t: Tables) -> DataFrame:
     return one.groupBy("process", "category").agg(names.alias("names"))
 
 
-def mask_known(texts: pd.Series, names: list[str]) -> pd.Series:
-    """Known names are taken out of each text, the longest first; what is left is split and put behind them."""
+def mask_known(text: str, names: list[str]) -> str:
+    """Known names are taken out of a text, in the order given; what is left is split and put behind them."""
+    found = []
+    for name in names:
+        if name and name in text:
+            found.append((text.index(name), name))
+            text = text.replace(name, "\x00" * len(name))
+    rest = [x.strip() for x in re.split(r"[;\n/\x00]+", text) if x.strip()]
+    return "; ".join([n for _, n in sorted(found)] + list(dict.fromkeys(rest)))
 
-    def clean(text: str) -> str:
-        found = []
-        for name in names:
-            if name and name in text:
-                found.append((text.index(name), name))
-                text = text.replace(name, "\x00" * len(name))
-        rest = [x.strip() for x in re.split(r"[;\n/\x00]+", text) if x.strip()]
-        return "; ".join([n for _, n in sorted(found)] + list(dict.fromkeys(rest)))
 
-    return texts.map(clean)
+def mask_names(texts: DataFrame, names: DataFrame, head: int = 4) -> DataFrame:
+    """texts (id, text) with clean: the names (column name) that a text holds taken out, the longest first.
 
+    A text that holds a name holds the name's first characters, so texts and names meet by those, and no list of names goes to each text. The
+    masking itself goes on from name to name within a text, in Arrow batches.
+    """
+    known = names.where("name <> ''").select("name", F.substring("name", 1, head).alias("key")).distinct()
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(head)), lambda n: F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, n))))
+    keys = texts.where("text <> ''").select("id", "text", F.explode(F.array_distinct(grams)).alias("key"))
+    held = keys.join(known, "key").where(F.contains("text", F.col("name"))).select("id", "name")
+    order = F.struct((-F.length("name")).alias("n"), "name")
+    lists = held.groupBy("id").agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x["name"]).alias("names"))
 
-#: A dimension larger than this is not sent to executors by this operator.
-MOST_NAMES = 100_000
+    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([mask_known(t, [] if n is None else list(n)) for t, n in zip(texts, names, strict=True)], dtype=object)
+
+    return texts.join(lists, "id", "left").select("id", F.pandas_udf(run, "string")("text", "names").alias("clean"))
 
 
 @query("ext14_greedy_mask")
 def greedy_mask(t: Tables) -> DataFrame:
-    """Sequential within a text, so a vectorised UDF; the distinct names are a dimension whose size is checked."""
-    names = [r.name for r in t.part.select(F.col("p_name").alias("name")).distinct().orderBy(F.length("name").desc(), "name").limit(MOST_NAMES + 1).collect()]
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names: split the dimension")
-    shared = t.spark.sparkContext.broadcast(names)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield mask_known(texts, shared.value)
-
     text = F.concat("name", F.lit("/extra; "), "name", F.lit("; "), "cas")
-    return t.master.select("ord", F.pandas_udf(run, "string")(text).alias("clean"))
+    return mask_names(t.master.select(F.col("ord").alias("id"), text.alias("text")), t.part.select(F.col("p_name").alias("name"))).withColumnRenamed("id", "ord")
 
 
 @query("ext15_substance_cleaning", f"""

@@ -5,6 +5,7 @@ import random
 
 from assayloom import catalog
 from assayloom.operators import joins
+from assayloom.plans.cleaning import mask_known, mask_names
 
 
 def test_numbers_are_repaired_by_their_check_digit(spark):
@@ -57,3 +58,11 @@ def test_containment_loses_nothing(spark):
     items = lambda rows, key: spark.createDataFrame(rows, f"{key} long, cas string, name string")
     got = joins.tiers(items(j, "j"), items(i, "i"), spark.createDataFrame([], "j long, f_ord int, i long")).collect()
     assert {r.j: r.i for r in got} == want
+
+
+def test_masking_is_the_greedy_fold(spark):
+    """Every text against every name, the longest first; names within names, short ones, and texts without any."""
+    names = ["a", "ab", "abc", "abcd", "abcde", "toluene", "toluene diisocyanate", "lime", "", "; "]
+    texts = ["abcde/abcd; ab", "toluene diisocyanate; toluene\nlime", "", "zzz", "xabcx abcdex", "lime/lime;lime"]
+    got = {r.id: r.clean for r in mask_names(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(n,) for n in names * 2], "name string")).collect()}
+    assert got == {i: mask_known(t, sorted(names, key=lambda n: (-len(n), n))) for i, t in enumerate(texts)}
