@@ -621,14 +621,15 @@ def marks(t: Tables) -> DataFrame:
 
 
 def column_letters(index: Column) -> Column:
-    """1 -> A, 27 -> AA: base 26 without a zero, up to three letters."""
-    letter = lambda n: F.char((F.pmod(n, F.lit(26)) + 65).cast("int"))
-    a, b, c = index - 1, F.floor((index - 1) / 26) - 1, F.floor((F.floor((index - 1) / 26) - 1) / 26) - 1
-    return F.concat(F.when(c >= 0, letter(c)).otherwise(""), F.when(b >= 0, letter(b)).otherwise(""), letter(a))
+    """1 -> A, 27 -> AA: base 26 without a zero, as many letters as a long needs (14). Division is in whole numbers, as doubles lose the last ones."""
+    index = index.cast("long")
+    least = [sum(26**i for i in range(k + 1)) for k in range(14)]  # the first index of k + 1 letters
+    letter = lambda k: F.char((F.pmod(F.call_function("div", index - least[k], F.lit(26**k)), F.lit(26)) + 65).cast("int"))
+    return F.concat(*(F.when(index >= least[k], letter(k)).otherwise("") for k in range(13, 0, -1)), letter(0))
 
 
 def column_index(letters: Column) -> Column:
-    return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a * 26 + F.ascii(c) - 64)
+    return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a * 26 + (F.ascii(c) - 64))
 
 
 @query("scl46_column_letters", "SELECT ord, ord + 1 AS back FROM master")

@@ -163,6 +163,13 @@ def test_column_letters(spark):
     assert {r.i: r.l for r in got} == want
 
 
+def test_column_letters_beyond_three(spark):
+    want = {18278: "ZZZ", 18279: "AAAA", 475254: "ZZZZ", 475255: "AAAAA", 2**53 + 1: "BKTXHSOGHKKG", 2**63 - 1: "CRPXNLSKVLJFHG"}
+    rows = spark.createDataFrame([(k,) for k in want], "i long").select("i", scalars.column_letters(F.col("i")).alias("l"))
+    got = rows.withColumn("back", scalars.column_index(F.col("l"))).collect()
+    assert {r.i: (r.l, r.back) for r in got} == {k: (v, k) for k, v in want.items()}
+
+
 def fold(values):
     """A candidate replaces the kept one if that is missing and it is not, or if it is a range and the kept one is stated and none."""
     kept = values[0]
