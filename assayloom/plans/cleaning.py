@@ -57,23 +57,37 @@ def mask_known(text: str, names: list[str]) -> str:
     return "; ".join([n for _, n in sorted(found)] + list(dict.fromkeys(rest)))
 
 
+#: Bits by which places of a text are told from those where no name begins, as words of 64.
+SPOTS = 2**18
+
+
 def mask_names(texts: DataFrame, names: DataFrame, head: int = 4) -> DataFrame:
     """texts (id, text) with clean: the names (column name) that a text holds taken out, the longest first.
 
-    A text that holds a name holds the name's first characters, so texts and names meet by those, and no list of names goes to each text. The
-    masking itself goes on from name to name within a text, in Arrow batches.
+    A text that holds a name holds the name's first characters: places that begin with none are dropped by bits of fixed size, the rest are cut
+    to the lengths of names with those characters, and cuts and names meet as equals. So work grows with places and lengths, not with pairs of
+    texts and names, and no list of names goes to each text. The masking itself goes on from name to name within a text, in Arrow batches. A null text
+    stays null.
     """
     known = names.where("name <> ''").select("name", F.substring("name", 1, head).alias("key")).distinct()
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(head)), lambda n: F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, n))))
-    keys = texts.where("text <> ''").select("id", "text", F.explode(F.array_distinct(grams)).alias("key"))
-    held = keys.join(known, "key").where(F.contains("text", F.col("name"))).select("id", "name")
+    spot = F.pmod(F.xxhash64("key"), F.lit(SPOTS))
+    words = known.select(F.shiftright(spot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    filled = texts.sparkSession.range(SPOTS // 64).withColumnRenamed("id", "word").join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+    bits = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
+    sizes = known.agg(F.array_sort(F.collect_set(F.length("key")))).scalar()
+    heads = known.groupBy("key").agg(F.collect_set(F.length("name")).alias("lengths"))
+    sized = texts.where("text <> ''").select("id", "text", F.explode(sizes).alias("size")).where(F.length("text") >= F.col("size"))
+    places = sized.select("id", "text", "size", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)).alias("at"))
+    begun = places.select("id", "text", "at", F.substr("text", "at", "size").alias("key")).where(F.getbit(F.get(bits, F.shiftright(spot, 6).cast("int")), (spot % 64).cast("int")) == 1)
+    cuts = begun.join(heads, "key").select("id", "text", "at", F.explode("lengths").alias("length")).where(F.col("at") + F.col("length") - 1 <= F.length("text"))
+    held = cuts.select("id", F.substr("text", "at", "length").alias("name")).join(known.select("name"), "name")
     order = F.struct((-F.length("name")).alias("n"), "name")
-    lists = held.groupBy("id").agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x["name"]).alias("names"))
+    lists = held.groupBy(F.col("id").alias("of")).agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x["name"]).alias("names"))
 
     def run(texts: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([mask_known(t, [] if n is None else list(n)) for t, n in zip(texts, names, strict=True)], dtype=object)
+        return pd.Series([None if t is None else mask_known(t, [] if n is None else list(n)) for t, n in zip(texts, names, strict=True)], dtype=object)
 
-    return texts.join(lists, "id", "left").select("id", F.pandas_udf(run, "string")("text", "names").alias("clean"))
+    return texts.join(lists, F.col("id").eqNullSafe(F.col("of")), "left").select("id", F.pandas_udf(run, "string")("text", "names").alias("clean"))
 
 
 @query("ext14_greedy_mask")

@@ -66,3 +66,13 @@ def test_masking_is_the_greedy_fold(spark):
     texts = ["abcde/abcd; ab", "toluene diisocyanate; toluene\nlime", "", "zzz", "xabcx abcdex", "lime/lime;lime"]
     got = {r.id: r.clean for r in mask_names(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(n,) for n in names * 2], "name string")).collect()}
     assert got == {i: mask_known(t, sorted(names, key=lambda n: (-len(n), n))) for i, t in enumerate(texts)}
+
+
+def test_masking_meets_names_as_equals(spark):
+    """Names with the same first characters are no reason to compare a text with each; nulls go through."""
+    names = [f"ring {k}" for k in range(300)] + ["철", "산화철 가루", None]
+    texts = [(None, "ring 7/ring 299; rin"), (1, None), (1, "산화철 가루; 철x"), (2, "ring"), (3, "x ring 12")]
+    out = mask_names(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert "contains" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    whole = sorted((n for n in names if n), key=lambda n: (-len(n), n))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, t and mask_known(t, whole)) for i, t in texts), key=str)
