@@ -409,6 +409,16 @@ def test_urls_query_brute_force(spark, small):
             assert got[i].verdict == ("allow" if ratio >= model.threshold else "block")
 
 
+def test_url_model_counts_every_url(spark):
+    urls = [(f"http://n{i}.org/{v}/{i * 7}", v) for i in range(10_001) for v in ("allow", "block")] + [("http://few.org/x", "allow")] * 20_000
+    rows = spark.createDataFrame(urls, "url string, verdict string")
+    m = op07_urls.fit(rows)
+    learnt = {v: [r.url for r in rows.distinct().where(f"verdict = '{v}' AND pmod(xxhash64(url), 5) <> 4").collect()] for v in ("allow", "block")}
+    assert m.good.counts == op07_urls.MarkovModel(learnt["allow"]).counts and m.bad.counts == op07_urls.MarkovModel(learnt["block"]).counts
+    many = spark.range(20_500).selectExpr("concat('http://', id, '.org/') AS url", "'allow' AS verdict").union(spark.createDataFrame([(f"http://b/{i}", "block") for i in range(50)]))
+    assert sum(op07_urls.fit(many).good.counts[""].values()) > 16_100 * 13  # 20,000 URLs with every fifth held were 16,000
+
+
 def test_url_model_of_few_examples():
     m = op07_urls.RatioModel(["http://good.org/en"], ["http://bad.biz/aff"])
     assert m.ratio("http://good.org/en") >= m.threshold > m.ratio("http://bad.biz/aff")
