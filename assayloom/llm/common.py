@@ -34,6 +34,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here, and a lost executor costs nothing before it."""
     path = f"{shared_folder(df.sparkSession)}/assayloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    release_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +46,12 @@ def release() -> None:
         trim(0)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """Gives the driver's garbage back to the machine between jobs: its JVM otherwise keeps a heap once grown, and the shuffles and broadcasts of plans that nothing refers to any more."""
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Small parts of Arrow batches, so that few texts are Python objects at a time; what they took is released behind the last one."""
     for batch in batches:
